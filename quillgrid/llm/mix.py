@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import n_words, settled, small
 
 #: Rows of a shuffled source that one task sums up, on average.
-STRIPE_ROWS = 20_000
+STRIPE_ROWS = 1_000
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, hostrules, mix, sharding
+from quillgrid import ship
+from quillgrid.llm import bpe, embdedup, hostrules, minhash, mix, sharding
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in turn, share of all words that the mix holds, and uses of a document.
@@ -15,7 +16,7 @@ SHARDS = [f"shard-{k:03d}" for k in range(100)]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +34,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digest(encode(F.coalesce("text", F.lit("")))).alias("d")).select("doc_id", "d.*")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embdedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.98)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(read(spark, sf_dir, "documents"), 85)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hostrules.judged(read(spark, sf_dir, "documents"), F.col("source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_sharding, op4_bpe, op7_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules)}
 ORACLE_SQL: dict[str, str] = {}
