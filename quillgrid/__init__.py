@@ -1,0 +1,25 @@
+"""Text-quality analytics as Spark queries."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands this package to the executors, once for each Spark context, so that their Python workers can import it wherever it lies on the driver."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_quillgrid_shipped", False):
+        top = os.path.dirname(os.path.abspath(__file__))
+        with tempfile.NamedTemporaryFile(prefix="quillgrid-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("quillgrid", os.path.relpath(path, top)))
+        sc.addPyFile(out.name)
+        sc._quillgrid_shipped = True
+    return spark
