@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import n_words, settled, small
+from quillgrid.llm.common import ROW, n_words, packed, settled, small, unpacked
 
 #: Rows of a shuffled source that one task sums up, on average.
 STRIPE_ROWS = 1_000
@@ -87,16 +87,19 @@ def slots(shares: DataFrame, total: int) -> DataFrame:
     return met.select("slot", "place", rank.alias("rank"))
 
 
-def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, block: int = 4096, seed: str = "mix", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def place_of(seed: str) -> Column:
+    """Where a document (doc_id, text) stands in its source's shuffled order."""
+    return F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+
+
+def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, block: int = 4096, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix of docs (doc_id, text, source).
 
-    documents: doc_id, size, source_size, target, row (its key) and the columns of carry, one row per row of docs.
+    documents: doc_id, size, source_size, target, row (its key) and shuffle (its place in the order), one row per row of docs.
     pieces: row, slot, pass, start, stop: words [start, stop) of the document's pass-th use, in order of slot.
     A source's last block ends at its target, so it takes its target to the word; a document is used at most most times."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("shuffle"), *[F.struct(*carry).alias("carry")] * bool(carry))
-    kept = ["doc_id", "source", "size", "shuffle", *["carry"] * bool(carry)]
-    base = settled(base.select(*kept, F.monotonically_increasing_id().alias("row")))
+    base = docs.select("doc_id", "source", n_words(F.coalesce("text", F.lit(""))).alias("size"), place_of(seed).alias("shuffle"))
+    base = settled(base.withColumn("row", F.monotonically_increasing_id()))
     aim = settled(targets(base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, share, most))
     # blocks that each source asks for, and its stretch of the line
     asked = F.ceil(F.floor(F.col("target")) / block).cast("long")
@@ -108,7 +111,7 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: int =
 
     # where each document starts in its source's shuffled stream: sums within stripes of the order, then over the stripes
     n_stripes = F.greatest(F.lit(1), F.ceil(F.col("rows") / STRIPE_ROWS)).cast("long")
-    by_source = base.drop("carry").join(small(aim.select(F.col("source").alias("s"), "place", "source_size", "target", n_stripes.alias("stripes"))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    by_source = base.join(small(aim.select(F.col("source").alias("s"), "place", "source_size", "target", n_stripes.alias("stripes"))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     stripe = F.floor((F.col("shuffle").bitwiseAND(F.lit((1 << 48) - 1)) * F.col("stripes")) / float(1 << 48)).cast("long")
     striped = by_source.withColumn("stripe", stripe)
     sums = striped.groupBy("place", "stripe").agg(F.sum("size").alias("part"))
@@ -131,7 +134,7 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: int =
         (F.least(F.col("end"), (F.col("rank") + 1) * block) - F.col("at")).alias("stop"),
     )
     pieces = cut.join(schedule, ["place", "rank"]).select("row", "slot", "pass", "start", "stop")
-    documents = base.join(small(aim.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "size", "source_size", "target", *["carry"] * bool(carry))
+    documents = base.join(small(aim.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "shuffle", "size", "source_size", "target")
     return documents, pieces
 
 
@@ -139,3 +142,13 @@ def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     """documents with taken: the words that the mix takes of each, repeats counted."""
     sums = pieces.groupBy("row").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"), F.min("slot").alias("first_slot"))
     return documents.join(sums, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+
+
+def repeated(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, block: int = 4096, seed: str = "mix") -> DataFrame:
+    """The mix as documents: each row of docs as often as the mix begins it, whole.  Rows equal in doc_id and text are used equally often, rounded up; wordless ones are never used."""
+    documents, pieces = mixed(docs, weights, share, most, block, seed)
+    begun = pieces.filter("start = 0").groupBy("row").agg(F.count("*").alias("uses"))
+    uses = documents.join(begun, "row", "left").groupBy(F.col("doc_id").alias("__id"), F.col("shuffle").alias("__place")).agg(F.ceil(F.sum("uses") / F.count("*")).alias("__uses")).filter("__uses > 0")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("__of"), place_of(seed).alias("__at"))
+    rows = rows.join(uses, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__place")))
+    return unpacked(rows.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses"))).alias("__use")))

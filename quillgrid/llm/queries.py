@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid import ship
-from quillgrid.llm import bpe, embdedup, hostrules, minhash, mix, sharding
+from quillgrid.llm import bpe, embdedup, fmquality, hostrules, htmltext, linededup, minhash, mix, pii, sharding
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in turn, share of all words that the mix holds, and uses of a document.
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2
+#: Score from which a document is of good quality.
+PASS = 0.3
 SHARDS = [f"shard-{k:03d}" for k in range(100)]
 
 
@@ -24,6 +26,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"), SHARDS)
 
@@ -49,5 +55,26 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules)}
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extracted(read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.found(read(spark, sf_dir, "documents"))
+    rank = F.create_map(*[F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)])
+    order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    said = lambda spans: F.array_join(F.transform(order(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(F.col("base.kind"), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    score = fmquality.scorer(docs, fmquality.learned(docs, read(spark, sf_dir, "labels")))
+    out = docs.select("doc_id", fmquality.held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
