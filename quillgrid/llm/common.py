@@ -116,3 +116,16 @@ MOST_BROADCAST = 50_000
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most so many rows; else it is joined by key, and skewed keys are split."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: Bits of a sieve, in words of 64: 131,072 rows at most, whatever goes in.
+SIEVE = 1 << 23
+
+
+def sieved(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose column may be among the keys of wanted, so that the rest need no shuffle.  A bitmap of hashed keys, of bounded size, is broadcast; some other rows pass, and all do if there are very many keys, so an exact join has to follow."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    words = wanted.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__mask"))
+    rows = df.withColumn("__bit", bit(F.col(column))).withColumn("__word", F.shiftright("__bit", 6))
+    hit = F.expr("shiftright(__mask, cast(__bit & 63 as int)) & 1 = 1")
+    return rows.join(F.broadcast(words), "__word").filter(hit).drop("__bit", "__word", "__mask")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import MIX, hashes, settled, shingle_hashes
+from quillgrid.llm.common import MIX, hashes, settled, shingle_hashes, sieved
 from quillgrid.llm.components import components, joined
 
 #: Places of the circle, bands, and coordinates of a band: a pair of similarity 0.8 shares a band but for 2 in 10 million.
@@ -161,11 +161,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
     bins = max(1, members.count() // BIN)
     one = members.select("id", F.xxhash64("cluster", "block").alias("part"), F.lit(0).alias("side"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "block")).alias("bin"))
     run = within(percent, width)
-    first = settled(texts.join(one, "id").groupBy("bin").applyInArrow(run, compare))
+    first = settled(sieved(texts, "id", members, "id").join(one, "id").groupBy("bin").applyInArrow(run, compare))
     edges = first
     large = members.filter("blocks > 1")
     if not large.isEmpty():
-        held = settled(texts.join(large, "id"))
+        held = settled(sieved(texts, "id", large, "id").join(large, "id"))
         # 2. the first block with each other one
         lead = held.filter("block = 0").withColumn("other", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
         two = lead.select("id", "text", F.lit(0).alias("side"), F.xxhash64("cluster", "other").alias("part"))
