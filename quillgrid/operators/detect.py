@@ -123,11 +123,11 @@ def findings_udf(settings: Settings = Settings()):
 
 
 def looks_like_data(text: Column) -> Column:
-    """Dumps rather than prose: at least 100 words, and a line over 2000 characters or fewer sentence marks than one for 200 words."""
-    words = F.regexp_count(text, F.lit(r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"))
-    marks = F.regexp_count(text, F.lit("[.!?](?=[\\s\"')\\]]|\\z)"))
-    longest = F.array_max(F.transform(F.split(text, "\n"), F.length))
-    return (words >= 100) & ((longest > 2000) | (marks < words / 200))
+    """Dumps rather than prose: at least 100 words, and a line over 2000 characters or fewer than one sentence end for 200 words."""
+    words = F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
+    ends = F.regexp_count(text, F.lit(r"[.!?](?=\s|\z)"))
+    longest = F.array_max(F.transform(F.split(text, "\n", -1), lambda line: F.length(line)))
+    return (words >= 100) & ((longest > 2000) | (ends < words / 200))
 
 
 def detected(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
