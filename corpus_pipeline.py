@@ -52,8 +52,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their digest, and that of the bytes they decode to."""
     ship(spark)
     encode, _, digest = bpe.udfs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = docs.select("doc_id", "source", encode(F.coalesce("text", F.lit(""))).alias("ids"))
-    return rows.select("doc_id", "source", "ids", digest("ids").alias("d")).select("doc_id", "source", "d.*", "ids")
+    return docs.select("doc_id", "source", digest(encode(F.coalesce("text", F.lit("")))).alias("d")).select("doc_id", "source", "d.*")
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

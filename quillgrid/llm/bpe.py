@@ -11,6 +11,7 @@ import base64
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
 
 import ahocorasick
@@ -21,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces and token pairs that a worker remembers; the memory is emptied when it is full, which changes no result.
-PIECES_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+#: Pieces (of the last and the present generation each) and token pairs that a worker remembers; full memories are emptied, which changes no result.
+PIECES_KEPT = 80_000
+PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
 
 
@@ -177,16 +178,17 @@ def latin(pattern: str) -> str:
 
 
 class Pieces(dict):
-    """Ids of the pieces met so far."""
+    """Ids of pieces met before: those since the last change of generation, and those of the one before."""
 
     def __init__(self, encoder: PrefixEncoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encoder.encode(piece.encode()))
+        ids = self.old.get(piece) or tuple(self.encoder.encode(piece.encode()))
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES_KEPT:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -197,10 +199,13 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.pieces = Pieces(PrefixEncoder(vocabulary))
         self.find = regex.compile(vocabulary.pattern).findall
         self.find_latin = re.compile(latin(vocabulary.pattern)).findall
 
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(PrefixEncoder(self.v))
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
@@ -248,16 +253,18 @@ def udfs(spark: SparkSession, path: str, pattern: str):
         c = codec(shared)
         return pa.array([None if x is None else c.decode(x) for x in each(ids)], type=pa.binary())
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,ids:array<int>>")
     def digest(ids: pa.Array) -> pa.Array:
+        """The ids again with their number and digests, so that one worker does it all."""
         c, rows = codec(shared), list(each(ids))
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(x) for x in rows], type=pa.int64()),
                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]),
                 pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in rows]),
+                ids,
             ],
-            names=["n_tokens", "ids_sha256", "decoded_sha256"],
+            names=["n_tokens", "ids_sha256", "decoded_sha256", "ids"],
         )
 
     return encode, decode, digest

@@ -37,7 +37,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode, _, digest = bpe.udfs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", digest(encode(F.coalesce("text", F.lit("")))).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", digest(encode(F.coalesce("text", F.lit("")))).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
