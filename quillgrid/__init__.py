@@ -9,9 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number: long texts make large batches, of which a worker holds several copies.
+BATCH = "1024"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Hands this package to the executors, once for each Spark context, so that their Python workers can import it wherever it lies on the driver."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     if not getattr(sc, "_quillgrid_shipped", False):
         top = os.path.dirname(os.path.abspath(__file__))
         with tempfile.NamedTemporaryFile(prefix="quillgrid-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
