@@ -10,9 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces (of the last and the present generation each) and token pairs that a worker remembers; full memories are emptied, which changes no result.
-PIECES_KEPT = 80_000
+PIECES_KEPT = 150_000
 PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
 
@@ -178,14 +178,14 @@ def latin(pattern: str) -> str:
 
 
 class Pieces(dict):
-    """Ids of pieces met before: those since the last change of generation, and those of the one before."""
+    """Ids of pieces met before, as bytes: those since the last change of generation, and those of the one before."""
 
     def __init__(self, encoder: PrefixEncoder) -> None:
         super().__init__()
         self.encoder, self.old = encoder, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece) or tuple(self.encoder.encode(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or array("I", self.encoder.encode(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES_KEPT:
                 self.old = dict(self)
@@ -209,7 +209,7 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, (self.find if BEYOND_LATIN(text) else self.find_latin)(text))), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, (self.find if BEYOND_LATIN(text) else self.find_latin)(text))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids.tolist()))
