@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid import ship
+
 #: White space that separates words: space and \t to \r.
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -34,9 +36,12 @@ def ready(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later reads survive lost executors."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared checkpoint folder: later reads survive lost executors.
+
+    Its columns travel as one struct, so that the result claims no partitioning: adaptive execution may have
+    merged partitions since the plan was made, and joins that trust an old number of them fail."""
+    ready(ship(df.sparkSession))
+    return df.select(packed(df)).checkpoint(eager=True).select(f"{ROW}.*")
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -77,4 +77,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+w AS (SELECT *, rtrim(line, ' ' || chr(9) || chr(13)) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, p, k, lead(k) OVER d AS k2, lead(k, 2) OVER d AS k3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p FROM t WHERE k3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, k2, k3 ORDER BY doc_id, p) > 1),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1), (2)) v(o)),
+g AS (SELECT w.doc_id, w.i FROM w JOIN c USING (doc_id, p))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.i) FROM l ANTI JOIN g USING (doc_id, i) WHERE l.doc_id = d.doc_id), '') END AS text, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::BIGINT AS removed FROM documents d""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.u = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.node = vec_id""",
+    "op6_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) END AS sh FROM d),
+x AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 85 * (len(sa.sh) + len(sb.sh) - n)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.node = doc_id""",
+    "op7_host_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+t AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t, (VALUES (0), (1), (2), (3), (4)) v(o) GROUP BY doc_id),
+f AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)::DOUBLE AS failed FROM b GROUP BY source),
+m AS (SELECT sum(failed) / sum(n) AS mean, sum(failed * failed / n) / sum(n) AS square, count(*) / sum(1 / n) AS typical FROM h),
+q AS (SELECT mean, mean * (1 - mean) AS noise, greatest(square - mean * mean - mean * (1 - mean) / greatest(typical, 1), 0) AS spread FROM m),
+k AS (SELECT source, (failed + mean * g) / (n + g) AS rate FROM h, (SELECT mean, CASE WHEN spread > 0 THEN greatest(20, noise / spread - 1) ELSE 1e9 END AS g FROM q))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source""",
+}
