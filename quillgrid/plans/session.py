@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(cores: int | str = "*", partitions: int = 8, **more: str) -> SparkSession:
@@ -24,4 +25,6 @@ def settled(df: DataFrame) -> DataFrame:
         if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrid-checkpoint-"))
-    return df.checkpoint(eager=True)
+    # as one struct, so that the result claims no partitioning, which adaptive execution may have changed since the plan was made
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row).checkpoint(eager=True).select("row.*")
