@@ -66,3 +66,28 @@ def settings(base: str = "{}", local: str = "{}") -> tuple[Settings, dict]:
     d = whole.get("detector") or {}
     values = tuple((rule, tuple(map(str, v))) for rule, v in (d.get("ignoreValues") or {}).items())
     return Settings(d.get("styleGuide") or "microsoft", frozenset(d.get("ignoreRules") or ()), values), whole
+
+
+def changed(config: dict, *, rule: str | None = None, file: str | None = None, value: tuple[str, str] | None = None, reason: str | None = None, add: dict | None = None, remove: str | None = None, hook: bool | None = None) -> dict:
+    """A copy of config with a rule, file glob or (rule, value) ignored, an edit rule added or removed by name, or the hook switched."""
+    out = json.loads(json.dumps(config))
+    d = out.setdefault("detector", {})
+
+    def put(where: list, what) -> None:
+        if what not in where:
+            where.append(what)
+
+    if rule:
+        put(d.setdefault("ignoreRules", []), rule)
+    if file:
+        put(d.setdefault("ignoreFiles", []), file)
+    if value:
+        put(d.setdefault("ignoreValues", {}).setdefault(value[0], []), value[1])
+    if reason and (rule or file or value):
+        d.setdefault("ignoreReasons", {})[rule or file or ":".join(value)] = reason
+    if add or remove:
+        name = remove or add["name"]
+        out["rules"] = [r for r in out.get("rules", []) if r.get("name") != name] + ([add] if add else [])
+    if hook is not None:
+        out.setdefault("hook", {})["enabled"] = hook
+    return out

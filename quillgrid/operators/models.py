@@ -76,7 +76,7 @@ def slop_spans(spans: DataFrame, findings: DataFrame, key: str = "doc_id", most:
 def paragraphs(text: Column, longest: int = 1000) -> Column:
     """Paragraphs for span models: no headings, tables or code; long ones cut."""
     prose = F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", "")
-    parts = F.filter(F.transform(F.split(prose, r"\n\s*\n"), F.trim), lambda p: (p != "") & ~p.rlike(r"^\s{0,3}#{1,6}\s") & ~p.rlike(r"^\s*\|"))
+    parts = F.filter(F.transform(F.split(prose, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^\s{0,3}#{1,6}\s") & ~p.rlike(r"^\s*\|"))
     return F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / longest).cast("int")), lambda k: F.substring(p, k * longest + 1, longest))))
 
 

@@ -213,3 +213,29 @@ def platforms(paths: DataFrame) -> DataFrame:
     hits = paths.select(clean.alias("path"), F.inline(F.array(*rows))).filter("sign OR exists(needs, x -> x)")
     out = hits.groupBy("id").agg(F.sort_array(F.collect_set(F.when(F.col("sign"), F.col("path")))).alias("files"), F.max(F.size(F.filter("needs", lambda x: x))).alias("met"), F.max("n").alias("n"))
     return out.filter("size(files) > 0 AND met >= n").select("id", "files")
+
+
+#: Files of a first site for each generator that can be set up, as (path, content) with {name} to fill in.
+STARTERS = {
+    "mkdocs": (("mkdocs.yml", "site_name: {name}\nnav:\n  - Home: index.md\n"), ("docs/index.md", "# {name}\n")),
+    "docusaurus": (("docusaurus.config.js", "module.exports = {{ title: '{name}', url: 'https://example.org', baseUrl: '/', presets: ['classic'] }};\n"), ("docs/intro.md", "# {name}\n")),
+    "sphinx": (("docs/conf.py", "project = '{name}'\nextensions = ['myst_parser']\n"), ("docs/index.md", "# {name}\n")),
+    "hugo": (("hugo.toml", "title = '{name}'\nbaseURL = 'https://example.org/'\n"), ("content/_index.md", "# {name}\n")),
+    "jekyll": (("_config.yml", "title: {name}\n"), ("index.md", "# {name}\n")),
+    "mdbook": (("book.toml", "[book]\ntitle = '{name}'\n"), ("src/SUMMARY.md", "# Summary\n\n- [{name}](index.md)\n"), ("src/index.md", "# {name}\n")),
+    "antora": (("antora.yml", "name: docs\ntitle: {name}\nversion: ~\nnav:\n- modules/ROOT/nav.adoc\n"), ("modules/ROOT/nav.adoc", "* xref:index.adoc[]\n"), ("modules/ROOT/pages/index.adoc", "= {name}\n")),
+    "docsify": (("docs/_sidebar.md", "- [{name}](/)\n"), ("docs/README.md", "# {name}\n")),
+}
+
+
+def starter(platform: str, name: str = "Docs") -> list[tuple[str, str]]:
+    """(path, content) of a first site."""
+    return [(p, t.format(name=name)) for p, t in STARTERS[platform]]
+
+
+def template(type_: str, title: str = "Title") -> str:
+    """A document of an archetype with a heading for each of its sections."""
+    kind = BY_TYPE[type_]
+    parts = [f"## {s.name}\n\n{'Required' if s.required else 'Recommended'}: write it here.\n" for s in kind.sections if not s.field]
+    fields = "".join(f"{s.name}: {kind.statuses[0] if kind.statuses else ''}\n\n" for s in kind.sections if s.field)
+    return f"# {title}\n\n{fields}" + "\n".join(parts)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quillgrid import ship
 from quillgrid.functions import text as T
 from quillgrid.functions.config import edit_rules, matches
-from quillgrid.operators import assoc, code, detect, grounding, i18n, lexicon, lineage, models, score, site, structure
+from quillgrid.operators import assoc, code, detect, grounding, i18n, lexicon, lineage, models, score, segments, site, structure
 from quillgrid.plans.session import settled
-from quillgrid.sources import files
+from quillgrid.sources import files, reports
 from quillgrid.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,22 @@ def sentences(spark, sf_dir):
     return grounding.claims(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sentences"))
 
 
+@query()
+def document_parts(spark, sf_dir):
+    return segments.segmented(read(spark, sf_dir, "documents"))
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 4::BIGINT AS headings, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS items, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS links, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS bold FROM region")
+def markdown_parts(spark, sf_dir):
+    out = segments.segmented(markdown(spark, sf_dir))
+    return out.select("doc_id", *[F.size(c).cast("long").alias(c) for c in ("headings", "items", "links", "bold")])
+
+
+@query()
+def reading_grades(spark, sf_dir):
+    return segments.readability(read(spark, sf_dir, "documents"))
+
+
 # --- detector -----------------------------------------------------------------------------------------------
 
 
@@ -212,6 +228,16 @@ def json_report(spark, sf_dir):
     return files.report(docs, detect.detected(docs, RULES))
 
 
+@query()
+def human_report(spark, sf_dir):
+    return reports.lines(findings(spark, sf_dir))
+
+
+@query()
+def agent_report(spark, sf_dir):
+    return reports.for_agent(findings(spark, sf_dir), spark.createDataFrame([("repeated-word", "the the", "the")], "rule_id string, bad string, good string"))
+
+
 @query("SELECT family, count(*)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{r.family}')" for r in detect.RULES) + ") t(family) GROUP BY family")
 def rule_registry(spark, sf_dir):
     return detect.registry(spark).groupBy("family").agg(F.count("*").alias("n"))

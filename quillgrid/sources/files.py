@@ -77,3 +77,34 @@ def written(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """As Parquet, by partitions of the columns by if any."""
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
+
+
+# Endings of files that are text, and names that are tests or builds.
+TEXTUAL = r"(?i)\.(md|mdx|mdc|markdown|txt|rst|adoc|js|jsx|mjs|cjs|ts|tsx|py|rb|php|go|rs|java|kt|kts|scala|swift|c|h|cc|cpp|hpp|cs|m|mm|sql|sh|bash|zsh|lua|r|jl|dart|ex|exs|clj|json|yaml|yml|toml|ini|cfg|proto|graphql|tf|hcl)\z"
+TESTS = r"(?i)(\.|_|-)(test|spec)\.[a-z]+\z|\.d\.ts\z|\.min\.js\z"
+UNINDEXED = "node_modules .git dist build .next out coverage target vendor vendored third_party third-party .venv __pycache__ .idea".split()
+LARGEST = 512 * 1024
+
+
+def textual(rows: DataFrame) -> DataFrame:
+    """The files (path, text) that associations are made of: any text, no tests or builds, at most LARGEST bytes."""
+    parts = F.split("path", "/")
+    hidden = F.exists(parts, lambda p: p.isin(*UNINDEXED) | p.startswith("."))
+    return rows.filter(F.col("path").rlike(TEXTUAL) & ~F.col("path").rlike(TESTS) & ~hidden & (F.octet_length("text") <= LARGEST))
+
+
+def shallow(rows: DataFrame, depth: int) -> DataFrame:
+    """Paths of at most so many parts."""
+    return rows.filter(F.size(F.split("path", "/")) <= depth)
+
+
+def claims(rows: DataFrame, value: str = "value") -> DataFrame:
+    """n, claims of a JSON text: a list of lists, or of objects with i and claims; trimmed, each once whatever its case, at most 8."""
+    lists = F.from_json(value, "array<array<string>>")
+    objects = F.from_json(value, "array<struct<i:int,claims:array<string>>>")
+    labelled = F.coalesce(F.forall(objects, lambda o: o["i"].isNotNull()), F.lit(False))
+    each = F.when(labelled, objects).otherwise(F.transform(lists, lambda c, k: F.struct(k.alias("i"), c.alias("claims"))))
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    out = rows.select(F.inline(each)).select(F.col("i").alias("n"), clean(F.col("claims")).alias("c"))
+    once = F.filter("c", lambda x, k: F.array_position(F.transform("c", lambda y: F.lower(y)), F.lower(x)) == k + 1)
+    return out.select("n", F.slice(once, 1, 8).alias("claims"))

@@ -183,3 +183,30 @@ def test_attention(spark):
     assert [(r["first"], r["last"]) for r in models.regions(flags, "c").collect()] == [(0, 0), (2, 3)]
     assert round(models.engaged(flags).first()[0], 2) == 0.25
     assert spark.range(1).select(models.tightened(F.lit("We ran in order to  win"), [{"in order to": "to"}])).first()[0] == "We ran to win"
+
+
+def test_templates_pass_their_own_checks(spark):
+    rows = [(f"x/{t}.md", structure.template(t)) for t in structure.BY_TYPE]
+    got = structure.assets(table(spark, rows).withColumn("type", F.regexp_extract("path", "x/(.*)[.]md", 1)), "type").collect()
+    assert len(got) == 8 and all(not r.findings for r in got)
+    for p in structure.STARTERS:
+        assert p in {r.id for r in structure.platforms(table(spark, [(x,) for x, _ in structure.starter(p)], "path string")).collect()}
+
+
+def test_files_and_claims(spark):
+    from quillgrid.functions.config import changed
+    from quillgrid.operators import segments
+    from quillgrid.sources import reports
+
+    rows = table(spark, [("a.md", "x"), ("a.test.js", "x"), ("build/b.py", "x"), ("c/d/e.py", "x"), ("f.png", "x")])
+    assert [r.path for r in files.textual(rows).collect()] == ["a.md", "c/d/e.py"] and files.shallow(rows, 2).count() == 4
+    text = table(spark, [('[{"i": 2, "claims": [" A ", "a", "b", ""]}]',)], "value string")
+    assert [(r.n, r.claims) for r in files.claims(text).collect()] == [(2, ["A", "b"])]
+    assert [(r.n, r.claims) for r in files.claims(table(spark, [('[["x"], []]',)], "value string")).collect()] == [(0, ["x"]), (1, [])]
+    c = changed(changed({}, rule="r", reason="why"), value=("r", "v"), add={"name": "n", "paths": ["*"], "notify": "x"})
+    assert c["detector"] == {"ignoreRules": ["r"], "ignoreReasons": {"r": "why"}, "ignoreValues": {"r": ["v"]}} and changed(c, remove="n")["rules"] == []
+    docs = table(spark, [(1, "# A\n\n- one\n\nIt was was late. [l](x) **b**\n")], "doc_id long, text string")
+    (p,) = segments.segmented(docs).collect()
+    assert [h.text for h in p.headings] == ["A"] and [b.kind for b in p.blocks] == ["heading", "list", "para"] and p.links[0].target == "x" and len(p.bold) == 1 and len(p.sentences) == 3
+    f = detect.detected(docs, detect.Settings(only=frozenset(["repeated-word"])))
+    assert "1 findings (0 error, 1 warn, 0 advisory)" in reports.lines(f).first().text and "repeated-word" in reports.for_agent(f).first().text
