@@ -126,7 +126,7 @@ class Machine:
 
 def fit(words: np.ndarray, stats: np.ndarray, labels: np.ndarray, seed: int = 7) -> Machine:
     n, share = len(labels), float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         zero = np.zeros((N_STATISTICS, STEPS - 1))
         return Machine(zero[:, 0], zero[:, 0] + 1, zero, 0.0, np.zeros(0), np.zeros((0, RANK)), share, False)
     cuts = np.quantile(stats, np.arange(1, STEPS) / STEPS, axis=0).T
