@@ -25,6 +25,8 @@ STOP = frozenset(
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 MONTH = {m: k for k, m in enumerate(MONTHS.split("|"), 1)}
 LEAST_SCORE, LEAST_SHARED, ENTITY_WEIGHT, SPAN = 3, 1, 2, 70
+#: Facts that hold a term before it counts as frequent, and the sign before entities among terms.
+OFTEN, ENTITY = 200, "@"
 MAGNITUDE = {"thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9}
 
 TOKEN = compiled(r"[a-z][a-z'-]{2,}")
@@ -169,15 +171,21 @@ def read_facts(text: str) -> list[tuple[int, str, str | None]]:
 
 
 def best(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n, fact, score, shared of the claims that share a token or an entity with a fact: the fact of the highest score, the first of equals."""
-    def terms(df: DataFrame, ids: list[str], t: str, e: str) -> DataFrame:
-        a = df.select(*ids, F.explode(t).alias("term"), F.lit(1).alias("w"))
-        return a.union(df.select(*ids, F.explode(e).alias("term"), F.lit(ENTITY_WEIGHT).alias("w")))
-
-    c = terms(rows, [key, "n"], "tokens", "entities")
-    f = terms(table, ["fact"], "fact_tokens", "fact_entities").withColumnsRenamed({"term": "t", "w": "v"})
-    met = c.join(f, (F.col("term") == F.col("t")) & (F.col("w") == F.col("v")))
-    scores = met.groupBy(key, "n", "fact").agg(F.sum("w").alias("score"), F.sum((F.col("w") == 1).cast("int")).alias("shared"))
+    """key, n, fact, score, shared of the claims that share a token or an entity with a fact: the fact of the highest score, the first of equals.
+
+    Terms that many facts hold would pair every claim with every fact.  They are used by sets: facts of one set
+    of such terms score alike for a claim that shares nothing else with them, so the first stands for all.
+    Facts that share a rarer term are found by it."""
+    f = table.select("fact", F.explode(F.concat("fact_tokens", F.transform("fact_entities", lambda e: F.concat(F.lit(ENTITY), e)))).alias("term"))
+    c = rows.select(key, "n", F.explode(F.array_distinct(F.concat("tokens", F.transform("entities", lambda e: F.concat(F.lit(ENTITY), e))))).alias("term"))
+    often = settled(f.groupBy("term").count().filter(F.col("count") > OFTEN).select("term"))
+    rare = c.join(f.join(often, "term", "left_anti"), "term").select(key, "n", "fact")
+    sets = f.join(often, "term").groupBy("fact").agg(F.sort_array(F.collect_set("term")).alias("terms")).groupBy("terms").agg(F.min("fact").alias("fact"))
+    common = c.join(often, "term").join(sets.select("fact", F.explode("terms").alias("term")), "term").select(key, "n", "fact")
+    met = rare.union(common).distinct().join(rows.select(key, "n", "tokens", "entities"), [key, "n"]).join(table.select("fact", "fact_tokens", "fact_entities"), "fact")
+    count = lambda mine, theirs: F.size(F.filter(mine, lambda x: F.array_contains(F.col(theirs), x)))
+    met = met.select(key, "n", "fact", count("tokens", "fact_tokens").alias("shared"), count("entities", "fact_entities").alias("names"))
+    scores = met.withColumn("score", F.col("shared") + ENTITY_WEIGHT * F.col("names"))
     top = F.max_by(F.struct("fact", "score", "shared"), F.struct("score", -F.col("fact")))
     return scores.groupBy(key, "n").agg(top.alias("b")).select(key, "n", "b.*")
 
