@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillgrid import ship
 from quillgrid.functions.segment import BLANKS, Document, beyond_latin
 from quillgrid.plans.rules import RULES, Rule
+from quillgrid.plans.session import spread
 
 SEVERITIES = ("error", "warn", "advisory")
 FINDING = "array<struct<rule_id:string,family:string,severity:string,line:int,col:int,offset:int,length:int,span:string,message:string,seq:int>>"
@@ -134,7 +135,7 @@ def detected(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_i
     """One row for each finding of docs: key and the columns of a finding."""
     ship(docs.sparkSession)
     find = findings_udf(settings)
-    return docs.select(F.col(key), F.inline(find(F.coalesce(text, F.lit("")))))
+    return spread(docs.select(key, text)).select(F.col(key), F.inline(find(F.coalesce(text, F.lit("")))))
 
 
 def rank(severity: Column) -> Column:

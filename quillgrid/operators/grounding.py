@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillgrid import ship
 from quillgrid.functions.dialect import compiled
 from quillgrid.functions.segment import BLANKS, Document
-from quillgrid.plans.session import settled
+from quillgrid.plans.session import settled, spread
 
 # Words that carry no content, months, and when a fact is relevant.
 STOP = frozenset(
@@ -140,7 +140,7 @@ def claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """key, n (of the sentence), start, line, col, text, tokens, entities, spans of every sentence."""
     ship(docs.sparkSession)
     cut, read = F.arrow_udf(sentences, CLAIM), F.arrow_udf(parsed, PARSED)
-    rows = docs.select(key, F.posexplode(cut(F.coalesce(text, F.lit("")))).alias("n", "s")).select(key, "n", "s.*")
+    rows = spread(docs.select(key, text)).select(key, F.posexplode(cut(F.coalesce(text, F.lit("")))).alias("n", "s")).select(key, "n", "s.*")
     return rows.withColumn("p", read("text")).select(key, "n", "start", "line", "col", "text", "p.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import n_contractions, n_first_person, n_words, rounded
+from quillgrid.plans.session import spread
 
 # Weights of severities and families, and the bands.
 SEVERITY = {"error": 3.0, "warn": 2.0, "advisory": 1.0}
@@ -36,7 +37,8 @@ def points(weighted: Column, words: Column, signals: Column, machine: Column | N
 def scored(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: Column | str = "text", machine: str | None = None) -> DataFrame:
     """A row for each of docs, those without findings too.  Findings are summed per document before the join."""
     per = findings.groupBy(key).agg(F.count("*").alias("findings"), F.sum(weight(F.col("severity"), F.col("family"))).alias("weighted"))
-    text = F.col(text) if isinstance(text, str) else text
+    if isinstance(text, str):
+        docs, text = spread(docs.select(key, text, *([machine] if machine else []))), F.col(text)
     measured = docs.select(key, n_words(text).alias("words"), n_contractions(text).alias("contractions"), n_first_person(text).alias("first_person"), *([machine] if machine else []))
     out = measured.join(per, key, "left").withColumns({"findings": F.coalesce("findings", F.lit(0)), "weighted": F.coalesce("weighted", F.lit(0.0))})
     out = out.withColumns(points(F.col("weighted"), F.col("words"), F.col("contractions") + F.col("first_person"), F.col(machine) if machine else None))

@@ -28,3 +28,16 @@ def settled(df: DataFrame) -> DataFrame:
     # as one struct, so that the result claims no partitioning, which adaptive execution may have changed since the plan was made
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     return df.select(row).checkpoint(eager=True).select("row.*")
+
+
+#: Input for a core below which a table is dealt out anew before costly work on each row.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that its files would keep only a few of them busy (one row group is one task).  Larger tables are left as they are scanned, without a shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SMALL else df
