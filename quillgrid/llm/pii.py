@@ -228,8 +228,11 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Field:
             out.append(np.concatenate([g.features, g.labels[:, None], neighbours(n, g.labels, g.chain), neighbours(n, g.labels, g.skip)], axis=1).astype("<f4").tobytes())
         return pa.array(out, pa.binary())
 
-    text = docs.select("text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
-    rows = b"".join(r[0] for r in text.select(examples("text")).collect())
+    # the hashes first: texts of all tasks' candidates would not fit the driver; of equal texts one is learned from
+    text = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike("[0-9@]"))
+    chosen = text.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    text = text.filter(F.col("h") <= F.lit(chosen)).dropDuplicates(["h"])
+    rows = b"".join(r[0] for r in text.select("h", examples("text").alias("e")).orderBy("h").select("e").collect())
     z = np.frombuffer(rows, dtype="<f4").reshape(-1, N_FEATURES + 1 + 2 * STATES).astype(np.float64)
     a, b = N_FEATURES + 1, N_FEATURES + 1 + STATES
     return fit(z[:, :N_FEATURES], z[:, N_FEATURES].astype(np.int64), z[:, a:b], z[:, b:])
