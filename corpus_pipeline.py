@@ -13,8 +13,8 @@ from quillgrid.llm import bpe, fmquality, linededup, minhash, mix
 from quillgrid.llm.common import ready
 from quillgrid.llm.queries import MOST, PASS, SHARE, WEIGHTS
 
-#: Percent of shingles that near copies share.
-PERCENT = 85
+#: Percent of five-word shingles that near copies share (op6_minhash has a bound of its own).
+PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

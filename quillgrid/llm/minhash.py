@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import MIX, hashes, settled, shingle_hashes, sieved
 from quillgrid.llm.components import components, joined
 
-#: Places of the circle, bands, and coordinates of a band: a pair of similarity 0.8 shares a band but for 2 in 10 million.
+#: Places of the circle, bands, and coordinates of a band: a pair of similarity 0.8 shares a band but for 3 in a million.
 PLACES, BANDS, ROWS = 1 << 20, 32, 5
 WIDTH = 5
 BLOCK, BIN = 256, 200

@@ -257,6 +257,16 @@ def test_minhash(spark, block):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_from_four_fifths(spark):
+    words = [f"w{k}" for k in range(104)]
+    close = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]  # 90 of 110 shingles
+    apart = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:90] + ["z"] + words[91:]  # 85 of 115
+    texts = [" ".join(w) for w in (words, close, apart)]
+    assert near(texts[:2], 85)[1] == [0, 1] and near(texts[:2], 80)[1] == [0, 0] and near([texts[0], texts[2]], 80)[1] == [0, 1]
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, corpus(spark, texts[:2]), SF).collect()] == [0]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, corpus(spark, [texts[0], texts[2]]), SF).collect()) == [0, 1]
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
