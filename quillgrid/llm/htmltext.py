@@ -1,16 +1,17 @@
 """Main text of web pages: structure, and the difference from the page of the nearest URL.
 
 Markup names what is surely not text (menus, scripts, forms, adverts, comments ...) and, where a page has an
-article or main element, what is.  What is left open, lines of pages without such an element, is decided by
-their nearest page: pages of a host are paired with the one next to them by URL path, their lines are aligned
-by longest common subsequence, and shared lines, which are the site's and not the page's, are deleted.
+article or main element, what may be.  Pages of a host are paired with the one next to them by URL path, the
+lines that may be text are aligned with all lines of that page by longest common subsequence, and shared ones,
+which are the site's and not the page's, are deleted.  Structure says which may go: not a title (h1) inside an
+article or main element, and of such an element never the larger part, as it would be a copy.
 
 Pairs are found among pages whose paths differ in their last characters; what stays alone there is paired by
 folder, and then by host.  Groups of many pages are cut by a hash, so no host has to fit a task.
 
 Edge cases: null and empty pages give an empty text; tags cut off at the end are dropped; a null URL has no
 host and is paired with no page; a page whose lines are nearly all its partner's is a copy and keeps them;
-repeated rows are pages like others; ties in path go by page_id; an empty table gives no rows; only the named
+rows equal in all three columns are one page; ties in path go by page_id; an empty table gives no rows; only the named
 columns are read.
 """
 
@@ -21,6 +22,7 @@ import html as html_
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,13 @@ MARK = re.compile("[a-z0-9]+")
 SPLIT = re.compile("(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 #: More than this share of its lines in common makes a page a copy of its partner.
 COPY = 0.8
+#: The same inside an article or main element, of characters: what a site repeats there is the lesser part.
+MAIN_COPY = 0.5
+#: Matching pairs of lines up to which an alignment goes by pairs; then by bits.
+MOST_PAIRS = 200_000
 #: Pages of a group that are sorted in one task.
 MOST_SORTED = 20_000
-MIXED = "struct<certain:string,open:array<string>>"
+SKETCH = "struct<own:array<bigint>,sizes:array<int>,fixed:array<int>,main:boolean,every:array<bigint>>"
 
 
 def marked(name: str, attributes: str, inside: bool) -> bool:
@@ -63,10 +69,9 @@ def marked(name: str, attributes: str, inside: bool) -> bool:
     return bool(said & MARKS)
 
 
-def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
-    """Blocks inside article or main, other blocks with whether they are mostly links, and whether there is such an element."""
-    certain: list[str] = []
-    other: list[tuple[str, bool]] = []
+def blocks(page: str) -> tuple[list[tuple[str, bool, bool, bool]], bool]:
+    """Blocks (text, whether inside article or main, whether mostly links, whether a title), and whether there is such an element."""
+    out: list[tuple[str, bool, bool, bool]] = []
     pieces: list[str] = []
     stack: list[str] = []
     cut, home, found, linked, chars = 0, 0, False, 0, 0  # depths at which a dropped or a main element began
@@ -75,10 +80,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
         nonlocal linked, chars
         if pieces:
             if text := " ".join("".join(pieces).split()):
-                if home:
-                    certain.append(text)
-                else:
-                    other.append((text, 2 * linked > chars))
+                out.append((text, bool(home), 2 * linked > chars, "h1" in stack))
             pieces.clear()
         linked = chars = 0
 
@@ -139,23 +141,39 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
                 links += 1
     if not cut:
         flush()
-    return certain, other, found
+    return out, found
+
+
+def lines(found: list[tuple[str, bool, bool, bool]], main: bool) -> list[tuple[str, bool]]:
+    """Of blocks, those that may be text, with whether they are a title inside article or main."""
+    return [(text, main and title) for text, home, links, title in found if (home if main else not links)]
 
 
 def parsed(pages: pa.Array) -> pa.Array:
-    certain, open_ = [], []
+    return pa.array(["\n".join(text for text, _ in lines(*blocks(page.as_py() or ""))) for page in pages], pa.string())
+
+
+def sketched(pages: pa.Array) -> pa.Array:
+    """Of each page: hashes and sizes of the lines that may be text, which of them stay, whether it has article or main, and hashes of all its lines."""
+    number = xxhash.xxh3_64_intdigest
+    own, sizes, fixed, mains, every = [], [], [], [], []
     for page in pages:
-        inside, other, found = blocks(page.as_py() or "")
-        certain.append("\n".join(inside) if found else None)
-        open_.append([] if found else [text for text, links in other if not links])
-    return pa.StructArray.from_arrays([pa.array(certain, pa.string()), pa.array(open_, pa.list_(pa.string()))], names=["certain", "open"])
+        found, main = blocks(page.as_py() or "")
+        mine = lines(found, main)
+        own.append([number(t) - (1 << 63) for t, _ in mine]), sizes.append([len(t) for t, _ in mine]), fixed.append([k for k, (_, title) in enumerate(mine) if title])
+        mains.append(main), every.append([number(t) - (1 << 63) for t, *_ in found])
+    long, short = pa.list_(pa.int64()), pa.list_(pa.int32())
+    arrays = [pa.array(own, long), pa.array(sizes, short), pa.array(fixed, short), pa.array(mains, pa.bool_()), pa.array(every, long)]
+    return pa.StructArray.from_arrays(arrays, names=["own", "sizes", "fixed", "main", "every"])
 
 
-def aligned(a: list[str], b: list[str]) -> set[int]:
+def aligned(a: list, b: list) -> set[int]:
     """Positions of a on a longest common subsequence of a and b: the longest rising run of matching positions of b."""
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
+    if sum(len(places.get(line, ())) for line in a) > MOST_PAIRS:
+        return by_bits(a, b)
     ends: list[int] = []
     tops: list[tuple] = []
     for i, line in enumerate(a):
@@ -173,16 +191,37 @@ def aligned(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def different(own: pa.Array, near: pa.Array) -> pa.Array:
-    """The lines of own without those shared with near, joined."""
+def by_bits(a: list, b: list) -> set[int]:
+    """The same where lines repeat so often that pairs would be too many: rows of the table of lengths as bits, 0 where a length rises."""
+    masks: dict = {}
+    for j, line in enumerate(b):
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, table = full, []
+    for line in a:
+        hit = row & masks.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+        table.append(row)
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if table[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or table[i - 1] >> (j - 1) & 1:
+            out.add(i)
+            j -= 1
+    return out
+
+
+def shared(own: pa.Array, sizes: pa.Array, fixed: pa.Array, main: pa.Array, every: pa.Array) -> pa.Array:
+    """Positions of the own lines that go: those shared with a page of the lines every."""
     out = []
-    for a, b in zip(own.to_pylist(), near.to_pylist(), strict=True):
-        a = a or []
-        shared = aligned(a, b) if b else set()
-        if len(shared) > COPY * len(a):
-            shared = set()
-        out.append("\n".join(x for k, x in enumerate(a) if k not in shared))
-    return pa.array(out, pa.string())
+    for a, n, stay, inside, b in zip(*[x.to_pylist() for x in (own, sizes, fixed, main, every)], strict=True):
+        found = aligned(a, b)
+        copy = sum(n[k] for k in found) > MAIN_COPY * sum(n) if inside else len(found) > COPY * len(a)
+        out.append([] if copy else sorted(found.difference(stay)))
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def paired(rows: DataFrame) -> DataFrame:
@@ -204,14 +243,18 @@ def paired(rows: DataFrame) -> DataFrame:
 
 def extracted(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url and text of every row of df."""
-    read = F.arrow_udf(parsed, MIXED)
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), read(F.coalesce(page, F.lit(""))).alias("x")).select("page_id", "url", "x.*")
-    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))
+    read, sketch, compare = F.arrow_udf(parsed, "string"), F.arrow_udf(sketched, SKETCH), F.arrow_udf(shared, "array<int>")
+    html = F.coalesce("html", F.lit(""))
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
+    rows = rows.withColumns({"a": F.xxhash64("page_id", "url", html), "b": F.xxhash64(html, F.lit("b"), "url", "page_id")})
+    pages = rows.select("page_id", "url", "a", "b", sketch(html).alias("x")).select("page_id", "url", "a", "b", "x.*").filter("size(own) > 0")
     place = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)", 1)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    open_ = rows.filter("certain IS NULL")
-    pairs = paired(open_.select("row", "page_id", place.alias("host"), path.alias("path")).filter("host <> ''"))
-    near = pairs.join(open_.select(F.col("row").alias("near"), F.col("open").alias("other")), "near").select("row", "other")
-    left = F.arrow_udf(different, "string")
-    cleared = open_.join(near, "row", "left").select("page_id", "url", left("open", "other").alias("text"))
-    return rows.filter("certain IS NOT NULL").select("page_id", "url", F.col("certain").alias("text")).unionByName(cleared)
+    # lines travel as hashes; texts are read again at the end
+    pages = settled(pages.withColumns({"host": place, "path": path}).filter("host <> ''").drop("url").dropDuplicates(["a", "b"]).withColumn("row", F.monotonically_increasing_id()))
+    pairs = paired(pages.select("row", "page_id", "host", "path"))
+    near = pairs.join(pages.select(F.col("row").alias("near"), "every"), "near").select("row", "every")
+    lost = near.join(pages.drop("every"), "row").select("a", "b", compare("own", "sizes", "fixed", "main", "every").alias("lost")).filter("size(lost) > 0")
+    out = rows.select("page_id", "url", "a", "b", read(html).alias("text")).join(lost, ["a", "b"], "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("lost", k)), "\n")
+    return out.select("page_id", "url", F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text"))

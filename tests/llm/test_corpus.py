@@ -322,6 +322,28 @@ def test_html(spark):
     assert len(twice) == 14 and {r.text for r in twice if r.page_id == 1} == {got[1]}
 
 
+def test_html_site_lines_inside_articles(spark):
+    page = lambda *p: "<nav>Menu</nav><article><h1>Guide</h1>" + "".join(f"<p>{x}" for x in p) + "</article>"
+    long = [f"Line {k} of a text that two pages have in common" for k in range(4)]
+    rows = [
+        (1, "http://a.org/g/1", page("First of its own, long enough", "<div class=box>Ask the site", "More of the first page here")),
+        (2, "http://a.org/g/2", page("The second has other words", "<div class=box>Ask the site")),
+        (3, "http://b.org/1", page(*long, "ends one way")), (4, "http://b.org/2", page(*long, "ends another way")),
+        (5, "http://c.org/1", "<p>Open page<p>Ask c"), (6, "http://c.org/2", page("Text of the page with an article", "Ask c")),
+    ]
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Guide\nFirst of its own, long enough\nMore of the first page here" and got[2] == "Guide\nThe second has other words"
+    assert got[3] == "\n".join(["Guide", *long, "ends one way"]) and got[4] == "\n".join(["Guide", *long, "ends another way"])
+    assert got[5] == "Open page" and got[6] == "Guide\nText of the page with an article"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_alignment_by_bits(a, b):
+    got, rest = htmltext.by_bits(a, b), iter(b)
+    assert len(got) == len(htmltext.aligned(a, b)) and all(any(a[k] == y for y in rest) for k in sorted(got))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_longest_common_subsequence(a, b):
