@@ -509,6 +509,38 @@ def translation_drift(spark, sf_dir):
     return out.select("source", "path", F.col("d.source").cast("long").alias("there"), F.col("d.here").cast("long").alias("here"))
 
 
+#: Rows of a language, on average, of which one task counts the ranks.
+STRIPE = 1_000
+
+
+def all_translations(spark, sf_dir) -> DataFrame:
+    """Every document as a file: the k-th of each language, by doc_id, is a version of page k."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.floor(F.col("doc_id") / STRIPE).alias("stripe"))
+    ahead = Window.partitionBy("lang").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy("lang", "stripe").agg(F.count("*").alias("n")).select("lang", "stripe", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("lang", "stripe").orderBy("doc_id"))
+    ranked = d.withColumn("rank", rank).join(before, ["lang", "stripe"]).withColumn("page", F.col("rank") + F.col("before"))
+    heads = F.array_join(F.array_repeat(F.lit("## Part"), (F.col("doc_id") % 3).cast("int") + 1), "\n\n")
+    return ranked.select(F.concat(F.lit("docs/page"), "page", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("."), "lang")), F.lit(".md")).alias("path"), F.concat(heads, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+ALL_TRANSLATIONS = "t AS (SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS page, lang, doc_id FROM documents)"
+
+
+@query(f"WITH {ALL_TRANSLATIONS} SELECT 'docs/page' || a.page || '.md' AS source, 'docs/page' || a.page || '.' || b.lang || '.md' AS path, b.lang AS locale FROM t a JOIN t b ON a.page = b.page AND a.lang = 'en' AND b.lang <> 'en'")
+def translation_sets_all(spark, sf_dir):
+    out = i18n.sets(all_translations(spark, sf_dir).select("path")).filter("is_source")
+    return out.select("source", F.explode("siblings").alias("s")).select("source", "s.path", "s.locale")
+
+
+@query(
+    f"WITH {ALL_TRANSLATIONS} SELECT 'docs/page' || a.page || '.md' AS source, 'docs/page' || a.page || '.' || b.lang || '.md' AS path, a.doc_id % 3 + 1 AS there, b.doc_id % 3 + 1 AS here FROM t a JOIN t b ON a.page = b.page AND a.lang = 'en' AND b.lang <> 'en' WHERE a.doc_id % 3 <> b.doc_id % 3"
+)
+def translation_drift_all(spark, sf_dir):
+    out = i18n.sweep(all_translations(spark, sf_dir)).select("source", "path", F.explode("drift").alias("d")).filter("d.what = 'headings'")
+    return out.select("source", "path", F.col("d.source").cast("long").alias("there"), F.col("d.here").cast("long").alias("here"))
+
+
 def sources(spark, sf_dir) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     py = n.select(F.concat(F.lit("src/n"), "n_nationkey", F.lit(".py")).alias("path"), F.concat(F.lit("class Land"), F.col("n_nationkey") + 100, F.lit(":\n    x = 1\n\ndef _hidden():\n    pass\n\ndef visit_"), F.col("n_nationkey") + 100, F.lit("(a):\n    # the the comment\n    return a\n")).alias("text"))

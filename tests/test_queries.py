@@ -37,3 +37,13 @@ def test_query(spark, duck, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == columns
     assert sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in got.fetchall()), key=repr) == rows
+
+
+def test_every_document_is_a_version(spark):
+    from quillgrid.plans.queries import all_translations
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    files = all_translations(spark, SF)
+    assert files.count() == n == files.select("path").distinct().count()
+    found = QUERIES["translation_sets_all"](spark, SF)
+    assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").filter("lang <> 'en'").count()  # English has the most
