@@ -26,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of windows that an earlier one holds; one that loses all its words goes."""
+    """Documents without lines of windows, or of passages of over 50 words, that an earlier one holds; one that loses all its words goes."""
     ship(spark)
-    out = linededup.deduplicated(docs).filter(~((F.col("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+    out = linededup.deduplicated(docs, passage=linededup.PASSAGE).filter(~((F.col("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -4,8 +4,12 @@ Lines that hold a word are numbered within their text.  Every three consecutive
 found before, in an earlier document or further up, is a repeat.  The positions that a document's repeats
 cover are merged and those lines removed.  The first occurrence, by doc_id and position, stays.
 
-Edge cases: blank lines are no part of windows and stay where they are; texts of fewer lines than a window,
-null and empty texts are left alone; a null doc_id comes after all others; rows equal in doc_id and text
+Such windows miss a long passage on one or two lines between others.  With a number of words, shorter runs of
+lines with more words than that are compared too: one line, or two of which neither has them alone.  Texts of
+fewer lines than a window are then one window, whatever their words.
+
+Edge cases: blank lines are no part of windows and stay where they are; texts of fewer lines than a window
+(but see above), null and empty texts are left alone; a null doc_id comes after all others; rows equal in doc_id and text
 are one occurrence and change alike; the order among texts of one doc_id is that of a hash of the text;
 an empty table gives no rows; all columns are kept, whatever their names.
 """
@@ -21,71 +25,79 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import ROW, packed, settled, unpacked
 
 WIDTH = 3
+#: Words above which a passage counts whatever its lines.
+PASSAGE = 50
 
 
 def worded(text: str) -> list[str]:
     return [x for x in text.split("\n") if x and not x.encode().isspace()]
 
 
-def windows(width: int):
-    """128-bit hashes of the windows of each text, as list of (a, b)."""
+def windows(width: int, passage: int | None = None):
+    """Of each text a list of (position, size in lines, hash in two halves) of its windows: all of width lines, and with passage those of fewer lines and over so many words, or all lines of a shorter text."""
 
     def run(texts: pa.Array) -> pa.Array:
-        at, out = [0], bytearray()
+        at, out, places, sizes = [0], bytearray(), [], []
         for t in texts:
-            lines = [xxhash.xxh3_128_digest(x.rstrip(" \t\r").encode()) for x in worded(t.as_py() or "")]
-            for k in range(len(lines) - width + 1):
-                out += xxhash.xxh3_128_digest(b"".join(lines[k : k + width]))
-            at.append(len(out) // 16)
+            found = worded(t.as_py() or "")
+            lines = [xxhash.xxh3_128_digest(x.rstrip(" \t\r").encode()) for x in found]
+            spans = [(k, width) for k in range(len(lines) - width + 1)]
+            if passage is not None:
+                n = [len(x.encode().split()) for x in found]
+                short = {(k, 1) for k in range(len(n)) if n[k] > passage}
+                short |= {(k, 2) for k in range(len(n) - 1) if max(n[k : k + 2]) <= passage < n[k] + n[k + 1]}
+                if 0 < len(n) < width:
+                    short.add((0, len(n)))
+                spans += sorted(x for x in short if x[1] < width)
+            for k, size in spans:
+                out += xxhash.xxh3_128_digest(b"".join(lines[k : k + size]))
+                places.append(k), sizes.append(size)
+            at.append(len(places))
         pair = np.frombuffer(bytes(out), dtype="<i8").reshape(-1, 2)
-        values = pa.StructArray.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        values = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["position", "size", "a", "b"])
         return pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), values)
 
     return run
 
 
-def without(width: int):
-    """Text without the worded lines that the windows starting at the given positions cover, and how many those are."""
-
-    def run(texts: pa.Array, starts: pa.Array) -> pa.Array:
-        out, gone = [], []
-        for t, s in zip(texts.to_pylist(), starts.to_pylist(), strict=True):
-            if not s:
-                out.append(t), gone.append(0)
-                continue
-            covered = {k for x in s for k in range(x, x + width)}
-            kept, n = [], 0
-            for line in t.split("\n"):
-                if line and not line.encode().isspace():
-                    n += 1
-                    if n - 1 in covered:
-                        continue
-                kept.append(line)
-            out.append("\n".join(kept)), gone.append(len(covered))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64())], names=["text", "removed"])
-
-    return run
-
-
-def repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, version (a hash of the text) and starts: the positions of windows that repeat an earlier one, of each document that has any."""
-    hashed = F.arrow_udf(windows(width), "array<struct<a:bigint,b:bigint>>")
+def without(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    """Text without the worded lines that the windows (position, size) cover, and how many those are."""
+    out, gone = [], []
+    for t, s in zip(texts.to_pylist(), starts.to_pylist(), strict=True):
+        if not s:
+            out.append(t), gone.append(0)
+            continue
+        covered = {k for x in s for k in range(x["position"], x["position"] + x["size"])}
+        kept, n = [], 0
+        for line in t.split("\n"):
+            if line and not line.encode().isspace():
+                n += 1
+                if n - 1 in covered:
+                    continue
+            kept.append(line)
+        out.append("\n".join(kept)), gone.append(len(covered))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64())], names=["text", "removed"])
+
+
+def repeats(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
+    """doc_id, version (a hash of the text) and starts: position and size of windows that repeat an earlier one, of each document that has any."""
+    hashed = F.arrow_udf(windows(width, passage), "array<struct<position:int,size:int,a:bigint,b:bigint>>")
     text = F.coalesce("text", F.lit(""))
-    rows = df.select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(hashed(text)).alias("position", "w")).select("doc_id", "version", "position", "w.a", "w.b")
+    rows = df.select("doc_id", F.xxhash64(text).alias("version"), F.explode(hashed(text)).alias("w")).select("doc_id", "version", "w.*")
     rows = settled(rows)
     here = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("version"), F.col("position"))
     # only windows found more than once go on
-    first = rows.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = rows.join(first, ["a", "b"]).filter(here > F.col("first"))
-    return again.groupBy("doc_id", "version").agg(F.collect_set("position").alias("starts"))
+    first = rows.groupBy("size", "a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = rows.join(first, ["size", "a", "b"]).filter(here > F.col("first"))
+    return again.groupBy("doc_id", "version").agg(F.collect_set(F.struct("position", "size")).alias("starts"))
 
 
-def deduplicated(df: DataFrame, width: int = WIDTH) -> DataFrame:
+def deduplicated(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
     """The rows of df (doc_id, text and any others) with repeated lines removed from text, and removed, their number, in the last column (it replaces one of that name)."""
-    found = repeats(df, width).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"))
+    found = repeats(df, width, passage).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"))
     rows = df.select(packed(df), F.col("doc_id").alias("__of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__v"))
     rows = rows.join(found, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left")
-    cut = F.arrow_udf(without(width), "struct<text:string,removed:bigint>")
+    cut = F.arrow_udf(without, "struct<text:string,removed:bigint>")
     rows = rows.select(ROW, cut(F.col(f"{ROW}.text"), F.col("__starts")).alias("__cut"))
     names = [c for c in df.columns if c != "removed"]
     return rows.select(*[(F.col("__cut.text") if c == "text" else F.col(f"{ROW}.`{c}`")).alias(c) for c in names], F.col("__cut.removed").alias("removed"))

@@ -30,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(read(spark, sf_dir, "documents"), passage=linededup.PASSAGE).select("doc_id", "text", "removed")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"), SHARDS)
 
@@ -76,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_passage_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),

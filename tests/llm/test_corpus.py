@@ -115,6 +115,16 @@ def test_line_dedup(spark):
     assert linededup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_long_passages_on_few_lines(spark):
+    w = lambda k, n: " ".join(f"p{k}w{i}" for i in range(n))
+    one, two, three = w(1, 60), [w(2, 30), w(3, 30)], w(4, 50)
+    texts = [f"a\n{one}\nb\n{two[0]}\n{two[1]}\nc\n{three}", f"d\n{one} \ne", f"f\n\n{two[0]}\n\n{two[1]}\ng", f"h\n{three}\ni", one, "short\ntext", "short\ntext", f"j\n{two[0]}\nk"]
+    got = {r.doc_id: (r.text, r.removed) for r in linededup.deduplicated(corpus(spark, texts), passage=50).collect()}
+    assert got == {0: (texts[0], 0), 1: ("d\ne", 1), 2: ("f\n\n\ng", 2), 3: (texts[3], 0), 4: ("", 1), 5: (texts[5], 0), 6: ("", 2), 7: (texts[7], 0)}
+    kept = corpus_pipeline.line_dedup(spark, corpus(spark, texts), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 5, 7]
+
+
 # --- sharding ---
 
 
