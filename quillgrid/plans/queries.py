@@ -353,6 +353,12 @@ def factcheck_contradictions(spark, sf_dir):
     return grounding.checked(docs.filter("doc_id % 5 <> 0"), fact).select("doc_id", "rule_id", "severity")
 
 
+# a claim without its own fact meets the first of the facts that share most words, and another price
+@query("SELECT p_partkey AS doc_id, 'contradicts-fact' AS rule_id, 'error' AS severity FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 5 = 0")
+def factcheck_all_claims(spark, sf_dir):
+    return grounding.checked(*parts(spark, sf_dir)).select("doc_id", "rule_id", "severity")
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9](?:[0-9.]*[0-9])?\\s?%'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[0-9]\\s?%')")
 def percent_spans(spark, sf_dir):
     rows = grounding.claims(read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[0-9]\s?%")))
