@@ -9,15 +9,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-#: Rows of an Arrow batch, where the session has Spark's own number: long texts make large batches, of which a worker holds several copies.
-BATCH = "1024"
+#: Rows and bytes of an Arrow batch, where the session has Spark's own numbers: long texts make large batches, of which a worker holds several copies.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Hands this package to the executors, once for each Spark context, so that their Python workers can import it wherever it lies on the driver."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    for key, (own, ours) in BATCH.items():
+        if spark.conf.get(key, own) == own:
+            spark.conf.set(key, ours)
     # a union that claims its children's partitioning fails when adaptive execution has merged one child's partitions and not another's
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if not getattr(sc, "_quillgrid_shipped", False):
