@@ -54,6 +54,20 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8))[at[0] : at[-1]], at - at[0]
 
 
+def slices(texts: pa.Array, rows: int, size: int = 4 << 20) -> list[tuple[int, int]]:
+    """Start and length of runs of at most so many texts, and so many bytes where more than one text is in it."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    out, start, total = [], 0, 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start >= rows or total + n > size):
+            out.append((start, k - start))
+            start, total = k, 0
+        total += n
+    if len(lengths) > start:
+        out.append((start, len(lengths) - start))
+    return out
+
+
 def sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of flags within each [at[i], at[i+1])."""
     out, full = np.zeros(len(at) - 1, dtype=np.int64), at[1:] > at[:-1]
@@ -127,10 +141,19 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 SIEVE = 1 << 23
 
 
-def sieved(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose column may be among the keys of wanted, so that the rest need no shuffle.  A bitmap of hashed keys, of bounded size, is broadcast; some other rows pass, and all do if there are very many keys, so an exact join has to follow."""
+def _sifted(df: DataFrame, column: str, wanted: DataFrame, key: str, how: str) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     words = wanted.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__mask"))
     rows = df.withColumn("__bit", bit(F.col(column))).withColumn("__word", F.shiftright("__bit", 6))
-    hit = F.expr("shiftright(__mask, cast(__bit & 63 as int)) & 1 = 1")
-    return rows.join(F.broadcast(words), "__word").filter(hit).drop("__bit", "__word", "__mask")
+    return rows.join(F.broadcast(words), "__word", how).withColumn("__hit", F.expr("coalesce(shiftright(__mask, cast(__bit & 63 as int)) & 1, 0) = 1"))
+
+
+def sieved(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose column may be among the keys of wanted, so that the rest need no shuffle.  A bitmap of hashed keys, of bounded size, is broadcast; some other rows pass, and all do if there are very many keys, so an exact join has to follow."""
+    return _sifted(df, column, wanted, key, "inner").filter("__hit").drop("__bit", "__word", "__mask", "__hit")
+
+
+def parted(df: DataFrame, column: str, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that sieved() lets through, and the others, whose column is surely not among the keys."""
+    rows = _sifted(df, column, wanted, key, "left")
+    return tuple(rows.filter(c).drop("__bit", "__word", "__mask", "__hit") for c in ("__hit", "not __hit"))

@@ -1,13 +1,15 @@
 """Quality classifier: a factorisation machine.
 
 Features of a whole text are hashed words (how often each bucket occurs, damped and normalised), structure
-statistics, and how they fall into steps.  The score is linear in them plus all pairwise interactions through
-low-rank factors; by the sum-of-squares identity
+statistics, metadata (whether there is a text, and of each named column of numbers whether it holds one, its size
+and how far it is from the text's length), and how they fall into steps.  The score is linear in them plus all
+pairwise interactions through low-rank factors; by the sum-of-squares identity
   sum over i < j of <v_i, v_j> x_i x_j = 1/2 (|sum x_i v_i|^2 - sum x_i^2 |v_i|^2)
 it takes time linear in the features.  The model is fitted by Adam on the log loss over a bounded sample of
 labelled rows; its size is fixed, so it is broadcast.  Everything else covers all rows.
 
-Edge cases: null texts count as empty; empty and very long texts are scored like others; a label or key that is
+Edge cases: null texts count as empty, and as absent; a metadata column that is null, or that a table lacks, is absent;
+empty and very long texts are scored like others; a label or key that is
 null isn't learned from; with no rows of one label the score is the share of label 1 (0.5 without labels);
 repeated rows get equal scores; an empty table gives no rows; only the named columns are read.
 """
@@ -18,14 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import IS_SPACE, MIX, hashes, shingle_hashes, utf8
+from quillgrid.llm.common import IS_SPACE, MIX, hashes, shingle_hashes, slices, utf8
 
 #: Buckets of hashed words, factors, and the most labelled rows that are learned from (those of the lowest hash).
 BUCKETS, RANK, SAMPLE = 1024, 8, 8_000
 EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.01, 1e-4
+#: Rows that are dense at once.
+ROWS = 64
 #: Steps into which each statistic is cut, by its quantiles in the sample.
 STEPS = 8
 
@@ -80,22 +85,38 @@ def statistics(text: bytes, words: list[bytes]) -> list[float]:
     ]
 
 
-N_STATISTICS = len(statistics(b"", []))
+#: Columns of numbers that a row's metadata holds; never lang, source, doc_id or labels.
+METADATA = ("n_chars",)
+N_STATISTICS = len(statistics(b"", [])) + 1 + 3 * len(METADATA)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and statistics of each text, as dense rows."""
+def described(text: bytes, there: bool, known: list[float | None]) -> list[float]:
+    """Metadata of a row: whether it has a text; of each number whether it is known, its size, and its ratio to the text's code points."""
+    chars = int(((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80).sum())
+    out = [float(there)]
+    for x in known:
+        sure = x is not None and np.isfinite(x)
+        size = float(np.log1p(max(x, 0))) if sure else 0.0
+        out += [float(sure), size, size - float(np.log1p(chars)) if sure else 0.0]
+    return out
+
+
+def features(texts: pa.Array, *metadata: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, and statistics with metadata, of each text, as dense rows."""
     data, at = utf8(texts)
-    raw = data.tobytes()
+    there = np.asarray(texts.is_valid())
+    known = [m.to_pylist() for m in metadata] or [[None] * len(texts)] * len(METADATA)
     words = np.zeros((len(at) - 1, BUCKETS), dtype=np.float32)
     stats = np.zeros((len(at) - 1, N_STATISTICS), dtype=np.float64)
     for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        w = raw[a:b].split()
-        stats[k] = statistics(raw[a:b], w)
+        text = data[a:b].tobytes()
+        w = text.split()
+        stats[k] = [*statistics(text, w), *described(text, bool(there[k]), [x[k] for x in known])]
         if w:
-            count = np.bincount(((hashes([x.lower() for x in w]) * MIX) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
-            damped = np.log1p(count)
-            words[k] = damped / np.sqrt((damped**2).sum())
+            lowered = np.fromiter((xxhash.xxh3_64_intdigest(x.lower()) for x in w), dtype=np.uint64, count=len(w))
+            damped = np.log1p(np.bincount(((lowered * MIX) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS))
+            # in half precision, as the sample reaches the driver
+            words[k] = (damped / np.sqrt((damped**2).sum())).astype(np.float16)
     return words, stats
 
 
@@ -164,27 +185,32 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
 
     @F.arrow_udf("struct<words:binary,stats:binary>")
-    def taken(texts: pa.Array) -> pa.Array:
-        w, s = features(texts)
-        return pa.StructArray.from_arrays([pa.array([r.astype("<f2").tobytes() for r in w]), pa.array([r.tobytes() for r in s])], names=["words", "stats"])
+    def taken(texts: pa.Array, *metadata: pa.Array) -> pa.Array:
+        rows = [([r.astype("<f2").tobytes() for r in w], [r.tobytes() for r in s]) for k, n in slices(texts, ROWS) for w, s in [features(texts[k : k + n], *[m[k : k + n] for m in metadata])]]
+        return pa.StructArray.from_arrays([pa.array([x for r in rows for x in r[c]], pa.binary()) for c in (0, 1)], names=["words", "stats"])
 
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(chosen, "doc_id").select("doc_id", "y", taken("text").alias("f")).select("doc_id", "y", "f.*").toPandas()
-    rows = rows.sort_values(["doc_id", "y"], kind="stable").head(sample)
+    text = docs.select("doc_id", "text", *fields(docs))
+    rows = text.join(chosen, "doc_id").select("doc_id", "y", taken("text", *METADATA).alias("f")).select("doc_id", "y", "f.*").toPandas()
+    rows = rows.sort_values(["doc_id", "y", "words", "stats"], kind="stable").head(sample)
     words = np.array([np.frombuffer(r, dtype="<f2") for r in rows["words"]], dtype=np.float32).reshape(-1, BUCKETS)
     stats = np.array([np.frombuffer(r, dtype=np.float64) for r in rows["stats"]]).reshape(-1, N_STATISTICS)
     return fit(words, stats, rows["y"].to_numpy(dtype=np.float64))
 
 
-def scorer(df: DataFrame, machine: Machine):
-    """An Arrow function text -> score."""
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+def fields(docs: DataFrame) -> list[Column]:
+    """The metadata columns of docs as numbers; absent ones are null."""
+    return [(F.expr(f"try_cast(`{c}` AS double)") if c in docs.columns else F.lit(None).cast("double")).alias(c) for c in METADATA]
+
+
+def scored(docs: DataFrame, machine: Machine) -> Column:
+    """The score of a row of docs (text and, where it has them, the columns of METADATA)."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        m, out = shared.value, []
-        for k in range(0, len(texts), 512):
-            out.append(m.score(m.inputs(*features(texts[k : k + 512]))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), type=pa.float64())
+    def score(texts: pa.Array, *metadata: pa.Array) -> pa.Array:
+        m, out = shared.value, [np.zeros(0)]
+        for k, n in slices(texts, ROWS):
+            out.append(m.score(m.inputs(*features(texts[k : k + n], *[x[k : k + n] for x in metadata]))))
+        return pa.array(np.concatenate(out), type=pa.float64())
 
-    return score
+    return score(F.col("text"), *fields(docs))

@@ -11,7 +11,7 @@ fewer lines than a window are then one window, whatever their words.
 Edge cases: blank lines are no part of windows and stay where they are; texts of fewer lines than a window
 (but see above), null and empty texts are left alone; a null doc_id comes after all others; rows equal in doc_id and text
 are one occurrence and change alike; the order among texts of one doc_id is that of a hash of the text;
-an empty table gives no rows; all columns are kept, whatever their names.
+an empty table gives no rows; all columns are kept, whatever their names (the count of removed lines gives way).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import ROW, packed, settled, unpacked
+from quillgrid.llm.common import ROW, packed, parted, settled
 
 WIDTH = 3
 #: Words above which a passage counts whatever its lines.
@@ -92,12 +92,18 @@ def repeats(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> Da
     return again.groupBy("doc_id", "version").agg(F.collect_set(F.struct("position", "size")).alias("starts"))
 
 
-def deduplicated(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
-    """The rows of df (doc_id, text and any others) with repeated lines removed from text, and removed, their number, in the last column (it replaces one of that name)."""
-    found = repeats(df, width, passage).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"))
+def deduplicated(df: DataFrame, width: int = WIDTH, passage: int | None = None, counted: str = "removed") -> DataFrame:
+    """The rows of df (doc_id, text and any others) with repeated lines removed from text, and their number in a last column named by counted, with _ added while df has a column of that name.
+
+    Few texts change as a rule: rows that surely have no repeats pass without a shuffle."""
+    while counted in df.columns:
+        counted += "_"
+    key = lambda i, v: F.xxhash64(F.coalesce(F.col(i), F.lit(-1)), v)
+    found = settled(repeats(df, width, passage).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"), key("doc_id", "version").alias("__found")))
     rows = df.select(packed(df), F.col("doc_id").alias("__of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__v"))
-    rows = rows.join(found, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left")
+    some, rest = parted(rows.withColumn("__key", key("__of", "__v")), "__key", found, "__found")
+    some = some.join(found, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left")
     cut = F.arrow_udf(without, "struct<text:string,removed:bigint>")
-    rows = rows.select(ROW, cut(F.col(f"{ROW}.text"), F.col("__starts")).alias("__cut"))
-    names = [c for c in df.columns if c != "removed"]
-    return rows.select(*[(F.col("__cut.text") if c == "text" else F.col(f"{ROW}.`{c}`")).alias(c) for c in names], F.col("__cut.removed").alias("removed"))
+    some = some.select(ROW, cut(F.col(f"{ROW}.text"), F.col("__starts")).alias("__cut")).select(ROW, F.col("__cut.text").alias("__text"), F.col("__cut.removed").alias("__n"))
+    rows = some.union(rest.select(ROW, F.col(f"{ROW}.text").alias("__text"), F.lit(0).cast("long").alias("__n")))
+    return rows.select(*[(F.col("__text") if c == "text" else F.col(f"{ROW}.`{c}`")).alias(c) for c in df.columns], F.col("__n").alias(counted))

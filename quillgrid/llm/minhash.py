@@ -7,14 +7,18 @@ cluster, and within clusters links are decided on the full sets:
 
 1. in blocks of a cluster, all pairs, by products of document x shingle matrices (exact counts);
 2. between the first block and the others;
-3. between documents still outside a cluster's largest component and all the cluster's documents.
+3. in buckets that still hold more than one component, between the documents outside the bucket's largest one
+   and all of the bucket's.
 
-Two documents that are never compared in 3 are connected already, so components are those of all links.
+Documents of a bucket that are never compared are connected already, so components are those of all links that a
+bucket holds.  Work grows with the square of a bucket only where its documents, equal in seven coordinates, are
+not linked after all.
 
 Edge cases: null and wordless texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle; equal word sequences are one class, so copies cost nothing; a null doc_id links
-with nothing and is kept; rows that repeat a doc_id are one document; an empty table gives no rows; extra
-columns aren't read.
+with nothing and is kept; rows that repeat a doc_id are one document, whose links are those of the row with the least
+hash of its words; texts of more shingles than the circle has places have like signatures, and are candidates of each
+other; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import MIX, hashes, settled, shingle_hashes, sieved
+from quillgrid.llm.common import MIX, hashes, parted, settled, shingle_hashes, sieved
 from quillgrid.llm.components import components, joined
 
-#: Places of the circle, bands, and coordinates of a band: a pair of similarity 0.8 shares a band but for 3 in a million.
-PLACES, BANDS, ROWS = 1 << 20, 32, 5
+#: Places of the circle, bands, and coordinates of a band: of pairs of similarity 0.8 one in 12,000 shares no band, of 0.85 one in a million; of 0.5 every fourth does, of 0.3 one in 115.
+PLACES, BANDS, ROWS = 1 << 20, 40, 7
 WIDTH = 5
 BLOCK, BIN = 256, 200
 SKETCH = "struct<key:binary,n_shingles:bigint,bands:array<bigint>>"
@@ -86,6 +90,11 @@ def sketch(width: int):
     return run
 
 
+def keyed(texts: pa.Array) -> pa.Array:
+    """The hash of each text's words."""
+    return pa.array([xxhash.xxh3_128_digest(b" ".join(lowered(t.as_py()))) for t in texts], pa.binary())
+
+
 def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Pairs (i, j) with 100 x intersection >= percent x union of sets of left and right (None: of left, i < j); j counts on from left."""
     sets = left + (right or [])
@@ -122,7 +131,7 @@ def within(percent: int, width: int):
         parts: dict[int, dict[int, dict[int, np.ndarray]]] = {}
         columns = [table[c].to_pylist() for c in ("part", "side", "id")]
         for part, side, i, text in zip(*columns, table["text"], strict=True):
-            parts.setdefault(part, {0: {}, 1: {}})[side].setdefault(i, shingles(lowered(text.as_py()), width))
+            parts.setdefault(part, {0: {}, 1: {}})[side][i] = shingles(lowered(text.as_py()), width)
         out: list[tuple[int, int]] = []
         for two in parts.values():
             ids = [*two[0], *two[1]]  # one that is on both sides links with itself
@@ -143,8 +152,12 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
     found = F.arrow_udf(sketch(width), SKETCH)
     rows = settled(df.select("doc_id", found("text").alias("s")).select("doc_id", "s.*"))
     linkable = rows.filter("doc_id IS NOT NULL AND key IS NOT NULL")
-    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("id"))
-    heads = settled(linkable.join(classes, [linkable["key"] == classes["key"], linkable["doc_id"] == classes["id"]], "left_semi").select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
+    # of rows that repeat a doc_id one speaks for it; of documents of equal words the least doc_id
+    repeated = settled(linkable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again")))
+    repeats = not repeated.isEmpty()
+    speaks = linkable.groupBy("doc_id").agg(F.min("key").alias("key")) if repeats else linkable.select("doc_id", "key")
+    classes = speaks.groupBy("key").agg(F.min("doc_id").alias("id"))
+    heads = settled(linkable.join(classes, [linkable["key"] == classes["key"], linkable["doc_id"] == classes["id"]], "left_semi").select(F.col("doc_id").alias("id"), "key", "bands").dropDuplicates(["id"]))
 
     # candidates: all documents of a bucket hang on its least one
     spread = heads.select("id", F.explode("bands").alias("band"))
@@ -155,6 +168,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
     blocks = F.ceil(F.col("m") / block)
     members = settled(clusters.join(sizes, "cluster").select("id", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block")))
     texts = df.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    if repeats:
+        some, others = parted(texts, "id", repeated, "again")
+        key = F.arrow_udf(keyed, "binary")
+        some = some.withColumn("key", key("text")).join(heads.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+        texts = some.union(others)
     compare = "u long, v long"
 
     # 1. whole clusters by the bin, or blocks of large ones
@@ -171,22 +189,32 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
         two = lead.select("id", "text", F.lit(0).alias("side"), F.xxhash64("cluster", "other").alias("part"))
         two = two.union(held.filter("block > 0").select("id", "text", F.lit(1), F.xxhash64("cluster", "block")))
         edges = settled(edges.union(two.groupBy("part").applyInArrow(run, compare)))
-        # 3. what is outside the largest component of its cluster with all of the cluster
+        # 3. buckets with more than one component: what is outside the largest with all of the bucket
         now = components(edges.filter("u IS NOT NULL")).withColumnRenamed("node", "id")
-        placed = settled(large.join(now, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component")))
-        counts = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("component"))
-        outside = settled(placed.join(largest, ["cluster", "component"], "left_anti").select("id", "cluster"))
-        if not outside.isEmpty():
-            strips = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("strips"))
-            out = held.join(outside.select("id"), "id").join(strips, "cluster").withColumn("strip", F.pmod(F.xxhash64(F.lit("strip"), "id"), F.col("strips")))
-            three = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("id", "text", F.lit(0).alias("side"), F.xxhash64("cluster", "strip", "block").alias("part"))
-            all_ = held.join(strips, "cluster").withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)))
-            three = three.union(all_.select("id", "text", F.lit(1), F.xxhash64("cluster", "strip", "block")))
+        placed = settled(large.select("id").join(now, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        there = heads.join(placed, "id").select("id", "component", F.explode("bands").alias("band"))
+        mixed = there.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b").select("band", "n")
+        there = settled(there.join(mixed, "band"))
+        if not there.isEmpty():
+            counts = there.groupBy("band", "component").agg(F.count("*").alias("m"))
+            largest = counts.groupBy("band").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.max("m").alias("m"))
+            there = there.join(largest, "band").withColumns({"blocks": F.ceil(F.col("n") / block), "strips": F.ceil((F.col("n") - F.col("m")) / block), "outside": F.col("component") != F.col("largest")})
+            part = F.xxhash64("band", "strip", "block")
+            out = there.filter("outside").withColumn("strip", F.pmod(F.xxhash64(F.lit("strip"), "id"), F.col("strips"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            all_ = there.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)))
+            sides = out.select("id", F.lit(0).alias("side"), part.alias("part")).union(all_.select("id", F.lit(1), part))
+            # buckets of the same two sides are compared once
+            same = settled(sides.groupBy("part").agg(F.sum(F.xxhash64("id", "side").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("k")))
+            first_of = same.groupBy("mark", "k").agg(F.min("part").alias("part")).select("part")
+            three = held.select("id", "text").join(sides.join(first_of, "part", "left_semi"), "id").select("id", "text", "side", "part")
             edges = settled(edges.union(three.groupBy("part").applyInArrow(run, compare)))
 
     reach = components(edges).select(F.col("node").alias("id"), "component")
     heads_of = classes.join(reach, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    good = linkable.join(heads_of, "key").select("doc_id", "n_shingles", "component_id")
+    if repeats:
+        heads_of = heads_of.join(speaks, "key").select(F.col("doc_id").alias("of"), "component_id")
+        good = linkable.join(heads_of, F.col("doc_id") == F.col("of")).select("doc_id", "n_shingles", "component_id")
+    else:
+        good = linkable.join(heads_of, "key").select("doc_id", "n_shingles", "component_id")
     rest = rows.filter("doc_id IS NULL OR key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return good.unionByName(rest)

@@ -23,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mix.mixed(read(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST)
-    return mix.taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    score = fmquality.scorer(docs, fmquality.learned(docs, read(spark, sf_dir, "labels")))
-    out = docs.select("doc_id", fmquality.held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
+    score = fmquality.scored(docs, fmquality.learned(docs, read(spark, sf_dir, "labels")))
+    out = docs.select("doc_id", fmquality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))
 
 

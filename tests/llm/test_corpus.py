@@ -98,6 +98,34 @@ def test_repeated_documents(spark):
     df = corpus(spark, ["a b c"] * 5 + ["d " * 30, None, ""])
     out = mix.repeated(df, [1.0, 1.0], 1.5, 2)
     assert out.columns == df.columns and set(r.text for r in out.collect()) <= {"a b c", "d " * 30}
+    assert mix.repeated(df.limit(0), [1.0]).count() == 0
+
+
+def test_whole_documents_come_near_their_targets(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.choice([1, 5, 40, 300]), "en", "abcde"[k % 5], 0) for k in range(600)] + [(600, "w " * 30_000, "en", "a", 0)]
+    df = docs(spark, rows).withColumns({"slot": F.lit(1), "row": F.lit("r")})
+    by = Counter()
+    for r in rows:
+        by[r[3]] += len(r[1].split())
+    aim = wanted(by, [3, 1, 2], 1.5, 2)
+    out = mix.repeated(df, [3.0, 1.0, 2.0], 1.5, 2, block=512).collect()
+    took, uses = Counter(), Counter(r.doc_id for r in out)
+    for r in out:
+        took[r.source] += len(r.text.split())
+    assert max(uses.values()) <= 2 and all(r.text == rows[r.doc_id][1] for r in out)
+    assert all(aim[s] * 0.99 - 5 <= took[s] <= aim[s] for s in by)
+    # documents lie in the order of the schedule: every tenth of the mix holds each source by its share
+    some = [s for s in by if s != "a"]
+    n = sum(took[s] for s in some)
+    part, done = Counter(), 0
+    for r in out:
+        if r.source != "a":
+            done += len(r.text.split())
+            part[r.source] += len(r.text.split())
+            if done > n / 2:
+                break
+    assert all(abs(part[s] / took[s] - 0.5) < 0.15 for s in some)
 
 
 # --- line dedup ---
@@ -109,7 +137,7 @@ def test_line_dedup(spark):
     df = corpus(spark, texts).withColumns({"removed": F.lit("old"), "w": F.lit(1)})
     got = {r.doc_id: r for r in linededup.deduplicated(df).collect()}
     assert got[0].text == texts[0] and got[1].text == "x\ny" and got[2].text == "\nz" and got[3].text == "a\nb" and got[4].text is None and got[5].text == ""
-    assert got[6].text == "r\ns\nt\n" and got[7].text == "" and [got[k].removed for k in (0, 1, 2, 6, 7)] == [0, 3, 3, 3, 6] and got[1].w == 1
+    assert got[6].text == "r\ns\nt\n" and got[7].text == "" and [got[k].removed_ for k in (0, 1, 2, 6, 7)] == [0, 3, 3, 3, 6] and got[1].w == 1 and got[1].removed == "old"
     twice = linededup.deduplicated(df.union(df).withColumn("doc_id", F.when(F.col("doc_id") == 7, None).otherwise(F.col("doc_id"))))
     assert Counter((r.doc_id, r.text) for r in twice.collect()) == Counter({(None if k == 7 else k, r.text): 2 for k, r in got.items()})
     assert linededup.deduplicated(df.limit(0)).count() == 0
@@ -267,6 +295,19 @@ def test_minhash(spark, block):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Rows of one doc_id are one document, whichever comes first; the one of the least hash of words speaks for it."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    key = lambda t: minhash.keyed(pa.array([t]))[0].as_py()
+    low, high = sorted((a, b), key=key)
+    rows = [(5, high, "", "", 1), (5, low, "", "", 1), (7, low + " end", "", "", 1), (8, high + " end", "", "", 1), (9, low, "", "", 1), (9, low, "", "", 1)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(docs(spark, order), 85).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(5, 5): 2, (7, 5): 1, (8, 8): 1, (9, 5): 2})
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 8] and kept.columns == docs(spark, []).columns
+
+
 def test_near_dedup_stage_from_four_fifths(spark):
     words = [f"w{k}" for k in range(104)]
     close = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]  # 90 of 110 shingles
@@ -277,6 +318,13 @@ def test_near_dedup_stage_from_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, corpus(spark, [texts[0], texts[2]]), SF).collect()) == [0, 1]
 
 
+def test_large_sets_fill_the_circle():
+    """Sets of more shingles than the circle has places are alike in all bands, and so are checked."""
+    rng = np.random.default_rng(2)
+    a, b = (minhash.signature(rng.integers(0, 2**63, 1 << 23).astype(np.uint64)) for _ in range(2))
+    assert (a == b).mean() > 0.9 and set(minhash.bands(a)) & set(minhash.bands(b))
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -417,8 +465,10 @@ def test_factorisation_machine():
     slow = [0.1 + r @ m.w + sum((v[i] @ v[j]) * r[i] * r[j] for i in range(12) for j in range(i)) for r in x]
     assert np.allclose(m.score(x), 1 / (1 + np.exp(-np.array(slow))))
     assert fmquality.fit(np.zeros((0, fmquality.BUCKETS)), np.zeros((0, fmquality.N_STATISTICS)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
-    w, s = fmquality.features(pa.array(["", None, "a"]))
-    assert w.shape == (3, fmquality.BUCKETS) and np.isfinite(s).all() and np.array_equal(s[0], s[1])
+    w, s = fmquality.features(pa.array(["", None, "é"]), pa.array([0.0, None, 5.0]))
+    meta = s[:, -4:].tolist()
+    assert w.shape == (3, fmquality.BUCKETS) and np.isfinite(s).all() and np.array_equal(s[0, :-4], s[1, :-4])
+    assert meta[:2] == [[1, 1, 0, 0], [0, 0, 0, 0]] and np.allclose(meta[2], [1, 1, math.log(6), math.log(3)])
 
 
 def test_quality_query(spark):
@@ -427,8 +477,25 @@ def test_quality_query(spark):
     held = [(got[r.doc_id].predicted, r.quality) for r in labels if got[r.doc_id].held_out]
     assert len(held) > 40 and sum(a == b for a, b in held) / len(held) >= 0.95
     odd = corpus(spark, ODD)
-    score = fmquality.scorer(odd, fmquality.learned(odd, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")))
-    assert [r[0] for r in odd.select(score(F.coalesce("text", F.lit("")))).collect()] == [0.5] * len(ODD)
+    score = fmquality.scored(odd, fmquality.learned(odd, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")))
+    assert [r[0] for r in odd.select(score).collect()] == [0.5] * len(ODD)
+
+
+def test_quality_of_odd_rows(spark):
+    """Nulls, empty, long and repeated texts, clashing names and missing metadata go through a machine that has learned."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["fine", "prose", "of", "words"] if k % 2 else ["###", "$$$", "%%%"]) for _ in range(40)) for k in range(300)]
+    df = corpus(spark, texts).withColumns({"y": F.lit("a"), "words": F.lit(1), "stats": F.lit(2), "f": F.lit(3)})
+    labels = spark.createDataFrame([(k, k % 2, "z") for k in range(300)], "doc_id long, quality int, text string")
+    machine = fmquality.learned(df, labels)
+    odd = docs(spark, [(k, t, None, None, None if k % 2 else -5) for k, t in enumerate([*ODD, "fine prose of words " * 100_000, "### $$$ %%% " * 20, texts[1], texts[1]])])
+    got = [r[0] for r in odd.select(fmquality.scored(odd, machine)).collect()]
+    assert all(0 <= x <= 1 for x in got) and got[6] == pytest.approx(got[7], abs=0.2) and got[-3] < 0.5 < got[-2]
+    same = odd.union(odd).filter("doc_id = 6").withColumn("n_chars", F.lit(7)).select("doc_id", fmquality.scored(odd.withColumn("n_chars", F.lit(7)), machine))
+    assert len({r[1] for r in same.collect()}) == 1
+    bare = odd.drop("n_chars")
+    assert bare.select(fmquality.scored(bare, machine)).count() == 13 and odd.limit(0).select(fmquality.scored(odd, machine)).count() == 0
+    assert not fmquality.learned(df.limit(0), labels).fitted and fmquality.learned(df.union(df), labels.union(labels)).fitted
 
 
 # --- queries and pipeline ---
