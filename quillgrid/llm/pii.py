@@ -1,12 +1,15 @@
 """Personal data: patterns, and a skip-chain conditional random field over what they leave.
 
-Patterns find the base spans.  The field's nodes are the words of a text that hold a digit or an @; chain
-edges join neighbours, and skip edges join distant words that are equal or end in the same digits, each to
-the next such one.  Base spans are evidence; loopy belief propagation carries it along the edges, so that a
-number first written in full and later in part, or one that fails a pattern only in places, gets the label
-it has elsewhere in the document.  Words whose belief in a kind is at least CERTAIN become added spans.
+Patterns find the base spans.  The field's nodes are the base spans, the words that hold a digit or an @ or that
+are like a base span, and the words around each of these; short numbers next to each other that may be one number
+are one node.  Chain edges join neighbours in a line.  Skip edges join distant nodes that are alike: numbers that
+begin or end in the same digits, the same local part of an address, the same net; each with the one like it before,
+and with the base span like it before.  Base spans are evidence; loopy belief propagation carries it along the
+edges, so that a number first written in full and later in part, or one that fails a pattern by a slip, gets the
+label that it has elsewhere in the document.  A node whose belief in a kind is at least CERTAIN is an added span.
 
-The field is fitted by pseudo-likelihood on a bounded sample of documents whose base spans are the labels.
+The field is fitted by pseudo-likelihood on a bounded sample of documents whose base spans are the labels, a
+share of them hidden: see lesson().
 
 Edge cases: null and empty texts have no spans; very long texts take time in proportion to their length;
 repeated rows get equal spans; with nothing to learn from no span is added; a null doc_id is a row like
@@ -15,11 +18,14 @@ others; an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +42,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HOLDS = re.compile("[0-9@]")
 DIGIT = re.compile("[0-9]")
 EDGE = "\"'!#%&$*.,;:?<>[]{}=~^`|/\\_"
-#: Belief from which a word becomes a span; documents learned from; rounds of messages; digits that two similar words share.
-CERTAIN, SAMPLE, ROUNDS, SHARED = 0.9, 2_000, 12, 7
+NUMERIC = re.compile(r"[0-9().+/-]*[0-9][0-9().+/-]*")
+AT = re.compile(r"@|[(\[]at[)\]]")
+NET = re.compile(r"([0-9]+\.[0-9]+\.[0-9]+)(?:\.[^.]{1,3})?\Z")
+#: Texts in which a base span is possible.
+MAY_HOLD = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9]|[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"
+#: Belief from which a node becomes a span; documents learned from; rounds of messages.
+CERTAIN, SAMPLE, ROUNDS = 0.7, 2_000, 12
+#: Digits that two like numbers share, letters of a local part, words on each side, hashed cues of a side.
+SHARED, LOCAL, WINDOW, CUES = 7, 4, 3, 16
+#: Share of base labels that are hidden, and words of each document without a label, in learning.
+HIDDEN, OTHERS = 0.3, 16
 STATES = 1 + len(KINDS)
 
 
@@ -83,7 +98,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Graph:
-    """Words of a text that hold a digit or an @: spans, features, base label (0: none) and edges by type."""
+    """Nodes of a text: spans, features, base labels (0: not known), keys of likeness, and edges by type."""
 
     spans: list[tuple[int, int]]
     features: np.ndarray
@@ -92,52 +107,195 @@ class Graph:
     skip: list[tuple[int, int]]
 
 
-def described(core: str, near: bool, after_plus: bool) -> list[float]:
-    digits = sum(map(str.isdigit, core))
-    steps = [float(low <= digits < high) for low, high in ((0, 1), (1, 4), (4, 7), (7, 9), (9, 12), (12, 20), (20, 1 << 30))]
-    letters = any(c.isalpha() for c in core)
-    return [1.0, *steps, float("@" in core), float(core.count(".") == 3 and not letters), float(letters), float("-" in core), float(core[:1] == "+"), float("(" in core), float(near), float(after_plus), float(digits == len(core))]
+def digits_of(core: str) -> str:
+    return "".join(c for c in core if "0" <= c <= "9")
 
 
-N_FEATURES = len(described("", False, False))
+def squeezed(core: str) -> str:
+    return "".join(c for c in core.lower() if c.isalnum())
 
 
-def graph(text: str, found: list[tuple[int, int, int]]) -> Graph:
-    spans, rows, labels, chain, skip = [], [], [], [], []
-    last: dict[str, int] = {}
-    k = 0
-    for m in WORD.finditer(text):
-        if not HOLDS.search(m[0]):
+def keys(core: str) -> set[str]:
+    """What a node may have in common with another one that means the same: the end or the beginning of a number, the local part of an address, the net of an ip."""
+    d, out = digits_of(core), set()
+    at = AT.search(core)
+    if at:
+        if len(local := squeezed(core[: at.start()])) >= LOCAL:
+            out.add("m" + local)
+        return out
+    if len(d) >= SHARED:
+        out.add("l" + d[-SHARED:])
+    if len(d) >= CARD_DIGITS[0]:
+        out.add("f" + d[: SHARED + 1])
+    if (net := NET.match(core)) is not None:
+        out.add("i" + net[1])
+    if len(d) < len(core) and (d or "." in core or "_" in core) and len(local := squeezed(core)) >= LOCAL + 2:
+        out.add("m" + local)
+    return out
+
+
+def hashed(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.lower()) % CUES
+
+
+def described(core: str, words: int, before: str, after: str) -> list[float]:
+    """Features of a node: shape, and hashed words on both sides."""
+    n = len(digits_of(core))
+    steps = [float(low <= n < high) for low, high in ((0, 1), (1, 4), (4, 7), (7, 9), (9, 12), (12, 20), (20, 1 << 30))]
+    letters = any(c.isalpha() for c in core)
+    out = [1.0, *steps, float("@" in core), float(core.count(".") >= 2 and not letters), float(letters), float("-" in core), float("+" in core), float("(" in core), float(words > 1), float(n == len(core))]
+    cues = [0.0] * (2 * CUES)
+    if before:
+        cues[hashed(before)] = 1.0
+    if after:
+        cues[CUES + hashed(after)] = 1.0
+    return out + cues
+
+
+N_FEATURES = len(described("", 1, "", ""))
+
+
+def pieces(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, label, words) of the words of a text: base spans whole, the words between them, and runs of short numbers that may be one longer one."""
+    out: list[tuple[int, int, int, int]] = []
+
+    def between(low: int, high: int) -> None:
+        run: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(run) > 1 and SHARED <= len(digits_of(text[run[0][0] : run[-1][1]])) <= CARD_DIGITS[1]:
+                out.append((run[0][0], run[-1][1], 0, len(run)))
+            else:
+                out.extend((a, b, 0, 1) for a, b in run)
+            run.clear()
+
+        for m in WORD.finditer(text, low, high):
+            core = m[0].strip(EDGE)
+            if not any(c.isalnum() for c in core):
+                continue
+            start = m.start() + m[0].find(core)
+            end = start + len(core)
+            if not NUMERIC.fullmatch(core) or len(digits_of(core)) > SHARED:
+                close()
+                out.append((start, end, 0, 1))
+                continue
+            if run and start - run[-1][1] > 1:
+                close()
+            run.append((start, end))
+        close()
+
+    at = 0
+    for start, kind, end in found:
+        if start < at:  # within another kind's span
             continue
-        core = m[0].strip(EDGE)
-        start = m.start() + m[0].find(core)
-        end = start + len(core)
-        while k < len(found) and found[k][2] <= start:
-            k += 1
-        label = next((1 + kind for a, kind, b in found[k : k + 8] if a < end and start < b), 0)
-        i = len(spans)
-        near = bool(spans) and start - spans[-1][1] <= 2
-        if near:
-            chain.append((i - 1, i))
-        rows.append(described(core, near, near and text[spans[-1][0]] == "+"))
+        between(at, start)
+        out.append((start, end, kind + 1, 1))
+        at = end
+    between(at, len(text))
+    return out
+
+
+def graph(text: str, found: list[tuple[int, int, int]]) -> Graph:
+    """Nodes are base spans, words with a digit or an @ or like a base span, and the WINDOW words on both sides of each."""
+    words = pieces(text, found)
+    cores = [text[a:b] for a, b, *_ in words]
+    known = [keys(c) if label or HOLDS.search(c) or "." in c or "_" in c else set() for c, (_, _, label, _) in zip(cores, words, strict=True)]
+    of_base = {k for x, (_, _, label, _) in zip(known, words, strict=True) if label for k in x}
+    near, last = [False] * len(words), -1
+    for i, (core, (_, _, label, _)) in enumerate(zip(cores, words, strict=True)):
+        if label or HOLDS.search(core) or known[i] & of_base:
+            for j in range(max(last + 1, i - WINDOW), min(len(words), i + WINDOW + 1)):
+                near[j] = True
+            last = min(len(words), i + WINDOW + 1) - 1
+    number = {i: n for n, i in enumerate(i for i, x in enumerate(near) if x)}
+    spans, rows, labels, chain, skip = [], [], [], [], set()
+    seen: dict[str, int] = {}
+    base_of: dict[str, int] = {}
+    for i, n in number.items():
+        start, end, label, size = words[i]
+        broken = i == 0 or "\n" in text[words[i - 1][1] : start]
+        if not broken and i - 1 in number:
+            chain.append((n - 1, n))
+        rows.append(described(cores[i], size, "" if broken else cores[i - 1], cores[i + 1] if i + 1 < len(words) else ""))
         spans.append((start, end)), labels.append(label)
-        digits = "".join(c for c in core if "0" <= c <= "9")
-        keys = {core.lower()} | ({"#" + digits[-SHARED:]} if len(digits) >= SHARED else set())
-        linked = {last[x] for x in keys if x in last}
-        skip += [(j, i) for j in linked if (j, i) not in chain[-1:]]
-        last.update(dict.fromkeys(keys, i))
-    return Graph(spans, np.array(rows).reshape(-1, N_FEATURES), np.array(labels, dtype=np.int64), chain, skip)
+        for key in known[i]:
+            skip |= {(d[key], n) for d in (seen, base_of) if key in d}
+            seen[key] = n
+            if label:
+                base_of[key] = n
+    return Graph(spans, np.array(rows).reshape(-1, N_FEATURES), np.array(labels, dtype=np.int64), chain, sorted(skip.difference(chain)))
 
 
 def neighbours(n: int, labels: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
-    """How many neighbours of each label each node has."""
+    """How many neighbours of each known label (not below 0) each node has."""
     out = np.zeros((n, STATES))
     for a, b in edges:
-        out[a, labels[b]] += 1
-        out[b, labels[a]] += 1
+        if labels[b] >= 0:
+            out[a, labels[b]] += 1
+        if labels[a] >= 0:
+            out[b, labels[a]] += 1
     return out
 
 
+def rewritten(kind: int, span: str, rng: random.Random) -> str:
+    """A base span as it may be written again: without its country code or domain, with other separators, or with a slip."""
+    d = digits_of(span)
+    if kind == 0:
+        local, domain = span.split("@", 1)
+        return rng.choice([f"{local}(at){domain}", f"{local}@{domain.split('.')[0]}", local])
+    if kind == 1:
+        return ".".join(span.split(".")[:3]) + rng.choice(["", ".*", ".x", ".999"])
+    if kind == 2:
+        k = rng.randrange(len(d))
+        d = d[:k] + str((int(d[k]) + rng.randint(1, 9)) % 10) + d[k + 1 :]
+        return rng.choice(["", " ", "-"]).join(d[i : i + 4] for i in range(0, len(d), 4)) if rng.random() < 0.5 else d
+    d = d[-10:] if len(d) > 10 else d
+    return rng.choice(["", "-", ".", " "]).join((d[:-7], d[-7:-4], d[-4:])).strip("-. ")
+
+
+def lesson(text: str, found: list[tuple[int, int, int]], rng: random.Random) -> np.ndarray:
+    """Rows of features, label, and counts of the labels of chain and skip neighbours to learn from.
+
+    Every base span is written again at the end, between the words that it stands between, and its label there is
+    hidden.  So are the labels of a share HIDDEN of the base spans.  Hidden nodes that have a known one for a
+    neighbour along a skip edge are learned; words that are no base span but like one are not observed; a
+    number of the other words are learned as no personal data."""
+    more, at, truth = [text], len(text), []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    for start, kind, end in found:
+        variant = rewritten(kind, text[start:end], rng)
+        i, j = bisect.bisect_left(starts, start), bisect.bisect_left(starts, end)
+        before = text[words[max(0, i - WINDOW)][0] : start].split("\n")[-1] if i else ""
+        after = text[end : words[min(len(words), j + WINDOW) - 1][1]].split("\n")[0] if j < len(words) else ""
+        before, after = (before and before.rstrip() + " "), (after and " " + after.lstrip())
+        more.append("\n" + before + variant + after)
+        truth.append((at + 1 + len(before), at + 1 + len(before) + len(variant), kind + 1))
+        at += len(more[-1])
+    whole = "".join(more)
+    g = graph(whole, base(whole))
+    n = len(g.labels)
+    shown = np.where(g.labels > 0, g.labels, -1)
+    like = neighbours(n, np.where(g.labels > 0, 1, -1), g.skip)[:, 1] > 0
+    goal = shown.copy()
+    ends = [b for _, b in g.spans]
+    for a, b, label in truth:
+        for i in range(bisect.bisect_right(ends, a), n):
+            if g.spans[i][0] >= b:
+                break
+            if g.labels[i] == 0 and like[i]:
+                goal[i] = label
+    hide = np.array([rng.random() < HIDDEN for _ in range(n)], dtype=bool)
+    shown[hide] = -1
+    goal[(goal < 0) & ~like] = 0
+    shown[(goal == 0) & (shown < 0)] = 0
+    skip, chain = neighbours(n, shown, g.skip), neighbours(n, shown, g.chain)
+    of_use = (goal > 0) & (skip[:, 1:].sum(axis=1) > 0)
+    others = np.nonzero(goal == 0)[0].tolist()
+    of_use[rng.sample(others, min(len(others), OTHERS))] = True
+    return np.concatenate([g.features, goal[:, None], chain, skip], axis=1)[of_use]
+
+
 @dataclass
 class Field:
     """Log potentials: of features and label, and of the labels of chain and skip neighbours."""
@@ -175,61 +333,47 @@ class Field:
         return own / own.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Field:
-    """Pseudo-likelihood: each label given the features and the labels of its neighbours."""
+def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 400, decay: float = 1e-2) -> Field:
+    """Pseudo-likelihood: each label given the features and the known labels of its neighbours, by Adam on all rows.  Features are held down, so that likeness decides."""
     if len(y) == 0 or (y == y[0]).all():
         return Field(np.zeros((N_FEATURES, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, STATES)), False)
     z = np.concatenate([x, chain, skip], axis=1)
-    w, step = np.zeros((z.shape[1], STATES)), np.zeros((z.shape[1], STATES))
-    goal = np.eye(STATES)[y]
-    rate = 4.0 / (1 + (z**2).sum(axis=1).mean())
-    for _ in range(steps):
+    w = np.zeros((z.shape[1], STATES))
+    moment, square = np.zeros_like(w), np.zeros_like(w)
+    goal, hold = np.eye(STATES)[y], np.full((z.shape[1], 1), decay)
+    hold[-STATES:] = decay / 100
+    for t in range(1, steps + 1):
         p = z @ w
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        step = 0.9 * step - rate * (z.T @ (p - goal) / len(y) + decay * w)
-        w += step
+        slope = z.T @ (p - goal) / len(y) + hold * w
+        moment += 0.1 * (slope - moment)
+        square += 0.001 * (slope**2 - square)
+        w -= 0.1 * (1 - t / steps) * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
     c, s = w[N_FEATURES : N_FEATURES + STATES], w[N_FEATURES + STATES :]
     return Field(w[:N_FEATURES], (c + c.T) / 2, (s + s.T) / 2)
 
 
 def added(text: str, found: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """Spans that the field finds beside the base ones; neighbours of one kind are one span."""
-    if not field.fitted:
+    """Spans that the field finds beside the base ones.  Without a base span there is nothing to agree with, and nothing is added."""
+    if not field.fitted or not found:
         return []
     g = graph(text, found)
-    if not (g.labels == 0).any() or not (g.labels > 0).any() and not len(g.spans):
-        return []
     p = field.beliefs(g)
     kind = p.argmax(axis=1)
-    out: list[tuple[int, int, int]] = []
-    last = -2
-    for i in np.nonzero((g.labels == 0) & (kind > 0) & (p.max(axis=1) >= CERTAIN))[0].tolist():
-        start, end = g.spans[i]
-        if end <= start:
-            continue
-        if last == i - 1 and out[-1][1] == kind[i] - 1 and start - out[-1][2] <= 2:
-            out[-1] = (out[-1][0], out[-1][1], end)
-        else:
-            out.append((start, int(kind[i]) - 1, end))
-        last = i
-    return out
+    sure = (g.labels == 0) & (kind > 0) & (p.max(axis=1) >= CERTAIN)
+    return [(g.spans[i][0], int(kind[i]) - 1, g.spans[i][1]) for i in np.nonzero(sure)[0].tolist()]
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field of at most sample documents with a digit or an @, those of the lowest hash of their text."""
+    """The field of at most sample documents that may hold a base span, those of the lowest hash of their text."""
 
     @F.arrow_udf("binary")
     def examples(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            g = graph(t, base(t))
-            n = len(g.labels)
-            out.append(np.concatenate([g.features, g.labels[:, None], neighbours(n, g.labels, g.chain), neighbours(n, g.labels, g.skip)], axis=1).astype("<f4").tobytes())
-        return pa.array(out, pa.binary())
+        return pa.array([lesson(t, base(t), random.Random(xxhash.xxh3_64_intdigest(t))).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
     # the hashes first: texts of all tasks' candidates would not fit the driver; of equal texts one is learned from
-    text = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike("[0-9@]"))
+    text = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike(MAY_HOLD))
     chosen = text.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     text = text.filter(F.col("h") <= F.lit(chosen)).dropDuplicates(["h"])
     rows = b"".join(r[0] for r in text.select("h", examples("text").alias("e")).orderBy("h").select("e").collect())

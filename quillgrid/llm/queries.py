@@ -70,7 +70,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
     said = lambda spans: F.array_join(F.transform(order(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.filter(F.col("base.kind"), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
