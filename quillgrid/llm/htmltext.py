@@ -1,18 +1,20 @@
-"""Main text of web pages: structure, and the difference from the page of the nearest URL.
+"""Main text of web pages: the difference from the pages of the nearest URLs, with structure as what is likely before.
 
-Markup names what is surely not text (menus, scripts, forms, adverts, comments ...) and, where a page has an
-article or main element, what may be.  Pages of a host are paired with the one next to them by URL path, the
-lines that may be text are aligned with all lines of that page by longest common subsequence, and shared ones,
-which are the site's and not the page's, are deleted.  Structure says which may go: not a title (h1) inside an
-article or main element, and of such an element never the larger part, as it would be a copy.
+Structure names what is surely not text (menus, scripts, forms ...), and where a page has an article or main
+element what is likely to be.  All pages lie in order of host and path, across all borders of tasks; each is
+paired with the NEAR pages of its host that are next to it, and all its lines are aligned with all lines of
+each of these by longest common subsequence.  Lines shared with two of them, or with the only one there is,
+are the site's and not the page's, and are deleted.  One neighbour alone does not tell a site's lines from those of
+a copy; two do.  Two copies of a page next to it would still take its text away, so where deletion would leave
+nothing of a page (or, inside an article or main element, where text is likely, the lesser part of its characters)
+lines stay.  A title (h1) inside such an element always stays.
 
-Pairs are found among pages whose paths differ in their last characters; what stays alone there is paired by
-folder, and then by host.  Groups of many pages are cut by a hash, so no host has to fit a task.
+Pages of equal html on a host are one page here, so exact copies are never paired with each other.
 
 Edge cases: null and empty pages give an empty text; tags cut off at the end are dropped; a null URL has no
-host and is paired with no page; a page whose lines are nearly all its partner's is a copy and keeps them;
-rows equal in all three columns are one page; ties in path go by page_id; an empty table gives no rows; only the named
-columns are read.
+host and is paired with no page; a page that is alone on its host keeps all that structure leaves; ties in path go by a
+hash of the html; repeated rows get equal texts; very long pages are aligned in time that grows with their lines times
+the places of equal lines, or by bits; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import settled
+from quillgrid.llm.common import parted, settled
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -43,15 +45,17 @@ MARKS = frozenset(
 )
 MARK = re.compile("[a-z0-9]+")
 SPLIT = re.compile("(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
-#: More than this share of its lines in common makes a page a copy of its partner.
-COPY = 0.8
-#: The same inside an article or main element, of characters: what a site repeats there is the lesser part.
-MAIN_COPY = 0.5
+#: Inside an article or main element lines stay if more than this share of its characters would go.
+MOST_GOES = 0.5
+#: Neighbours of a page, and how many of them must share a line that goes (or the only one).
+NEAR, SUPPORT = 4, 2
 #: Matching pairs of lines up to which an alignment goes by pairs; then by bits.
 MOST_PAIRS = 200_000
-#: Pages of a group that are sorted in one task.
-MOST_SORTED = 20_000
-SKETCH = "struct<own:array<bigint>,sizes:array<int>,fixed:array<int>,main:boolean,every:array<bigint>>"
+#: Pages in a row that one task pairs, more than NEAR.
+STRETCH = 1_000
+SKETCH = "struct<lines:array<bigint>,sizes:array<int>,kinds:array<tinyint>,main:boolean>"
+#: Kinds of lines: no text by structure, may be text, title.
+NO_TEXT, TEXT, TITLE = 0, 1, 2
 
 
 def marked(name: str, attributes: str, inside: bool) -> bool:
@@ -144,27 +148,28 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, bool]], bool]:
     return out, found
 
 
-def lines(found: list[tuple[str, bool, bool, bool]], main: bool) -> list[tuple[str, bool]]:
-    """Of blocks, those that may be text, with whether they are a title inside article or main."""
-    return [(text, main and title) for text, home, links, title in found if (home if main else not links)]
+def kinds(found: list[tuple[str, bool, bool, bool]], main: bool) -> list[int]:
+    """Of blocks, which may be text: with an article or main element those inside, else those that are not mostly links."""
+    return [(TITLE if main and title else TEXT) if (home if main else not links) else NO_TEXT for _, home, links, title in found]
 
 
 def parsed(pages: pa.Array) -> pa.Array:
-    return pa.array(["\n".join(text for text, _ in lines(*blocks(page.as_py() or ""))) for page in pages], pa.string())
+    out = []
+    for page in pages:
+        found, main = blocks(page.as_py() or "")
+        out.append("\n".join(text for (text, *_), kind in zip(found, kinds(found, main), strict=True) if kind))
+    return pa.array(out, pa.string())
 
 
 def sketched(pages: pa.Array) -> pa.Array:
-    """Of each page: hashes and sizes of the lines that may be text, which of them stay, whether it has article or main, and hashes of all its lines."""
+    """Of each page: hashes, sizes and kinds of all its lines, and whether it has article or main."""
     number = xxhash.xxh3_64_intdigest
-    own, sizes, fixed, mains, every = [], [], [], [], []
+    rows = []
     for page in pages:
         found, main = blocks(page.as_py() or "")
-        mine = lines(found, main)
-        own.append([number(t) - (1 << 63) for t, _ in mine]), sizes.append([len(t) for t, _ in mine]), fixed.append([k for k, (_, title) in enumerate(mine) if title])
-        mains.append(main), every.append([number(t) - (1 << 63) for t, *_ in found])
-    long, short = pa.list_(pa.int64()), pa.list_(pa.int32())
-    arrays = [pa.array(own, long), pa.array(sizes, short), pa.array(fixed, short), pa.array(mains, pa.bool_()), pa.array(every, long)]
-    return pa.StructArray.from_arrays(arrays, names=["own", "sizes", "fixed", "main", "every"])
+        rows.append(([number(t) - (1 << 63) for t, *_ in found], [len(t) for t, *_ in found], kinds(found, main), main))
+    types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.bool_()]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["lines", "sizes", "kinds", "main"])
 
 
 def aligned(a: list, b: list) -> set[int]:
@@ -214,47 +219,63 @@ def by_bits(a: list, b: list) -> set[int]:
     return out
 
 
-def shared(own: pa.Array, sizes: pa.Array, fixed: pa.Array, main: pa.Array, every: pa.Array) -> pa.Array:
-    """Positions of the own lines that go: those shared with a page of the lines every."""
-    out = []
-    for a, n, stay, inside, b in zip(*[x.to_pylist() for x in (own, sizes, fixed, main, every)], strict=True):
-        found = aligned(a, b)
-        copy = sum(n[k] for k in found) > MAIN_COPY * sum(n) if inside else len(found) > COPY * len(a)
-        out.append([] if copy else sorted(found.difference(stay)))
-    return pa.array(out, pa.list_(pa.int32()))
-
-
-def paired(rows: DataFrame) -> DataFrame:
-    """row, near: for each of rows (row, host, path, page_id) that can be paired, the row of the page next to it by path."""
-    folder = F.regexp_extract("path", r"^(.*/)", 1)
-    keys: list[Column] = [F.regexp_replace("path", r".{1,2}$", ""), folder, F.lit("")]
-    left, out = rows, None
-    for key in keys:
-        left = left.withColumn("key", F.xxhash64("host", key))
-        n = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        group = left.join(n, "key").withColumn("part", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / MOST_SORTED)))
-        order = Window.partitionBy("key", "part").orderBy("path", "page_id", "row")
-        found = group.select("row", "host", "path", "page_id", F.coalesce(F.lead("row").over(order), F.lag("row").over(order)).alias("near"))
-        found = settled(found.filter("near IS NOT NULL").select("row", "near"))
-        out = found if out is None else out.union(found)
-        left = left.drop("key").join(found, "row", "left_anti")
-    return out
+def goes(lines: list[int], sizes: list[int], kind: list[int], main: bool, near: list[list[int]]) -> list[int]:
+    """Places among the lines that may be text of those that go, given the lines of the neighbours."""
+    votes = [0] * len(lines)
+    for other in near:
+        for k in aligned(lines, other):
+            votes[k] += 1
+    need = min(SUPPORT, len(near))
+    text = [k for k, x in enumerate(kind) if x]
+    gone = [k for k in text if kind[k] == TEXT and votes[k] >= need > 0]
+    if len(gone) == len(text) or main and sum(sizes[k] for k in gone) > MOST_GOES * sum(sizes[k] for k in text):
+        return []
+    place = {k: n for n, k in enumerate(text)}
+    return [place[k] for k in gone]
+
+
+def compared(lines: pa.Array, sizes: pa.Array, kind: pa.Array, main: pa.Array, near: pa.Array) -> pa.Array:
+    return pa.array([goes(*row) for row in zip(*[x.to_pylist() for x in (lines, sizes, kind, main, near)], strict=True)], pa.list_(pa.int32()))
+
+
+def in_order(pages: DataFrame) -> DataFrame:
+    """pages (host, path, a, b ...) with place, their rank by host, path, a and b.  Ranges of the order are sorted apart; ranks follow from the sizes of the ranges before."""
+    order = ["host", "path", "a", "b"]
+    rows = settled(pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())).withColumn("range", F.shiftright("at", 33))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(heads), "range").withColumn("place", F.col("before") + (F.col("at") - F.shiftleft("range", 33))).drop("range", "at", "before")
+
+
+def paired(pages: DataFrame) -> DataFrame:
+    """pages (host, path, a, b, lines ...) with near: the lines of the NEAR pages that are next to each in order on its host, on both sides by turns.
+
+    Stretches of the order go to one task each; pages next to a border are sent to both sides."""
+    rows = in_order(pages).withColumn("own", F.floor(F.col("place") / STRETCH))
+    also = F.array_distinct(F.array("own", F.floor((F.col("place") - NEAR) / STRETCH), F.floor((F.col("place") + NEAR) / STRETCH)))
+    rows = rows.withColumn("stretch", F.explode(also))
+    order = Window.partitionBy("stretch").orderBy("place")
+    other = [f(F.struct("host", "lines"), k).over(order) for k in range(1, NEAR + 1) for f in (F.lag, F.lead)]
+    near = F.transform(F.slice(F.filter(F.array(*other), lambda x: x["host"] == F.col("host")), 1, NEAR), lambda x: x["lines"])
+    return rows.withColumn("near", near).filter("own = stretch").drop("own", "stretch", "place")
 
 
 def extracted(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url and text of every row of df."""
-    read, sketch, compare = F.arrow_udf(parsed, "string"), F.arrow_udf(sketched, SKETCH), F.arrow_udf(shared, "array<int>")
+    read, sketch, compare = F.arrow_udf(parsed, "string"), F.arrow_udf(sketched, SKETCH), F.arrow_udf(compared, "array<int>")
     html = F.coalesce("html", F.lit(""))
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    rows = rows.withColumns({"a": F.xxhash64("page_id", "url", html), "b": F.xxhash64(html, F.lit("b"), "url", "page_id")})
-    pages = rows.select("page_id", "url", "a", "b", sketch(html).alias("x")).select("page_id", "url", "a", "b", "x.*").filter("size(own) > 0")
     place = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)", 1)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
+    rows = rows.withColumns({"host": F.coalesce(place, F.lit("")), "a": F.xxhash64(html), "b": F.xxhash64(F.lit("b"), html)})
     # lines travel as hashes; texts are read again at the end
-    pages = settled(pages.withColumns({"host": place, "path": path}).filter("host <> ''").drop("url").dropDuplicates(["a", "b"]).withColumn("row", F.monotonically_increasing_id()))
-    pairs = paired(pages.select("row", "page_id", "host", "path"))
-    near = pairs.join(pages.select(F.col("row").alias("near"), "every"), "near").select("row", "every")
-    lost = near.join(pages.drop("every"), "row").select("a", "b", compare("own", "sizes", "fixed", "main", "every").alias("lost")).filter("size(lost) > 0")
-    out = rows.select("page_id", "url", "a", "b", read(html).alias("text")).join(lost, ["a", "b"], "left")
+    pages = rows.filter("host <> ''").select("host", path.alias("path"), "a", "b", sketch(html).alias("x")).select("host", "path", "a", "b", "x.*").filter("size(lines) > 0")
+    first = [F.first(c).alias(c) for c in ("lines", "sizes", "kinds", "main")]
+    pages = settled(pages.groupBy("host", "a", "b").agg(F.min("path").alias("path"), *first))
+    lost = paired(pages).filter("size(near) > 0").select(F.xxhash64("host", "a", "b").alias("found"), F.col("host").alias("h"), F.col("a").alias("c"), F.col("b").alias("d"), compare("lines", "sizes", "kinds", "main", "near").alias("lost"))
+    lost = settled(lost.filter("size(lost) > 0"))
+    some, rest = parted(rows.withColumn("wanted", F.xxhash64("host", "a", "b")), "wanted", lost, "found")
+    some = some.select("page_id", "url", "host", "a", "b", read(html).alias("text"))
+    some = some.join(lost, (F.col("host") == F.col("h")) & (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("lost", k)), "\n")
-    return out.select("page_id", "url", F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text"))
+    return some.select("page_id", "url", F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text")).union(rest.select("page_id", "url", read(html).alias("text")))

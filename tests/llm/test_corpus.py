@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -395,6 +397,67 @@ def test_html_site_lines_inside_articles(spark):
     assert got[5] == "Open page" and got[6] == "Guide\nText of the page with an article"
 
 
+def sites(rng):
+    """Pages of known text, without any element or name that says what is text: (page_id, url, html) and texts."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, truth = [], {}
+    for site in range(8):
+        top, side, foot = [line(3) for _ in range(6)], [line(4) for _ in range(20)], [line(12) for _ in range(4)]
+        ask = line(5)
+        for k in range(rng.randint(6, 30)):
+            text = [line(rng.randint(3, 40)) for _ in range(rng.randint(3, 12))]
+            block = rng.sample(side, len(side) - 1)
+            block.sort(key=side.index)
+            cut = rng.randint(1, len(text) - 1)
+            body = [*top, *text[:cut], ask, *text[cut:], *block, *foot]
+            i = len(rows)
+            rows.append((i, f"https://site{site}.org/{rng.choice(['a', 'b'])}/{rng.randint(1, 10**6)}?x={k}", "<html><body>" + "".join(rng.choice([f"<div>{x}</div>", f"<p>{x}", f"<section><span>{x}</span></section>"]) for x in body)))
+            truth[i] = "\n".join(text)
+    return rows, truth
+
+
+def differenced(rows):
+    """The same by brute force: of each host all pages sorted, and of each page the four next to it."""
+    by, out = {}, {}
+    for i, url, html in rows:
+        m = re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)([^?#]*)", url or "")
+        by.setdefault(m[1].lower() if m else "", {}).setdefault(html, []).append((m[2] if m else "", i))
+    for host, pages in by.items():
+        listed = sorted((min(p for p, _ in v), h) for h, v in pages.items())
+        found = [htmltext.blocks(h or "") for _, h in listed]
+        text = [[t for t, *_ in f] for f, _ in found]
+        kind = [htmltext.kinds(*f) for f in found]
+        for k, (_, h) in enumerate(listed):
+            near_ = [text[j] for d in range(1, 5) for j in (k - d, k + d) if host and 0 <= j < len(listed)][:4]
+            gone = set(htmltext.goes(text[k], [len(t) for t in text[k]], kind[k], found[k][1], near_))
+            kept = [t for t, x in zip(text[k], kind[k], strict=True) if x]
+            for _, i in pages[h]:
+                out[i] = "\n".join(t for n, t in enumerate(kept) if n not in gone)
+    return out
+
+
+@pytest.mark.parametrize("stretch", [7, 1_000])
+def test_html_pages_of_known_text(spark, monkeypatch, stretch):
+    monkeypatch.setattr(htmltext, "STRETCH", stretch)
+    rows, truth = sites(random.Random(9))
+    n = len(rows)
+    # copies: exact ones, one with another line, one of the same path; they take nothing from each other
+    rows += [(n + k, u.replace("?", "?again&"), h) for k, (_, u, h) in enumerate(rows[:10])] + [(n + 20 + k, u.replace("?", "/print?"), h + "<p>one line more of its own</p>") for k, (_, u, h) in enumerate(rows[:10])]
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == differenced(rows)
+    assert sum(got[k] == t for k, t in truth.items()) >= 0.95 * len(truth)
+
+
+def test_html_site_lines_outweigh_a_page(spark):
+    """Twenty lines of the site and three of the page: the site's go, though they are most of it."""
+    page = lambda k, tag: f"<{tag}>" + "".join(f"<p>Line {i} of every page here</p>" for i in range(20)) + "".join(f"<p>Own {k} line {i}</p>" for i in range(3)) + f"</{tag}>"
+    rows = [(k, f"http://a.org/{k}", page(k, "div")) for k in range(5)] + [(9, "http://b.org/", page(9, "div")), (10, "http://c.org/", "<p>text</p>" * 30_000 + "<p>end</p>"), (11, "http://c.org/x", "<p>text</p>" * 20_000 + "<p>other</p>")]
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(f"Own {k} line {i}" for i in range(3)) for k in range(5))
+    assert got[9].count("\n") == 22 and got[10].endswith("end") and got[11].endswith("other")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_alignment_by_bits(a, b):
@@ -423,35 +486,88 @@ def test_pii_base():
     assert pii.base("9" * 50_000) == [] and pii.base("") == []
 
 
+def contract_base(text):
+    """The patterns of the contract, as they are."""
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    tests = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), kind, m.end()) for kind, (pattern, good) in enumerate(tests) for m in re.finditer(pattern, text) if good(m))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab.@+-_ 0123459()x\n", max_size=60), st.lists(st.sampled_from(["a.b@c.de", "@x.y", "1.2.3.4", "255.256.1.1", "1.22.333.4.5", "4111 1111-1111 1111", "4111111111111112", "+1 (326) 555-7457", "+12", " ", "-", "9", "."]), max_size=8))
+def test_pii_base_is_the_contract(text, parts):
+    for t in (text, "".join(parts), text + "".join(parts)):
+        assert pii.base(t) == contract_base(t)
+
+
+def number(rng):
+    return f"+1 ({rng.randint(100, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+
+
+def cards(rng):
+    d = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    return next(d + str(k) for k in range(10) if pii.luhn(d + str(k)))
+
+
 def test_pii_field_carries_labels(spark):
     rng = random.Random(4)
-    card = "4111111111111111"
-    number = lambda: f"+1 ({rng.randint(100, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
     rows = []
     for k in range(300):
-        n = number()
-        rows.append((k, f"Call {n} now. In {rng.randint(1900, 2020)} he paid {rng.randint(1, 99)} for v{rng.randint(1, 9)}.{rng.randint(1, 9)}. Mail u{k}@x.org or u{k}@x.org, card {card}. Again {n}.", "en", "s", 0))
+        n, card, net = number(rng), cards(rng), ".".join(str(rng.randint(1, 250)) for _ in range(4))
+        rows.append((k, f"Call {n} now. In {rng.randint(1900, 2020)} he paid {rng.randint(1, 99)} for v{rng.randint(1, 9)}.{rng.randint(1, 9)}. Mail u{k}.{k}@x.org or u{k}.{k}@x.org, card {card} from {net}. Again {n}.", "en", "s", 0))
     for k, t in enumerate(ODD):
         rows.append((1000 + k, t, "en", "s", 0))
-    rows.append((2000, f"Pay {card} today. Then {card}x was seen, the year 1999 too.", "en", "s", 0))
+    for k in range(20):
+        rows.append((1100 + k, f"No data: {rng.randint(10**11, 10**12)} parts of {rng.randint(10**6, 10**7)} in v{k}.2.3, see a@b and +12 34.", "en", "s", 0))
+    wanted_ = {
+        2000: ("Pay 4111111111111111 today. Then 12 4111111111111111 was seen, the year 1999 too.", [("card", "4111111111111111")]),
+        2001: ("Pay 4111 1111 1111 1111. Or 4111111111111112 and 4111 1111 1111 1121, order 880011223344.", [("card", "4111111111111112"), ("card", "4111 1111 1111 1121")]),
+        2002: ("Call +1 (743) 555-3824. Or 743-555-3824, or 7435553824, not 743-555-9999 in 1999.", [("phone", "743-555-3824"), ("phone", "7435553824")]),
+        2003: ("Mail jane.33@x.org or jane.33(at)x.org, jane.33@x too; john.44@x is another.", [("email", "jane.33(at)x.org"), ("email", "jane.33@x")]),
+        2004: ("Of 10.1.2.3 and of 10.1.2.999, with v3.4.5 of it.", [("ip", "10.1.2.999")]),
+        2005: ("First 743-555-3824 stands, then +1 (743) 555-3824. " + "word " * 50_000 + "Last 7435553824.", [("phone", "743-555-3824"), ("phone", "7435553824")]),
+    }
+    rows += [(k, t, "en", "s", 0) for k, (t, _) in wanted_.items()]
     df = docs(spark, rows).withColumn("base", F.lit(1))
     got = {r.doc_id: r for r in pii.found(df).collect()}
     assert len(got) == len(rows)
+    texts = {x[0]: x[1] for x in rows}
     for k, r in got.items():
-        text = {x[0]: x[1] for x in rows}[k] or ""
-        assert [(s.start, s.kind, s.end) for s in r.base] == [(a, pii.KINDS[q], b) for a, q, b in pii.base(text)]
+        text = texts[k] or ""
+        assert [(s.start, s.kind, s.end) for s in r.base] == [(a, pii.KINDS[q], b) for a, q, b in contract_base(text)]
         assert all(not any(s.start < b.end and b.start < s.end for b in r.base) for s in r.added)
-    assert all(not got[k].added for k in range(300)) and not any(got[1000 + k].added for k in range(len(ODD)))
-    assert [(s.kind, rows[-1][1][s.start : s.end]) for s in got[2000].added] in ([("card", card + "x")], [])
-    assert pii.found(df.limit(0)).count() == 0
+        assert [(s.kind, text[s.start : s.end]) for s in r.added] == wanted_.get(k, (None, []))[1]
+    twice = pii.found(df.union(df)).filter("doc_id = 2001 AND size(added) = 2").count()
+    assert twice == 2 and pii.found(df.limit(0)).count() == 0
 
 
 def test_field_spreads_along_skip_edges():
     node = np.zeros((pii.N_FEATURES, pii.STATES))
     node[0, 0] = 0.5
     field = pii.Field(node, np.zeros((pii.STATES, pii.STATES)), np.eye(pii.STATES) * 6)
-    g = pii.graph("A 5557713444 b and 5557713444", [(2, 3, 12)])
-    assert g.skip == [(0, 1)] and field.beliefs(g)[1].argmax() == 4 and field.beliefs(g)[1].max() > 0.9
+    g = pii.graph("A +15557713444 b and 5557713444 c", [(2, 3, 14)])
+    k = [g.spans.index(x) for x in ((2, 14), (21, 31))]
+    assert g.skip == [tuple(k)] and field.beliefs(g)[k[1]].argmax() == 4 and field.beliefs(g)[k[1]].max() > 0.9
+
+
+def test_beliefs_are_exact_on_trees():
+    """Sum-product messages give the marginals of a chain, by brute force over all labels."""
+    rng = np.random.default_rng(5)
+    field = pii.Field(rng.normal(size=(pii.N_FEATURES, pii.STATES)), rng.normal(size=(pii.STATES, pii.STATES)), np.zeros((pii.STATES, pii.STATES)))
+    field.chain = (field.chain + field.chain.T) / 2
+    g = pii.Graph([(k, k + 1) for k in range(4)], rng.normal(size=(4, pii.N_FEATURES)) * 0.3, np.array([0, 2, 0, 0]), [(0, 1), (1, 2), (2, 3)], [])
+    own, total = g.features @ field.node, np.zeros((4, pii.STATES))
+    for y in itertools.product(range(pii.STATES), repeat=4):
+        if y[1] == 2:
+            weight = np.exp(own[[0, 2, 3], [y[0], y[2], y[3]]].sum() + sum(field.chain[y[a], y[b]] for a, b in g.chain))
+            total[np.arange(4), y] += weight
+    assert np.allclose(field.beliefs(g), total / total.sum(axis=1, keepdims=True), atol=0.01)
 
 
 # --- quality ---
