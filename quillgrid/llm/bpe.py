@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import lean
+
 #: Pieces (of the last and the present generation each) and token pairs that a worker remembers; full memories are emptied, which changes no result.
-PIECES_KEPT = 150_000
-PAIRS_KEPT = 200_000
+PIECES_KEPT = 80_000
+PAIRS_KEPT = 120_000
 LONGEST_KEPT = 64
 
 
@@ -241,6 +243,7 @@ def udfs(spark: SparkSession, path: str, pattern: str):
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
 
     @F.arrow_udf("array<int>")
+    @lean
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(shared)
         rows = [c.encode(t.as_py()) for t in texts]
@@ -249,11 +252,13 @@ def udfs(spark: SparkSession, path: str, pattern: str):
         return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), type=pa.int32()))
 
     @F.arrow_udf("binary")
+    @lean
     def decode(ids: pa.Array) -> pa.Array:
         c = codec(shared)
         return pa.array([None if x is None else c.decode(x) for x in each(ids)], type=pa.binary())
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,ids:array<int>>")
+    @lean
     def digest(ids: pa.Array) -> pa.Array:
         """The ids again with their number and digests, so that one worker does it all."""
         c, rows = codec(shared), list(each(ids))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import settled, small
+from quillgrid.llm.common import lean, settled, small
 from quillgrid.llm.components import components, joined
 
 BLOCK = 4096
@@ -133,6 +133,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, block: int = BLOCK)
     pivots = unit(np.array([p for p in chosen if len(p) == dim], dtype=np.float64)) if chosen else np.zeros((0, 1))
 
     @F.arrow_udf("array<double>")
+    @lean
     def angles(vectors: pa.Array) -> pa.Array:
         out = []
         for v in np.array_split(np.arange(len(vectors)), max(1, len(vectors) // 4096)):
@@ -166,7 +167,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, block: int = BLOCK)
     tiles = settled(tiles)
     sides = tiles.select("tile", "alone", F.col("block"), F.lit(0).alias("side")).union(tiles.filter("not alone").select("tile", "alone", F.col("block_"), F.lit(1)))
     dealt = known.select("id", "copies", "embedding", "block").join(sides, "block").select("tile", "alone", "side", "id", "copies", "embedding")
-    found = settled(dealt.groupBy("tile").applyInArrow(tile(threshold), "id long, links long, root long"))
+    found = settled(dealt.groupBy("tile").applyInArrow(lean(tile(threshold)), "id long, links long, root long"))
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

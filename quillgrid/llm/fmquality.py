@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import IS_SPACE, MIX, hashes, shingle_hashes, slices, utf8
+from quillgrid.llm.common import IS_SPACE, MIX, hashes, lean, shingle_hashes, slices, utf8
 
 #: Buckets of hashed words, factors, and the most labelled rows that are learned from (those of the lowest hash).
 BUCKETS, RANK, SAMPLE = 1024, 8, 8_000
@@ -185,6 +185,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
 
     @F.arrow_udf("struct<words:binary,stats:binary>")
+    @lean
     def taken(texts: pa.Array, *metadata: pa.Array) -> pa.Array:
         rows = [([r.astype("<f2").tobytes() for r in w], [r.tobytes() for r in s]) for k, n in slices(texts, ROWS) for w, s in [features(texts[k : k + n], *[m[k : k + n] for m in metadata])]]
         return pa.StructArray.from_arrays([pa.array([x for r in rows for x in r[c]], pa.binary()) for c in (0, 1)], names=["words", "stats"])
@@ -207,6 +208,7 @@ def scored(docs: DataFrame, machine: Machine) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
+    @lean
     def score(texts: pa.Array, *metadata: pa.Array) -> pa.Array:
         m, out = shared.value, [np.zeros(0)]
         for k, n in slices(texts, ROWS):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import parted, settled
+from quillgrid.llm.common import lean, parted, settled
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -262,7 +262,7 @@ def paired(pages: DataFrame) -> DataFrame:
 
 def extracted(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url and text of every row of df."""
-    read, sketch, compare = F.arrow_udf(parsed, "string"), F.arrow_udf(sketched, SKETCH), F.arrow_udf(compared, "array<int>")
+    read, sketch, compare = F.arrow_udf(lean(parsed), "string"), F.arrow_udf(lean(sketched), SKETCH), F.arrow_udf(lean(compared), "array<int>")
     html = F.coalesce("html", F.lit(""))
     place = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)", 1)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)

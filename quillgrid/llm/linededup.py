@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import ROW, packed, parted, settled
+from quillgrid.llm.common import ROW, lean, packed, parted, settled
 
 WIDTH = 3
 #: Words above which a passage counts whatever its lines.
@@ -81,7 +81,7 @@ def without(texts: pa.Array, starts: pa.Array) -> pa.Array:
 
 def repeats(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
     """doc_id, version (a hash of the text) and starts: position and size of windows that repeat an earlier one, of each document that has any."""
-    hashed = F.arrow_udf(windows(width, passage), "array<struct<position:int,size:int,a:bigint,b:bigint>>")
+    hashed = F.arrow_udf(lean(windows(width, passage)), "array<struct<position:int,size:int,a:bigint,b:bigint>>")
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", F.xxhash64(text).alias("version"), F.explode(hashed(text)).alias("w")).select("doc_id", "version", "w.*")
     rows = settled(rows)
@@ -103,7 +103,7 @@ def deduplicated(df: DataFrame, width: int = WIDTH, passage: int | None = None,
     rows = df.select(packed(df), F.col("doc_id").alias("__of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__v"))
     some, rest = parted(rows.withColumn("__key", key("__of", "__v")), "__key", found, "__found")
     some = some.join(found, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left")
-    cut = F.arrow_udf(without, "struct<text:string,removed:bigint>")
+    cut = F.arrow_udf(lean(without), "struct<text:string,removed:bigint>")
     some = some.select(ROW, cut(F.col(f"{ROW}.text"), F.col("__starts")).alias("__cut")).select(ROW, F.col("__cut.text").alias("__text"), F.col("__cut.removed").alias("__n"))
     rows = some.union(rest.select(ROW, F.col(f"{ROW}.text").alias("__text"), F.lit(0).cast("long").alias("__n")))
     return rows.select(*[(F.col("__text") if c == "text" else F.col(f"{ROW}.`{c}`")).alias(c) for c in df.columns], F.col("__n").alias(counted))

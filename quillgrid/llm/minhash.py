@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import MIX, hashes, parted, settled, shingle_hashes, sieved
+from quillgrid.llm.common import MIX, hashes, lean, parted, settled, shingle_hashes, sieved
 from quillgrid.llm.components import components, joined
 
 #: Places of the circle, bands, and coordinates of a band: of pairs of similarity 0.8 one in 12,000 shares no band, of 0.85 one in a million; of 0.5 every fourth does, of 0.3 one in 115.
@@ -149,7 +149,7 @@ def within(percent: int, width: int):
 
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of df (doc_id, text)."""
-    found = F.arrow_udf(sketch(width), SKETCH)
+    found = F.arrow_udf(lean(sketch(width)), SKETCH)
     rows = settled(df.select("doc_id", found("text").alias("s")).select("doc_id", "s.*"))
     linkable = rows.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     # of rows that repeat a doc_id one speaks for it; of documents of equal words the least doc_id
@@ -170,7 +170,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
     texts = df.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     if repeats:
         some, others = parted(texts, "id", repeated, "again")
-        key = F.arrow_udf(keyed, "binary")
+        key = F.arrow_udf(lean(keyed), "binary")
         some = some.withColumn("key", key("text")).join(heads.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "text")
         texts = some.union(others)
     compare = "u long, v long"
@@ -178,7 +178,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block:
     # 1. whole clusters by the bin, or blocks of large ones
     bins = max(1, members.count() // BIN)
     one = members.select("id", F.xxhash64("cluster", "block").alias("part"), F.lit(0).alias("side"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "block")).alias("bin"))
-    run = within(percent, width)
+    run = lean(within(percent, width))
     first = settled(sieved(texts, "id", members, "id").join(one, "id").groupBy("bin").applyInArrow(run, compare))
     edges = first
     large = members.filter("blocks > 1")

@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -369,6 +371,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """The field of at most sample documents that may hold a base span, those of the lowest hash of their text."""
 
     @F.arrow_udf("binary")
+    @lean
     def examples(texts: pa.Array) -> pa.Array:
         return pa.array([lesson(t, base(t), random.Random(xxhash.xxh3_64_intdigest(t))).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
@@ -388,6 +391,7 @@ def spans_udf(df: DataFrame, field: Field):
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     @F.arrow_udf("struct<base:array<struct<kind:string,start:bigint,end:bigint>>,added:array<struct<kind:string,start:bigint,end:bigint>>>")
+    @lean
     def find(texts: pa.Array) -> pa.Array:
         first, more = [], []
         for t in texts.to_pylist():
