@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import lean
 
-#: Pieces (of the last and the present generation each) and token pairs that a worker remembers; full memories are emptied, which changes no result.
-PIECES_KEPT = 80_000
-PAIRS_KEPT = 120_000
+#: Pieces and token pairs that a worker remembers, of the last and the present generation each; full memories are emptied, which changes no result.
+PIECES_KEPT = 100_000
+PAIRS_KEPT = 60_000
 LONGEST_KEPT = 64
 
 
@@ -78,16 +78,21 @@ class PrefixEncoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.before: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in vocabulary.usable.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether the encoding of the bytes of a and b is a, b; remembered in pairs."""
+        """Whether the encoding of the bytes of a and b is a, b; remembered in pairs, and until they are next full in the ones before."""
+        known = self.before.get((a, b))
+        if known is None:
+            known = self._fits(a, b)
         if len(self.pairs) >= PAIRS_KEPT:
+            self.before = dict(self.pairs)
             self.pairs.clear()
-        known = self.pairs[a, b] = self._fits(a, b)
+        self.pairs[a, b] = known
         return known
 
     def _fits(self, a: int, b: int) -> bool:
