@@ -106,8 +106,8 @@ class Link:
 class Document:
     """Parts are computed when first asked for."""
 
-    def __init__(self, text: str, style: str = "microsoft") -> None:
-        self.text, self.style = text, style
+    def __init__(self, text: str, style: str = "microsoft", adverbs: frozenset[str] | None = None) -> None:
+        self.text, self.style, self.adverbs = text, style, adverbs
 
     @cached_property
     def masked(self) -> str:

@@ -69,3 +69,40 @@ def span_hash(text: Column) -> Column:
 
 def text_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 16)
+
+
+def utf16(text: Column, offset: Column) -> Column:
+    """An offset in code points as one in UTF-16 units, as editors count; past the end it is the end."""
+    return (F.octet_length(F.encode(F.substring(text, F.lit(1), F.greatest(offset, F.lit(0))), "UTF-16BE")) / 2).cast("int")
+
+
+def squeezed(text: Column) -> Column:
+    """White space at the ends of lines and of the text gone, empty lines at most one in a row, and one line end at the end."""
+    even = F.regexp_replace(F.regexp_replace(text, "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
+    return F.concat(F.regexp_replace(even, r"^[ \t\n\r]+|[ \t\n\r]+\z", ""), F.lit("\n"))
+
+
+def stripped(text: Column, mode: str = "none") -> Column:
+    """A text before it goes to a model: as it is, with even white space, or as Python without strings over lines and comments."""
+    if mode == "none":
+        return text
+    if mode == "whitespace":
+        return squeezed(text)
+    if mode == "python":
+        bare = F.regexp_replace(text, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "")
+        return squeezed(F.regexp_replace(bare, r"(?m)(?:^|[\t ])#[^\n\r]*$", ""))
+    raise ValueError(f"no such mode: {mode}")
+
+
+def cache_key(*parts: Column) -> Column:
+    """SHA-256 of what a model's input depends on (its file, its text), as a key of kept results."""
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+def hrefs(html: Column) -> Column:
+    """Targets of a page's plain links."""
+    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
+
+
+def heading_levels(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit("<h([1-6])[^>]*>"), F.lit(1)).cast("array<int>")

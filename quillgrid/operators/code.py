@@ -126,20 +126,31 @@ def proposals(files: DataFrame) -> DataFrame:
     )
 
 
+def exported(names: str) -> list[str]:
+    """Names of an export list, as they are known outside."""
+    return [x.split(" as ")[-1].strip() for x in (" ".join(part.split()) for part in names.split(",")) if x]
+
+
+def shown(match: str) -> str:
+    """A signature on one line, without what opens its body."""
+    line = " ".join(match.split())
+    for opener in ("{", "=>", "="):
+        line = line.removesuffix(opener).rstrip()
+    return line
+
+
 def surface_of(path: str, text: str) -> list[tuple[str, str, str, int]]:
-    """(name, kind, signature, line) of what a file offers, in order of lines."""
-    out: list[tuple[str, str, str, int]] = []
-    seen: set[str] = set()
-    for pattern, kind in next((v for k, v in SURFACE.items() if re.search(k, path, re.I)), ()):
+    """(name, kind, signature, line) of what a file offers, in order of lines; of equal names the first pattern's."""
+    patterns = next((found for name, found in SURFACE.items() if re.search(name, path, re.I)), [])
+    first: dict[str, tuple[str, str, str, int]] = {}
+    for pattern, kind in patterns:
         for m in compiled(pattern, "gm").finditer(text):
             line = text.count("\n", 0, m.start()) + 1
-            names = [(re.split(r"\s+as\s+", x) + [""])[1].strip() or x.strip() for x in m[1].split(",")] if kind == "list" else [m[1]]
-            for name in names:
-                if name and not name.startswith("_") and name not in seen:
-                    seen.add(name)
-                    shown = re.sub(r"\s+", " ", re.sub(r"\s*=>?\s*$", "", re.sub(r"\s*\{\s*$", "", m[0]))).strip()
-                    out.append((name, "export", f"export {name}", line) if kind == "list" else (name, kind, shown, line))
-    return sorted(out, key=lambda x: x[3])
+            offered = [(n, "export", f"export {n}") for n in exported(m[1])] if kind == "list" else [(m[1], kind, shown(m[0]))]
+            for name, what, signature in offered:
+                if name and name[0] != "_":
+                    first.setdefault(name, (name, what, signature, line))
+    return sorted(first.values(), key=lambda x: x[3])
 
 
 def surface(files: DataFrame, folder: str = "") -> DataFrame:
@@ -156,13 +167,88 @@ def surface(files: DataFrame, folder: str = "") -> DataFrame:
     return rows.select("path", F.inline(run("path", "text")))
 
 
-def rendered(items: DataFrame, most: int = 8000) -> DataFrame:
-    """chunk, path, text: signatures by file, files gathered in chunks of at most so many characters, none cut; a larger file is a chunk of its own."""
-    per = items.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", F.substring("signature", 1, 160).alias("s")))).alias("all"))
-    per = per.select("path", F.concat(F.lit("// === "), "path", F.lit(" ===\n"), F.array_join(F.transform("all", lambda x: x["s"]), "\n")).alias("text"))
-    # a file's chunk follows from the sum of lengths before it: within a top folder, so that folders are independent
-    order = Window.partitionBy(F.regexp_extract("path", "^([^/]*)", 1)).orderBy("path")
-    return per.withColumn("chunk", F.floor((F.sum(F.length("text")).over(order) - 1) / most)).select("chunk", "path", "text")
+#: Characters of a chunk, of a signature in it, and what a file's heading takes.
+CHUNK, SIGNATURE, HEADING = 8000, 160, 12
+
+
+def _packed(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Numbers the files of a folder (in order of path) by chunk: a new one begins where the next file would not fit."""
+        rows = sorted(zip(table["folder"].to_pylist(), table["path"].to_pylist(), table["cost"].to_pylist(), strict=True))
+        out, chunk, size = [], 0, 0
+        for folder, path, cost in rows:
+            if size and size + cost > most:
+                chunk, size = chunk + 1, 0
+            size += cost
+            out.append({"folder": folder, "path": path, "chunk": chunk})
+        return pa.Table.from_pylist(out, pa.schema([("folder", pa.string()), ("path", pa.string()), ("chunk", pa.int32())]))
+
+    return run
+
+
+def rendered(items: DataFrame, most: int = CHUNK) -> DataFrame:
+    """folder, chunk, path, first, text, items of surface items (path, name, signature, line).
+
+    Files of a top folder are gathered, in order of path, in chunks of at most so many characters, none cut; a larger file is a chunk of
+    its own, and folders are independent.  first is the line of the chunk that a file's heading has, text its part of the chunk, and
+    items its (name, line) in the order of the lines below the heading."""
+    row = F.struct("line", "name", F.substring("signature", 1, SIGNATURE).alias("s"))
+    per = items.groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("all")).withColumn("folder", F.regexp_extract("path", "^(?:([^/]*)/)?", 1))
+    cost = F.length("path") + HEADING + F.aggregate("all", F.lit(0), lambda n, x: n + F.length(x["s"]) + 1)
+    placed = per.select("folder", "path", cost.alias("cost")).groupBy("folder").applyInArrow(_packed(most), "folder string, path string, chunk int")
+    text = F.concat(F.lit("// === "), "path", F.lit(" ===\n"), F.array_join(F.transform("all", lambda x: x["s"]), "\n"))
+    out = per.join(placed, ["folder", "path"]).select("folder", "chunk", "path", text.alias("text"), F.transform("all", lambda x: F.struct(x["name"], x["line"])).alias("items"))
+    # blocks of a chunk stand one empty line apart
+    before = Window.partitionBy("folder", "chunk").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("first", F.coalesce(F.sum(F.size("items") + 2).over(before), F.lit(0)) + 1)
+
+
+def chunk_texts(rows: DataFrame) -> DataFrame:
+    """folder, chunk, text, map of what rendered() gives: the whole text of each chunk, and for each of its lines the item that it shows (null: none)."""
+    part = F.struct("first", "path", "text", "items")
+    per = rows.groupBy("folder", "chunk").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    none = F.lit(None).cast("struct<path:string,name:string,line:int>")
+    of = lambda p: F.concat(F.array(none), F.transform(p["items"], lambda i: F.struct(p["path"].alias("path"), i["name"].alias("name"), i["line"].cast("int").alias("line"))), F.array(none))
+    return per.select("folder", "chunk", F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("text"), F.flatten(F.transform("parts", of)).alias("map"))
+
+
+def items_of_span(text: str, lines: list[dict | None], span: str) -> list[dict]:
+    """The items of a chunk's text that a span of it covers.  The span's first 16 words are looked for in order, with up to 16 other characters between two."""
+    words = compiled(r"^/[\s\S]*?===\s*").sub("", span).split()[:16]
+    m = re.search(r"[\s\S]{0,16}?".join(map(re.escape, words)), text) if words else None
+    if m is None:
+        return []
+    touched = lines[text.count("\n", 0, m.start()) : text.count("\n", 0, m.end()) + 1]
+    found: dict[tuple, dict] = {}
+    for item in filter(None, touched):
+        found.setdefault((item["path"], item["name"]), item)
+    return list(found.values())
+
+
+def unexplained(chunks: DataFrame, flags: DataFrame) -> DataFrame:
+    """path, name, line, score of items of chunks (folder, chunk, text, map) that flags (folder, chunk, text, score) of a scan of the documents name as hardly attended to: the least score of each, least first."""
+    ship(chunks.sparkSession)
+    item = pa.struct([("path", pa.string()), ("name", pa.string()), ("line", pa.int32())])
+
+    @F.arrow_udf("array<struct<path:string,name:string,line:int>>")
+    def run(texts: pa.Array, maps: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([items_of_span(*x) for x in zip(texts.to_pylist(), maps.to_pylist(), spans.to_pylist(), strict=True)], pa.list_(item))
+
+    met = flags.select("folder", "chunk", F.col("text").alias("span"), "score").join(chunks, ["folder", "chunk"])
+    rows = met.select("score", F.explode(run("text", "map", "span")).alias("i")).select("i.*", "score")
+    return rows.groupBy("path", "name", "line").agg(F.min("score").alias("score")).orderBy("score", "path", "name")
+
+
+#: Pages that do not describe an interface, and those that come first.
+# Fixed values.
+NOT_API_PAGE = r"(?i)(^|/)(_sidebar|_navbar|_coverpage|SUMMARY|CHANGELOG|CODE_OF_CONDUCT|LICENSE|GOVERNANCE|PRODUCT|STYLE|FACTS)\.(md|mdx|markdown)\z|(^|/)(blog|news|_posts|vendor|vendored|3rdparty|third[-_]?party)/|\.api\.mdx\z"
+PAGE = r"(?i)\.(md|mdx|markdown)\z"
+
+
+def api_pages(pages: DataFrame) -> DataFrame:
+    """The pages (path, text) that should describe an interface, those of the documentation folder first, then the readme."""
+    rank = F.when(F.col("path").rlike("(?i)^docs?/"), 0).when(F.col("path").rlike(r"(?i)^readme\."), 1).otherwise(2)
+    return pages.filter(F.col("path").rlike(PAGE) & ~F.col("path").rlike(NOT_API_PAGE)).orderBy(rank, "path")
 
 
 BEFORE_PATTERN = frozenset("(=:,[!&|?{};+-*%<>~^\n")
@@ -274,6 +360,7 @@ def readable(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").rlike(r"(?i)\.(js|jsx|ts|tsx|mjs|cjs|py)\z")).select("path", run("path", "text").alias("text"))
 
 
+# Paths that suggest a rule, and what it says.
 EXCLUDED = ["**/*.test.*", "**/*.spec.*", "**/*_test.*", "**/*.snap"]
 COUPLINGS = (
     ("api-docs", r"(?i)(^|/)(api|controllers?|routes|handlers|endpoints|resolvers)\z", r"(?i)(^|/)(openapi|swagger)[^/]*\.(ya?ml|json)\z|\.proto\z", "The API changed: update its reference"),
@@ -283,11 +370,11 @@ COUPLINGS = (
 )
 
 
-def discovered(paths: DataFrame) -> DataFrame:
-    """name, paths, notify: edit rules that the tree paths (path) suggests, at most 6 folders and 4 files each, by name."""
-    parts = F.split("path", "/")
-    folders = paths.select(F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))).select(F.col("col").alias("path"), F.lit(True).alias("folder"))
-    tree = folders.union(paths.select("path", F.lit(False))).distinct()
+def discovered(paths: DataFrame, deepest: int | None = 5) -> DataFrame:
+    """name, paths, notify: edit rules that the tree paths (path) suggests, at most 6 folders and 4 files each, by name; folders below a depth are not looked into (None: all are)."""
+    parts, most = F.split("path", "/"), F.lit(1 << 20 if deepest is None else deepest + 1)
+    folders = paths.select(F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.least(most, F.greatest(F.lit(1), F.size(parts) - 1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))).select(F.col("col").alias("path"), F.lit(True).alias("folder"))
+    tree = folders.union(paths.filter(F.size(parts) <= most).select("path", F.lit(False))).distinct()
 
     def kind(folder: str, file: str) -> Column:
         return F.when(F.col("folder"), F.col("path").rlike(folder)).otherwise(F.col("path").rlike(file))

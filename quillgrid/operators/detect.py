@@ -34,6 +34,8 @@ class Settings:
     ignore_rules: frozenset[str] = frozenset()
     ignore_values: tuple[tuple[str, tuple[str, ...]], ...] = ()
     only: frozenset[str] | None = None
+    #: Words that microsoft-adverbs looks for, in place of its rule.
+    adverbs: frozenset[str] | None = None
 
 
 def active(settings: Settings, rules: list[Rule] = RULES) -> list[tuple[int, Rule]]:
@@ -67,7 +69,7 @@ class Detector:
         return sorted(out)
 
     def find(self, text: str) -> list[tuple]:
-        doc = Document(text, self.settings.style)
+        doc = Document(text, self.settings.style, self.settings.adverbs)
         if beyond_latin(doc.masked):
             return []
         out = []
@@ -146,6 +148,14 @@ def ordered(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.orderBy(key, rank(F.col("severity")), "line", "col", "rule_id")
 
 
+def merged(*kinds: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings of several checkers of an edit in one order: the most severe first, then by line, so that a cut drops what matters least."""
+    out = kinds[0]
+    for more in kinds[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.orderBy(key, rank(F.col("severity")), "line")
+
+
 def deduplicated(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first finding of each rule and offset by seq, for findings from several detectors."""
     first = F.min_by(F.struct(*[F.col(c) for c in findings.columns]), "seq")

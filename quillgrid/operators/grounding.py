@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillgrid import ship
 from quillgrid.functions.dialect import compiled
 from quillgrid.functions.segment import BLANKS, Document
-from quillgrid.plans.session import settled, spread
+from quillgrid.plans.session import accumulated, settled, spread
 
 # Words that carry no content, months, and when a fact is relevant.
 STOP = frozenset(
@@ -170,26 +170,52 @@ def read_facts(text: str) -> list[tuple[int, str, str | None]]:
     return out
 
 
-def best(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n, fact, score, shared of the claims that share a token or an entity with a fact: the fact of the highest score, the first of equals.
+def facts_of_document(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """fact, text, source of the sentences of documents, which may be facts to hold others to; fact counts in the order of key and place."""
+    rows = claims(docs, key, text).filter("text <> ''").select(key, "n", "text")
+    return accumulated(rows, [F.col(key), F.col("n")], fact=F.lit(1).cast("long")).select("fact", "text", F.lit(None).cast("string").alias("source"))
+
+
+def with_fact(table: DataFrame, text: str, source: str | None = None) -> DataFrame:
+    """table (fact, text, source) and one more fact at its end, unless it is there."""
+    line = " ".join(text.split())
+    last = table.agg(F.max("fact"), F.max((F.col("text") == line).cast("int"))).first()
+    if not line or last[1]:
+        return table
+    new = table.sparkSession.createDataFrame([((last[0] or 0) + 1, line, source)], "fact long, text string, source string")
+    return table.unionByName(new)
+
 
-    Terms that many facts hold would pair every claim with every fact.  They are used by sets: facts of one set
-    of such terms score alike for a claim that shares nothing else with them, so the first stands for all.
-    Facts that share a rarer term are found by it."""
-    f = table.select("fact", F.explode(F.concat("fact_tokens", F.transform("fact_entities", lambda e: F.concat(F.lit(ENTITY), e)))).alias("term"))
-    c = rows.select(key, "n", F.explode(F.array_distinct(F.concat("tokens", F.transform("entities", lambda e: F.concat(F.lit(ENTITY), e))))).alias("term"))
+def best(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n, fact, score, shared of the claims that share a token or an entity with a fact: the fact of the highest score, the first of equals; pairs below LEAST_SCORE are left out.
+
+    Facts that share a term that few facts hold are found by it.  Others share frequent terms only, of a weight of LEAST_SCORE in all: two
+    of them, or one that the claim says three times; they are found by pairs of terms, which far fewer facts hold than any one.  Facts of
+    one set of frequent terms score alike for a claim that shares nothing else with them, so there the first stands for all."""
+    term = lambda e: F.concat(F.lit(ENTITY), e)
+    f = table.select("fact", F.explode(F.concat("fact_tokens", F.transform("fact_entities", term))).alias("term"))
+    c = rows.select(key, "n", F.explode(F.concat("tokens", F.transform("entities", term))).alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("times"))
     often = settled(f.groupBy("term").count().filter(F.col("count") > OFTEN).select("term"))
     rare = c.join(f.join(often, "term", "left_anti"), "term").select(key, "n", "fact")
     sets = f.join(often, "term").groupBy("fact").agg(F.sort_array(F.collect_set("term")).alias("terms")).groupBy("terms").agg(F.min("fact").alias("fact"))
-    common = c.join(often, "term").join(sets.select("fact", F.explode("terms").alias("term")), "term").select(key, "n", "fact")
+    held = c.join(often, "term").groupBy(key, "n").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.collect_list(F.when(F.col("times") >= LEAST_SCORE, F.col("term"))).alias("loud"))
+    pairs = F.flatten(F.transform("terms", lambda t, k: F.transform(F.slice("terms", k + 2, F.size("terms")), lambda u: F.xxhash64(t, u))))
+    ones = lambda terms: F.transform(terms, lambda t: F.xxhash64(t))
+    common = held.select(key, "n", F.explode(F.concat(pairs, ones("loud"))).alias("k")).join(sets.select("fact", F.explode(F.concat(pairs, ones("terms"))).alias("k")), "k").select(key, "n", "fact")
     met = rare.union(common).distinct().join(rows.select(key, "n", "tokens", "entities"), [key, "n"]).join(table.select("fact", "fact_tokens", "fact_entities"), "fact")
     count = lambda mine, theirs: F.size(F.filter(mine, lambda x: F.array_contains(F.col(theirs), x)))
     met = met.select(key, "n", "fact", count("tokens", "fact_tokens").alias("shared"), count("entities", "fact_entities").alias("names"))
-    scores = met.withColumn("score", F.col("shared") + ENTITY_WEIGHT * F.col("names"))
+    scores = met.withColumn("score", F.col("shared") + ENTITY_WEIGHT * F.col("names")).filter(F.col("score") >= LEAST_SCORE)
     top = F.max_by(F.struct("fact", "score", "shared"), F.struct("score", -F.col("fact")))
     return scores.groupBy(key, "n").agg(top.alias("b")).select(key, "n", "b.*")
 
 
+def in_report_order(findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings of facts as they are reported: errors first, then by line and order of claims."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    return findings.orderBy(key, rank, "line", "seq")
+
+
 def checked(docs: DataFrame, fact_rows: DataFrame, from_source: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Findings: claims that contradict their fact, and claims without one.  fact_rows: fact, text, source."""
     table = settled(facts(fact_rows))

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from quillgrid import ship
 from quillgrid.functions.text import span_hash
+from quillgrid.plans.session import accumulated
 
 # The columns, relations and states of edges, and how much text one keeps.
 RELATIONS = ("documents", "implements", "describes", "duplicates", "derives-from", "related")
 STATUSES = ("proposed", "confirmed", "rejected")
 KEPT = 1200
+#: Lines of a cell in which overlaps are looked for.
+CELL = 50
 SIDES = ("src", "dst")
 SCHEMA = (
     "id int, src_file string, src_start int, src_end int, dst_file string, dst_start int, dst_end int, src_symbol string, dst_symbol string, rel string, score double, via string, status string, note string, curated_by string, src_hash string, dst_hash string, src_text string, dst_text string, created_at timestamp, updated_at timestamp"
@@ -38,14 +41,22 @@ def with_spans(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _first_ones(table: pa.Table) -> pa.Table:
-    """Proposals of one pair of files, in order, without those that overlap an edge or an earlier proposal on both sides, of the same symbol."""
+    """Proposals of one pair of files, in order, without those that overlap an edge or an earlier proposal on both sides, of the same symbol.
+
+    Kept spans lie in the cells of a grid of lines by symbol, so that a proposal meets only those near it."""
     rows = sorted(table.to_pylist(), key=lambda r: (not r["old"], r["seq"]))
-    kept: list[dict] = []
+    grid: dict[tuple, list[dict]] = {}
+    out = []
     meet = lambda a, b, s: a[s + "_start"] <= b[s + "_end"] and b[s + "_start"] <= a[s + "_end"]
     for r in rows:
-        if r["old"] or not any(k["src_symbol"] == r["src_symbol"] and meet(k, r, "src") and meet(k, r, "dst") for k in kept):
-            kept.append(r)
-    return pa.Table.from_pylist([{"seq": r["seq"]} for r in kept if not r["old"]], pa.schema([("seq", pa.int64())]))
+        cells = [(r["src_symbol"], c) for c in range(r["src_start"] // CELL, r["src_end"] // CELL + 1)]
+        if not r["old"]:
+            if any(meet(k, r, "src") and meet(k, r, "dst") for cell in cells for k in grid.get(cell, ())):
+                continue
+            out.append({"seq": r["seq"]})
+        for cell in cells:
+            grid.setdefault(cell, []).append(r)
+    return pa.Table.from_pylist(out, pa.schema([("seq", pa.int64())]))
 
 
 def proposed(edges: DataFrame, proposals: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,9 +70,15 @@ def proposed(edges: DataFrame, proposals: DataFrame, files: DataFrame) -> DataFr
     live = with_spans(proposals, files).filter("src_now IS NOT NULL AND dst_now IS NOT NULL")
     both = pick(edges.withColumn("seq", F.col("id")), True).union(pick(live, False))
     new = live.join(both.groupBy("src_file", "dst_file").applyInArrow(_first_ones, "seq long"), "seq")
-    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("seq")) + F.col("top")
-    made = new.crossJoin(F.broadcast(top)).withColumns({"id": number, "status": F.lit("proposed"), "rel": F.coalesce("rel", F.lit("related")), "via": F.coalesce("via", F.lit("manual"))})
+    made = new.withColumns({"status": F.lit("proposed"), "rel": F.coalesce("rel", F.lit("related")), "via": F.coalesce("via", F.lit("manual"))})
+    return appended(edges, made, [F.col("seq")])
+
+
+def appended(edges: DataFrame, made: DataFrame, order: list[Column]) -> DataFrame:
+    """edges and the rows of made, numbered on in an order, with hash and text of their spans as they are now (src_now, dst_now)."""
+    top = edges.agg(F.max("id")).first()[0] or 0
+    made = accumulated(made, order, __before=F.lit(1))
+    made = made.withColumn("id", F.col("__before") + (top + 1))
     for side in SIDES:
         made = made.withColumns({f"{side}_hash": span_hash(F.col(f"{side}_now")), f"{side}_text": F.substring(f"{side}_now", 1, KEPT)})
     return edges.unionByName(made.select(*[made[c].cast(t) if c in made.columns else _default(c).cast(t).alias(c) for c, t in edges.dtypes]))
@@ -79,6 +96,12 @@ def from_associations(assoc: DataFrame, least: float = 0.0) -> DataFrame:
     )
 
 
+def all_proposals(symbols: DataFrame, assoc: DataFrame, least: float = 0.0) -> DataFrame:
+    """Proposals by symbols and by associations, those by symbols first in seq."""
+    first = lambda df, k: df.withColumn("seq", F.shiftrightunsigned("seq", 2) + F.lit(k << 62))
+    return first(symbols, 0).unionByName(first(from_associations(assoc, least), 1), allowMissingColumns=True)
+
+
 def listed(edges: DataFrame, status: str | None = None, file: str | None = None, most: int | None = None) -> DataFrame:
     """Proposed ones first, then by score."""
     out = edges if status is None else edges.filter(F.col("status") == status)
@@ -102,12 +125,8 @@ def curated(edges: DataFrame, decisions: DataFrame, files: DataFrame) -> DataFra
 def linked(edges: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
     """edges and links (src_file, src_start, src_end, dst_*, rel, note, by) that a curator states: confirmed at once."""
     rows = with_spans(links, files).filter("src_now IS NOT NULL AND dst_now IS NOT NULL")
-    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("src_file", "src_start", "dst_file", "dst_start")) + F.col("top")
-    made = rows.crossJoin(F.broadcast(top)).withColumns({"id": number, "status": F.lit("confirmed"), "via": F.lit("manual"), "curated_by": F.col("by"), "rel": F.coalesce("rel", F.lit("related"))})
-    for side in SIDES:
-        made = made.withColumns({f"{side}_hash": span_hash(F.col(f"{side}_now")), f"{side}_text": F.substring(f"{side}_now", 1, KEPT)})
-    return edges.unionByName(made.select(*[made[c].cast(t) if c in made.columns else _default(c).cast(t).alias(c) for c, t in edges.dtypes]))
+    made = rows.withColumns({"status": F.lit("confirmed"), "via": F.lit("manual"), "curated_by": F.col("by"), "rel": F.coalesce("rel", F.lit("related"))})
+    return appended(edges, made, [F.col(c) for c in ("src_file", "src_start", "dst_file", "dst_start")])
 
 
 def moved_to(text: Column, start: Column, end: Column, hash_: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quillgrid import ship
 from quillgrid.operators import grounding
+from quillgrid.operators.detect import Settings, findings_udf, rank
+from quillgrid.plans import lexicons as L
+from quillgrid.plans.session import accumulated
 
 # Thresholds of the model tiers.
 CONTRADICTS, ENTAILS, LOOKBACK, SHORTEST_CLAIM, SLOP, SHORTEST_SPAN = 0.6, 0.55, 0.10, 12, 0.15, 12
@@ -80,44 +85,176 @@ def paragraphs(text: Column, longest: int = 1000) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / longest).cast("int")), lambda k: F.substring(p, k * longest + 1, longest))))
 
 
-def coverage(attention: DataFrame, by: str, threshold: float = 0.3) -> DataFrame:
-    """by, share, flagged of attention (q, c, score): sums over the other side, relative to the largest.  by c: what of the context the queries attend to; by q: which queries have ground in it."""
-    sums = attention.groupBy(by).agg(F.sum("score").alias("sum"))
-    top = sums.agg(F.max("sum").alias("top"))
-    return sums.crossJoin(F.broadcast(top)).select(by, (F.col("sum") / F.when(F.col("top") > 0, F.col("top"))).alias("share")).withColumn("flagged", F.coalesce(F.col("share") < threshold, F.lit(True)))
+# The layers that tell where attention goes, as shares of all.
+LOWEST_LAYER, HIGHEST_LAYER = 0.60, 0.88
 
 
-def regions(flags: DataFrame, by: str, texts: DataFrame | None = None) -> DataFrame:
-    """first, last, low, high of runs of flagged neighbours."""
-    rows = flags.filter("flagged").withColumn("island", F.col(by) - F.row_number().over(Window.orderBy(by)))
-    return rows.groupBy("island").agg(F.min(by).alias("first"), F.max(by).alias("last"), F.min("share").alias("low"), F.max("share").alias("high")).drop("island").orderBy("first")
+def scanned(captures: DataFrame, layers: int, queries: DataFrame, context: DataFrame, low: float = LOWEST_LAYER, high: float = HIGHEST_LAYER, sinks: bool = True, normalized: bool = True) -> DataFrame:
+    """scan, q, c, score: the attention of query chunks to context chunks, from what a model's layers gave (captures: scan, layer, head, q, c, weight, by position).
+
+    Layers of the band from low to high of all are averaged; with the chunk of each query position (queries: scan, q, chunk) and context
+    position (context: scan, c, to), columns that draw attention whatever the query are masked, weights summed by chunk, and columns
+    that all rows attend to held down."""
+    band = captures.filter((F.col("layer") >= F.floor(F.lit(low * layers))) & (F.col("layer") <= F.floor(F.lit(high * layers))))
+    matrix = averaged(band).join(queries, ["scan", "q"])
+    cells = scattered(without_sinks(matrix) if sinks else matrix, context)
+    return by_prior(cells) if normalized else cells
+
+
+# Shares that flag, least characters of a region and of a query, rows from which priors count.
+SHARE, REGION, QUERY, PRIOR_ROWS, POWER, SIGMAS = 0.3, 12, 8, 3, 0.75, 3.0
+
+
+def averaged(captures: DataFrame) -> DataFrame:
+    """scan, q, c, weight of captured attention (scan, layer, head, q, c, weight): the mean over layers and heads."""
+    heads = captures.groupBy("scan").agg(F.count_distinct("layer", "head").alias("heads"))
+    return captures.groupBy("scan", "q", "c").agg(F.sum("weight").alias("weight")).join(F.broadcast(heads), "scan").select("scan", "q", "c", (F.col("weight") / F.col("heads")).alias("weight"))
+
+
+def without_sinks(matrix: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
+    """matrix (scan, chunk, q, c, weight, all cells) with 0 for columns that draw attention whatever the query: those whose upper median over the chunk's rows is, by logarithm, over mean + 3 sigma of all columns'."""
+    middle = matrix.groupBy("scan", "chunk", "c").agg(F.sort_array(F.collect_list("weight")).alias("w")).select("scan", "chunk", "c", F.element_at("w", (F.floor(F.size("w") / 2) + 1).cast("int")).alias("median"))
+    by = ["scan", "chunk"]
+    least = middle.groupBy(*by).agg(F.least(F.lit(1e-12), F.min(F.when(F.col("median") > 0, F.col("median")))).alias("least"))
+    logs = middle.join(least, by).withColumn("log", F.log(F.col("median") + (F.col("least") / 2 + 1e-12)))
+    line = logs.groupBy(*by).agg((F.avg("log") + sigmas * F.stddev_pop("log")).alias("line"))
+    sinks = logs.join(line, by).filter("log > line").select(*by, "c", F.lit(True).alias("sink"))
+    out = matrix.join(sinks, [*by, "c"], "left")
+    return out.withColumn("weight", F.when(F.col("sink"), 0.0).otherwise(F.col("weight"))).drop("sink").select(*matrix.columns)
+
+
+def scattered(matrix: DataFrame, context: DataFrame) -> DataFrame:
+    """scan, q (a query chunk), c (a context chunk), score of matrix (scan, chunk, q, c, weight), given the context chunk of each position (scan, c, to): the mean over the query chunk's rows, summed over each context chunk, as a share of the row."""
+    rows = matrix.groupBy("scan", "chunk").agg(F.count_distinct("q").alias("rows"))
+    sums = matrix.join(context, ["scan", "c"]).groupBy("scan", "chunk", "to").agg(F.sum("weight").alias("sum"))
+    cells = sums.join(rows, ["scan", "chunk"]).select("scan", F.col("chunk").alias("q"), F.col("to").alias("c"), (F.col("sum") / F.col("rows")).alias("score"))
+    return shares(cells)
+
+
+def shares(cells: DataFrame) -> DataFrame:
+    """Scores of each row (scan, q) as shares of its sum."""
+    total = F.sum("score").over(Window.partitionBy("scan", "q"))
+    return cells.withColumn("score", F.when(total > 0, F.col("score") / total).otherwise(F.col("score")))
+
+
+def by_prior(cells: DataFrame, power: float = POWER, least_rows: int = PRIOR_ROWS) -> DataFrame:
+    """Scores (scan, q, c, score) divided by a power of their column's mean over positive cells, as shares of their rows; scans of fewer rows stay as they are."""
+    prior = cells.filter("score > 0").groupBy("scan", "c").agg(F.avg("score").alias("prior"))
+    rows = cells.groupBy("scan").agg(F.count_distinct("q").alias("rows"))
+    out = cells.join(prior, ["scan", "c"], "left").join(rows, "scan")
+    adjusted = F.when(F.col("score") > 0, F.col("score") / F.pow("prior", F.lit(power))).otherwise(0.0)
+    made = shares(out.withColumn("was", F.col("score")).withColumn("score", adjusted))
+    return made.select("scan", "q", "c", F.when(F.col("rows") < least_rows, F.col("was")).otherwise(F.col("score")).alias("score"))
+
+
+def coverage(attention: DataFrame, by: str, threshold: float = SHARE, scan: str | None = None) -> DataFrame:
+    """by, share, flagged of attention (q, c, score, and scan if named): sums over the other side, relative to the largest of the scan.  by c: what of the context the queries attend to; by q: which queries have ground in it."""
+    keys = [scan] if scan else []
+    sums = attention.groupBy(*keys, by).agg(F.sum("score").alias("sum"))
+    top = F.lit(sums.agg(F.max("sum")).first()[0]).cast("double") if not scan else F.max("sum").over(Window.partitionBy(scan))
+    return sums.select(*keys, by, (F.col("sum") / F.when(top > 0, top)).alias("share")).withColumn("flagged", F.coalesce(F.col("share") < threshold, F.lit(True)))
+
+
+def regions(flags: DataFrame, by: str, texts: DataFrame | None = None, scan: str | None = None, least: int = REGION) -> DataFrame:
+    """first, last, low, high of runs of flagged neighbours (share, flagged by the column by), of each scan if named.  With texts (by, text, and scan) their text, and only runs of at least so many characters."""
+    keys = [scan] if scan else []
+    rows = flags.filter("flagged")
+    rows = rows if texts is None else rows.join(texts, [*keys, by])
+    # neighbours of one run are as far from their rank as each other
+    if scan:
+        rank = F.row_number().over(Window.partitionBy(scan).orderBy(by))
+        rows = rows.withColumn("island", F.col(by) - rank)
+    else:
+        rows = accumulated(rows, [F.col(by)], island=F.lit(1)).withColumn("island", F.col(by) - F.col("island"))
+    said = [] if texts is None else [F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, "text"))), lambda x: x["text"]), "").alias("text")]
+    out = rows.groupBy(*keys, "island").agg(F.min(by).alias("first"), F.max(by).alias("last"), F.min("share").alias("low"), F.max("share").alias("high"), *said).drop("island")
+    out = out if texts is None else out.filter(F.length("text") >= least)
+    return out.orderBy(*keys, "first")
+
+
+def focused(attention: DataFrame, texts: DataFrame, threshold: float = 0.6, scan: str = "scan", most: int | None = None) -> DataFrame:
+    """scan, first, last, score, text: runs of the context that the queries attend to most (at least threshold of the scan's peak), the best first; at most so many of each scan."""
+    flags = coverage(attention, "c", threshold, scan).withColumn("flagged", ~F.col("flagged"))
+    out = regions(flags, "c", texts, scan).withColumnRenamed("high", "score").drop("low")
+    order = Window.partitionBy(scan).orderBy(F.desc("score"), "first")
+    out = out.withColumn("place", F.row_number().over(order))
+    out = out if most is None else out.filter(F.col("place") <= most)
+    return out.orderBy(scan, "place").drop("place")
+
+
+def unanchored(attention: DataFrame, queries: DataFrame, threshold: float = SHARE, scan: str = "scan", least: int = QUERY) -> DataFrame:
+    """scan, q, share, text of queries (scan, q, text) of some length that pay little attention to the context."""
+    flags = coverage(attention, "q", threshold, scan).filter("flagged").drop("flagged")
+    return flags.join(queries, [scan, "q"]).filter(F.length("text") >= least).orderBy(scan, "q")
 
 
 def engaged(flags: DataFrame) -> DataFrame:
     return flags.agg((1 - F.sum(F.col("flagged").cast("double")) / F.count("*")).alias("engaged"))
 
 
-def without_sinks(attention: DataFrame, sigmas: float = 3.0, power: float = 0.75) -> DataFrame:
-    """Scores without columns that draw attention whatever the query (over mean + 3 sigma of the logarithms), divided by their columns' means to a power."""
-    columns = attention.groupBy("c").agg(F.avg("score").alias("mean"))
-    logs = columns.withColumn("log", F.log(F.greatest("mean", F.lit(1e-12))))
-    line = logs.agg((F.avg("log") + sigmas * F.stddev_pop("log")).alias("line"))
-    kept = logs.crossJoin(F.broadcast(line)).filter("log <= line").select("c", "mean")
-    return attention.join(kept, "c").select("q", "c", (F.col("score") / F.pow(F.greatest("mean", F.lit(1e-12)), F.lit(power))).alias("score"))
+#: Best regions of a side that a span is narrowed to.
+BEST = 3
 
 
 def narrowed(edges: DataFrame, spans: DataFrame, margin: int = 1, least: int = 8) -> DataFrame:
-    """id and new ends of edges whose attended lines (spans: id, side, first, last) are narrower; long spans only, and only inwards."""
-    per = spans.groupBy("id", "side").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    out = edges.select("id", *[f"{s}_{c}" for s in ("src", "dst") for c in ("start", "end")])
+    """id and new ends of edges, given attended regions (spans: id, side, first, last, score) of their lines: from the first to the last of the three best, and a line around; long spans only, and only inwards."""
+    order = Window.partitionBy("id", "side").orderBy(F.desc("score"), "first")
+    per = spans.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEST).groupBy("id", "side").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    out = edges.select("id", *[F.col(f"{s}_{c}").alias(f"{s}_{c}_") for s in ("src", "dst") for c in ("start", "end")])
     for s in ("src", "dst"):
         part = per.filter(F.col("side") == s).select("id", F.col("first").alias(f"{s}_a"), F.col("last").alias(f"{s}_b"))
         out = out.join(part, "id", "left")
-        long_ = F.col(f"{s}_end") - F.col(f"{s}_start") >= least
-        out = out.withColumns({f"{s}_start": F.when(long_, F.greatest(f"{s}_start", F.col(f"{s}_a") - margin)), f"{s}_end": F.when(long_, F.least(f"{s}_end", F.col(f"{s}_b") + margin))})
+        a, b = F.greatest(f"{s}_start_", F.col(f"{s}_a") - margin), F.least(f"{s}_end_", F.col(f"{s}_b") + margin)
+        tighter = F.col(f"{s}_a").isNotNull() & (F.col(f"{s}_end_") - F.col(f"{s}_start_") >= least) & (b - a < F.col(f"{s}_end_") - F.col(f"{s}_start_"))
+        out = out.withColumns({f"{s}_start": F.when(tighter, a), f"{s}_end": F.when(tighter, b)})
     return out.select("id", "src_start", "src_end", "dst_start", "dst_end").filter("src_start IS NOT NULL OR dst_start IS NOT NULL")
 
 
+def variants(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n (from 1), text, tighter (null: it is tight already), flags (rule ids, in order) of every sentence, looked at alone."""
+    rows = grounding.claims(docs, key, text).filter("text <> ''").select(key, (F.row_number().over(Window.partitionBy(key).orderBy("n"))).alias("n"), "text")
+    tighter = tightened(F.col("text"), [L.WORDY, L.NOMINAL, L.COMPLEX, L.WORD_SWAP])
+    found = findings_udf(settings)("text")
+    flags = F.array_distinct(F.transform(F.sort_array(F.transform(found, lambda f: F.struct(rank(f["severity"]), f["line"], f["col"], f["rule_id"].alias("r")))), lambda f: f["r"]))
+    return rows.select(key, "n", "text", F.when(tighter != F.col("text"), tighter).alias("tighter"), flags.alias("flags"))
+
+
+# Kinds and rules of a grammar checker that are kept or left out, and findings of a document.
+GRAMMAR_KINDS = ("Agreement", "Grammar", "Miscellaneous", "Eggcorn", "Malapropism", "Nonstandard", "BoundaryError", "Redundancy")
+GRAMMAR_OFF = ("MassNouns", "MissingPreposition")
+MOST_GRAMMAR = 30
+
+
+def grammar(docs: DataFrame, check: Callable[[list[str]], list[list[dict]]], kinds: tuple[str, ...] = GRAMMAR_KINDS, severity: str = "warn", most: int = MOST_GRAMMAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Findings of a grammar checker: check(texts) gives for each text lints (kind, rule, start, end, message, suggestions) in code points; of the kinds kept, the first ones of each document.  A text that check fails on has none."""
+    ship(docs.sparkSession)
+    lint = "array<struct<kind:string,rule:string,start:int,end:int,message:string,suggestions:array<string>>>"
+    shape = pa.list_(pa.struct([("kind", pa.string()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("message", pa.string()), ("suggestions", pa.list_(pa.string()))]))
+
+    @F.arrow_udf(lint)
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(check([t or ""])[0])
+            except Exception:  # noqa: BLE001 - a checker never breaks detection
+                out.append([])
+        return pa.array(out, shape)
+
+    kept = F.filter(run(F.coalesce(text, F.lit(""))), lambda x: x["kind"].isin(*kinds) & ~F.coalesce(x["rule"].isin(*GRAMMAR_OFF), F.lit(False)))
+    first = F.slice(F.array_sort(kept, lambda a, b: a["start"] - b["start"]), 1, most)
+    rows = docs.select(key, text, F.posexplode(first).alias("seq", "x"))
+    head = F.substring(text, F.lit(1), F.col("x.start"))
+    line = F.size(F.split(head, "\n", -1))
+    col = F.length(F.element_at(F.split(head, "\n", -1), -1)) + 1
+    span = F.substring(F.trim(F.regexp_replace(F.substring(text, F.col("x.start") + 1, F.col("x.end") - F.col("x.start")), r"\s+", " ")), 1, 80)
+    offered = F.slice(F.filter("x.suggestions", lambda s: s.isNotNull()), 1, 3)
+    fix = F.when(F.size(offered) > 0, F.concat(F.lit(" Suggested: "), F.array_join(F.transform(offered, lambda s: F.when(s == "", "(remove)").otherwise(F.concat(F.lit('"'), s, F.lit('"')))), " / "), F.lit("."))).otherwise("")
+    return rows.select(
+        key, F.concat(F.lit("grammar-"), F.lower("x.kind")).alias("rule_id"), F.lit("grammar").alias("family"), F.lit(severity).alias("severity"), line.alias("line"), col.alias("col"), F.col("x.start").alias("offset"), (F.col("x.end") - F.col("x.start")).alias("length"), span.alias("span"), F.concat("x.message", fix).alias("message"), "seq",
+    )
+
+
 def tightened(text: Column, tables: list[dict[str, str]]) -> Column:
     """A sentence with each table's phrases replaced in turn, and white space evened out."""
     out = text
@@ -127,3 +264,32 @@ def tightened(text: Column, tables: list[dict[str, str]]) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+
+
+class Sidecar:
+    """A model that runs beside a worker: a program that reads a JSON request a line and answers with a JSON line of the same id, in any order.
+
+    It is started with a worker's first batch, and again if it ends; called with texts it returns what the answers hold under result."""
+
+    def __init__(self, command: list[str], operation: str = "run") -> None:
+        self.command, self.operation, self.process, self.n = command, operation, None, 0
+
+    def __getstate__(self) -> dict:
+        return {"command": self.command, "operation": self.operation, "process": None, "n": 0}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
+    def __call__(self, *columns: list) -> list:
+        if self.process is None or self.process.poll() is not None:
+            self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True)
+        self.n += 1
+        self.process.stdin.write(json.dumps({"id": self.n, "op": self.operation, "args": columns}) + "\n")
+        self.process.stdin.flush()
+        while line := self.process.stdout.readline():
+            answer = json.loads(line)
+            if answer.get("id") == self.n:
+                if "error" in answer:
+                    raise RuntimeError(answer["error"])
+                return answer["result"]
+        raise RuntimeError("the model's program ended without an answer")

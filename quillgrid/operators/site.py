@@ -37,6 +37,21 @@ COMMUNITY = (
     ("SECURITY.md", r"^security(\.[a-z-]+)?\.(md|mdx|rst|txt)$", False),
     ("CHANGELOG.md", r"^(changelog|changes|history|news)(\.[a-z-]+)?\.(md|mdx|rst|txt)$", False),
 )
+NAVS = (
+    ("mkdocs", r"(?i)^mkdocs\.ya?ml$"),
+    ("mdbook", r"(?i)((^|/)src/SUMMARY\.md$|^SUMMARY\.md$)"),
+    ("docsify", r"(?i)(^|/)_sidebar\.md$"),
+    ("sphinx", r"(?i)^(docs?|source)/index\.(md|rst)$"),
+    ("antora", r"(?i)(^|/)modules/[^/]+/nav\.adoc$"),
+)
+NOT_ORPHANS = r"(?i)(^|/)(SUMMARY|_sidebar|_navbar|_coverpage|index|README)\.md$"
+PAGE_END = compiled(r"\.(md|mdx|mdc|markdown|rst|adoc)$", "i")
+NAV_BLOCK = compiled(r"^nav:[ \t]*\n((?:[ \t]+[^\n]*\n?|\n)*)", "m")
+NAV_PAGE = compiled(r"""(?::|^\s*-)\s+['"]?([^\s'"#:]+\.(?:md|mdx))['"]?\s*$""", "i")
+NAV_XREF = compiled(r"xref:([^[\]\s]+?)(?:\.adoc)?\[")
+TREE_FENCE = compiled(r"^(```+|~~~+)\{toctree\}[^\n]*\n([\s\S]*?)^\1", "gm")
+TREE_DIRECTIVE = compiled(r"^\.\.[ \t]+toctree::[^\n]*\n((?:[ \t]+[^\n]*\n|\n)*)", "gm")
+TREE_TARGET = r"<([^<>]+)>\s*$"
 COLUMNS = ["rule_id", "family", "severity", "file", "line", "col", "span", "message"]
 
 
@@ -149,7 +164,7 @@ def check_links(pages: DataFrame, paths: DataFrame) -> DataFrame:
     rows = rows.withColumns({"plain": plain, "name": F.coalesce(F.expr("try_url_decode(replace(fragment, '+', '%2B'))"), "fragment"), "root": F.col("part").startswith("/")})
     here = F.filter(F.split(F.regexp_extract("path", "^(.*)/", 1), "/"), lambda x: x != "")
     bases = F.concat(F.transform(F.sequence(F.lit(0), F.size(here)), lambda k: F.when(k > 0, F.array_join(F.slice(here, 1, F.greatest(k, F.lit(1))), "/")).otherwise("")), F.array(*map(F.lit, STATIC)))
-    absolute = F.flatten(F.transform(bases, lambda b: candidates(F.concat(F.when(b == "", "").otherwise(F.concat(b, F.lit("/"))), F.substring("plain", 2, 100_000)))))
+    absolute = F.flatten(F.transform(bases, lambda b: candidates(F.concat(F.when(b == "", "").otherwise(F.concat(b, F.lit("/"))), F.expr("substring(plain, 2)")))))
     rows = rows.withColumn("to", F.when(~F.col("root"), resolved(F.col("path"), F.col("plain"))))
     rows = rows.withColumn("options", F.when(F.col("part") == "", F.array("path")).when(F.col("root"), absolute).otherwise(candidates(F.col("to"))))
     hit = settled(rows.join(found(rows, tree), "id", "left"))
@@ -173,17 +188,6 @@ def check_community(paths: DataFrame) -> DataFrame:
     return out.select(*finding("community-missing-file", F.col("severity"), F.lit("(project)"), F.lit(1), F.lit(1), F.col("span"), F.concat(F.lit("No "), "span")))
 
 
-NAVS = (
-    ("mkdocs", r"(?i)^mkdocs\.ya?ml$"),
-    ("mdbook", r"(?i)((^|/)src/SUMMARY\.md$|^SUMMARY\.md$)"),
-    ("docsify", r"(?i)(^|/)_sidebar\.md$"),
-    ("sphinx", r"(?i)^(docs?|source)/index\.(md|rst)$"),
-    ("antora", r"(?i)(^|/)modules/[^/]+/nav\.adoc$"),
-)
-NOT_ORPHANS = r"(?i)(^|/)(SUMMARY|_sidebar|_navbar|_coverpage|index|README)\.md$"
-PAGE_END = compiled(r"\.(md|mdx|mdc|markdown|rst|adoc)$", "i")
-
-
 def join_path(base: str, href: str) -> str | None:
     out: list[str] = [] if href.startswith("/") else base.split("/")[:-1]
     for part in href.split("/"):
@@ -202,10 +206,10 @@ def nav_entries(kind: str, path: str, text: str) -> tuple[str, list[str], bool]
     inside = [h.split("#")[0].split("?")[0] if kind == "docsify" else h.split("#")[0] for h, *_ in links(text)[0]] if kind in ("mdbook", "docsify") else []
     inside = [h for h in inside if h and not re.match(EXTERNAL, h)]
     if kind == "mkdocs":
-        block = compiled(r"^nav:[ \t]*\n((?:[ \t]+[^\n]*\n?|\n)*)", "m").search(text)
+        block = NAV_BLOCK.search(text)
         if not block:
             return None
-        found = (compiled(r"""(?::|^\s*-)\s+['"]?([^\s'"#:]+\.(?:md|mdx))['"]?\s*$""", "i").search(x) for x in block[1].split("\n"))
+        found = (NAV_PAGE.search(x) for x in block[1].split("\n"))
         return "docs", ["docs/" + re.sub(r"^\./", "", m[1]) for m in found if m], False
     if kind == "mdbook":
         return folder, [p for h in inside if (p := join_path(path, h))], False
@@ -214,8 +218,8 @@ def nav_entries(kind: str, path: str, text: str) -> tuple[str, list[str], bool]
         return folder, [p for n in names if (p := join_path(path, n if PAGE_END.search(n) else n + ".md"))], False
     if kind == "antora":
         root = re.sub(r"(?i)/nav\.adoc$", "", path)
-        return root + "/pages", [f"{root}/pages/{m[1]}.adoc" for m in compiled(r"xref:([^[\]\s]+?)(?:\.adoc)?\[").finditer(text)], False
-    trees = [m[2] for m in compiled(r"^(```+|~~~+)\{toctree\}[^\n]*\n([\s\S]*?)^\1", "gm").finditer(text)] + [m[1] for m in compiled(r"^\.\.[ \t]+toctree::[^\n]*\n((?:[ \t]+[^\n]*\n|\n)*)", "gm").finditer(text)]
+        return root + "/pages", [f"{root}/pages/{m[1]}.adoc" for m in NAV_XREF.finditer(text)], False
+    trees = [m[2] for m in TREE_FENCE.finditer(text)] + [m[1] for m in TREE_DIRECTIVE.finditer(text)]
     if not trees:
         return None
     out, pattern = [], False
@@ -223,7 +227,7 @@ def nav_entries(kind: str, path: str, text: str) -> tuple[str, list[str], bool]
         if not line or line.startswith(":") or re.search("[*?]", line):
             pattern |= line.startswith(":glob:") or bool(line) and not line.startswith(":")
             continue
-        name = re.search(r"<([^<>]+)>\s*$", line)
+        name = re.search(TREE_TARGET, line)
         name = name[1] if name else line
         if p := join_path(path, name if PAGE_END.search(name) else name + ".md"):
             out.append(p)

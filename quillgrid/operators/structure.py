@@ -23,11 +23,17 @@ def plain(heading: str) -> str:
 
 @dataclass(frozen=True)
 class Section:
+    """A section by name, other names of it, whether a page must have it, and whether a field at the top may stand for it."""
+
     name: str
-    aliases: tuple[str, ...]
+    others: tuple[str, ...]
     required: bool
     field: bool = False
 
+    @property
+    def aliases(self) -> tuple[str, ...]:
+        return tuple(map(plain, (self.name, *self.others)))
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -43,16 +49,6 @@ class Kind:
     blame: tuple[str, ...] = ()
 
 
-def sections(required: str, recommended: str, fields: str = "") -> tuple[Section, ...]:
-    """From "Name=alias,alias|Name=...": aliases include the name."""
-    out = []
-    for text, must in ((required, True), (recommended, False)):
-        for part in text.split("|"):
-            name, _, more = part.partition("=")
-            out.append(Section(name, tuple(map(plain, [name, *filter(None, more.split(","))])), must, name in fields.split("|")))
-    return tuple(out)
-
-
 # The archetypes, by path, headings and sections.
 KINDS = (
     Kind(
@@ -61,7 +57,13 @@ KINDS = (
         (r"(^|[-_/])adr[-_]", r"\badr\b", r"^\d{1,4}[-_].+\.(md|mdx)$", r"^\d{8}[-_].+\.(md|mdx)$"), (),
         ("decision", "consequences", "context", "considered options", "decision outcome", "status"),
         ("consequences", "considered options", "decision outcome"),
-        sections("Status|Context=context and problem statement|Decision=decision outcome|Consequences", "Considered Options=options,alternatives", "Status"),
+        (
+            Section("Status", (), True, field=True),
+            Section("Context", ("context and problem statement",), True),
+            Section("Decision", ("decision outcome",), True),
+            Section("Consequences", (), True),
+            Section("Considered Options", ("options", "alternatives"), False),
+        ),
         ("proposed", "accepted", "rejected", "deprecated", "superseded"),
     ),
     Kind(
@@ -69,7 +71,16 @@ KINDS = (
         (r"(^|\/)(postmortems?|post-mortems?|incidents?|retros?)(\/|$)",), (r"post[-_]?mortem", r"\bretro(spective)?\b", r"(^|[-_/])incident[-_]"), (),
         ("timeline", "root cause", "root causes", "contributing factors", "impact", "action items", "corrective actions", "lessons learned", "detection", "resolution"),
         ("root cause", "root causes", "contributing factors", "action items", "corrective actions", "lessons learned"),
-        sections("Summary=overview,what happened|Impact|Timeline|Root Cause=root causes,contributing factors,fault|Action Items=corrective actions,follow-up,follow-ups|Lessons Learned=what went well,how'd we do", "Detection|Resolution=recovery"),
+        (
+            Section("Summary", ("overview", "what happened"), True),
+            Section("Impact", (), True),
+            Section("Timeline", (), True),
+            Section("Root Cause", ("root causes", "contributing factors", "fault"), True),
+            Section("Action Items", ("corrective actions", "follow-up", "follow-ups"), True),
+            Section("Lessons Learned", ("what went well", "how'd we do"), True),
+            Section("Detection", (), False),
+            Section("Resolution", ("recovery",), False),
+        ),
         blame=(r"\bblame[ds]?\b", r"\bat fault\b", r"\b(his|her|their) (fault|mistake|error)\b", r"\bshould have known\b", r"\bincompeten", r"\bcareless\b", r"\bnegligen"),
     ),
     Kind(
@@ -77,7 +88,15 @@ KINDS = (
         (r"(^|\/)(runbooks?|playbooks?|ops|operations)(\/|$)",), (r"run[-_]?book", r"play[-_]?book"), (),
         ("prerequisites", "steps", "procedure", "rollback", "escalation", "trigger", "triggers", "when to use", "validation", "verification"),
         ("rollback", "escalation"),
-        sections("Overview=purpose,summary,objective,description|Prerequisites=preconditions,requirements,before you begin|Steps=procedure,instructions,resolution,mitigation|Rollback=recovery,remediation,cleanup|Escalation=contacts,contact,on-call,who to contact", "Triggers=trigger,when to use|Validation=verification"),
+        (
+            Section("Overview", ("purpose", "summary", "objective", "description"), True),
+            Section("Prerequisites", ("preconditions", "requirements", "before you begin"), True),
+            Section("Steps", ("procedure", "instructions", "resolution", "mitigation"), True),
+            Section("Rollback", ("recovery", "remediation", "cleanup"), True),
+            Section("Escalation", ("contacts", "contact", "on-call", "who to contact"), True),
+            Section("Triggers", ("trigger", "when to use"), False),
+            Section("Validation", ("verification",), False),
+        ),
     ),
     Kind(
         "rfc", "RFC / design doc",
@@ -85,31 +104,64 @@ KINDS = (
         (r"(^|[-_/])rfc[-_]", r"(^|[-_/])rfd[-_]", r"[-_]design\.(md|mdx)$", r"(^|[-_/])design[-_]", r"proposal", r"[-_]plan\.(md|mdx)$"), (),
         ("motivation", "goals", "non-goals", "alternatives", "drawbacks", "rationale and alternatives", "guide-level explanation", "reference-level explanation", "unresolved questions", "open questions", "prior art", "summary", "problem", "problem statement", "problem frame", "background", "requirements", "out of scope", "in scope", "proposed", "design", "verification"),
         ("non-goals", "drawbacks", "alternatives", "rationale and alternatives", "unresolved questions", "out of scope", "prior art", "guide-level explanation", "reference-level explanation", "problem frame"),
-        sections("Summary=abstract,overview,tldr|Motivation=goals,problem,problem statement,problem frame,background,requirements,why|Alternatives=rationale and alternatives,alternatives considered,other approaches|Drawbacks=risks,tradeoffs,trade-offs,downsides", "Non-goals=non goals,out of scope,scope boundaries|Unresolved Questions=open questions,open product decisions"),
+        (
+            Section("Summary", ("abstract", "overview", "tldr"), True),
+            Section("Motivation", ("goals", "problem", "problem statement", "problem frame", "background", "requirements", "why"), True),
+            Section("Alternatives", ("rationale and alternatives", "alternatives considered", "other approaches"), True),
+            Section("Drawbacks", ("risks", "tradeoffs", "trade-offs", "downsides"), True),
+            Section("Non-goals", ("non goals", "out of scope", "scope boundaries"), False),
+            Section("Unresolved Questions", ("open questions", "open product decisions"), False),
+        ),
     ),
     Kind(
         "contributing", "Contributing guide", (r"(^|\/)\.github(\/|$)", r"(^|\/)docs\/contributing(\/|$)"), (), (r"^contributing(\.[a-z-]+)?\.(md|mdx|rst|txt)$",),
         ("how to contribute", "ways to contribute", "getting started", "development", "development setup", "local development", "building", "pull request", "pull requests", "pull request process", "submitting changes", "submitting a pull request", "reporting bugs", "reporting issues", "issues", "code of conduct", "style guide", "coding style", "coding conventions", "testing", "running tests", "commit messages"),
         ("pull request process", "submitting changes", "submitting a pull request", "development setup", "how to contribute", "ways to contribute"),
-        sections("How to Contribute=contributing,ways to contribute,getting started|Development Setup=development,building,local development,setup,getting started|Pull Request Process=pull requests,pull request,submitting changes,submitting a pull request,opening a pull request,making changes|Reporting Bugs=reporting issues,bug reports,issues,filing issues", "Code of Conduct|Style Guide=coding style,code style,coding conventions|Testing=tests,running tests"),
+        (
+            Section("How to Contribute", ("contributing", "ways to contribute", "getting started"), True),
+            Section("Development Setup", ("development", "building", "local development", "setup", "getting started"), True),
+            Section("Pull Request Process", ("pull requests", "pull request", "submitting changes", "submitting a pull request", "opening a pull request", "making changes"), True),
+            Section("Reporting Bugs", ("reporting issues", "bug reports", "issues", "filing issues"), True),
+            Section("Code of Conduct", (), False),
+            Section("Style Guide", ("coding style", "code style", "coding conventions"), False),
+            Section("Testing", ("tests", "running tests"), False),
+        ),
     ),
     Kind(
         "code-of-conduct", "Code of Conduct", (r"(^|\/)\.github(\/|$)",), (), (r"^code[-_]?of[-_]?conduct(\.[a-z-]+)?\.(md|mdx|rst|txt)$",),
         ("our pledge", "pledge", "our standards", "standards", "expected behavior", "unacceptable behavior", "our responsibilities", "enforcement", "enforcement responsibilities", "enforcement guidelines", "scope", "reporting", "attribution"),
         ("our pledge", "our standards", "enforcement guidelines", "enforcement responsibilities"),
-        sections("Our Pledge=pledge|Our Standards=standards,expected behavior,our responsibilities|Enforcement=reporting,reporting guidelines,enforcement responsibilities", "Scope|Attribution"),
+        (
+            Section("Our Pledge", ("pledge",), True),
+            Section("Our Standards", ("standards", "expected behavior", "our responsibilities"), True),
+            Section("Enforcement", ("reporting", "reporting guidelines", "enforcement responsibilities"), True),
+            Section("Scope", (), False),
+            Section("Attribution", (), False),
+        ),
     ),
     Kind(
         "governance", "Governance", (r"(^|\/)\.github(\/|$)", r"(^|\/)docs\/governance(\/|$)"), (), (r"^governance(\.[a-z-]+)?\.(md|mdx|rst|txt)$",),
         ("roles", "roles and responsibilities", "project roles", "responsibilities", "decision making", "decision-making", "decision-making process", "how decisions are made", "maintainers", "becoming a maintainer", "becoming a committer", "committers", "contributors", "meetings", "voting", "code of conduct", "amendments", "changing this document"),
         ("decision-making process", "becoming a maintainer", "becoming a committer", "roles and responsibilities"),
-        sections("Roles=roles and responsibilities,project roles,responsibilities|Decision Making=decision-making,decision-making process,decisions,how decisions are made|Maintainers=becoming a maintainer,becoming a committer,committers", "Meetings|Code of Conduct|Changing This Document=amendments,changing the governance"),
+        (
+            Section("Roles", ("roles and responsibilities", "project roles", "responsibilities"), True),
+            Section("Decision Making", ("decision-making", "decision-making process", "decisions", "how decisions are made"), True),
+            Section("Maintainers", ("becoming a maintainer", "becoming a committer", "committers"), True),
+            Section("Meetings", (), False),
+            Section("Code of Conduct", (), False),
+            Section("Changing This Document", ("amendments", "changing the governance"), False),
+        ),
     ),
     Kind(
         "security", "Security policy", (r"(^|\/)\.github(\/|$)", r"(^|\/)docs\/security(\/|$)"), (), (r"^security(\.[a-z-]+)?\.(md|mdx|rst|txt)$",),
         ("supported versions", "supported version", "reporting a vulnerability", "reporting security issues", "reporting a security issue", "report a vulnerability", "how to report", "disclosure", "disclosure policy", "coordinated disclosure", "responsible disclosure", "security updates", "response", "scope", "safe harbor", "preferred languages"),
         ("supported versions", "reporting a vulnerability", "coordinated disclosure", "disclosure policy"),
-        sections("Supported Versions=supported version,affected versions|Reporting a Vulnerability=reporting security issues,reporting a security issue,report a vulnerability,how to report", "Disclosure Policy=disclosure,coordinated disclosure,responsible disclosure|Security Update Policy=security updates,response"),
+        (
+            Section("Supported Versions", ("supported version", "affected versions"), True),
+            Section("Reporting a Vulnerability", ("reporting security issues", "reporting a security issue", "report a vulnerability", "how to report"), True),
+            Section("Disclosure Policy", ("disclosure", "coordinated disclosure", "responsible disclosure"), False),
+            Section("Security Update Policy", ("security updates", "response"), False),
+        ),
     ),
 )
 BY_TYPE = {k.type: k for k in KINDS}

@@ -25,6 +25,18 @@ def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return rows.select(below(whole, root).alias("path"), F.col("value").alias("text"))
 
 
+def one(spark: SparkSession, text: str, name: str = "<stdin>") -> DataFrame:
+    """path, text of a document that is no file, such as what comes by standard input."""
+    return spark.createDataFrame([(name, text)], "path string, text string")
+
+
+def translatable(rows: DataFrame) -> DataFrame:
+    """The files (path, ...) that may be versions of a page: markdown, translations too, in no folder that is passed over."""
+    parts = F.split("path", "/")
+    hidden = F.exists(parts, lambda p: p.isin(*SKIPPED) | p.startswith("."))
+    return rows.filter(F.col("path").rlike(PROSE) & ~hidden)
+
+
 def paths(spark: SparkSession, root: str) -> DataFrame:
     """path of every file of a tree; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -86,11 +98,12 @@ UNINDEXED = "node_modules .git dist build .next out coverage target vendor vendo
 LARGEST = 512 * 1024
 
 
-def textual(rows: DataFrame) -> DataFrame:
-    """The files (path, text) that associations are made of: any text, no tests or builds, at most LARGEST bytes."""
+def textual(rows: DataFrame, largest: int | None = LARGEST) -> DataFrame:
+    """The files (path, text) that associations are made of: any text, no tests or builds, and at most so many bytes (None: of any size)."""
     parts = F.split("path", "/")
     hidden = F.exists(parts, lambda p: p.isin(*UNINDEXED) | p.startswith("."))
-    return rows.filter(F.col("path").rlike(TEXTUAL) & ~F.col("path").rlike(TESTS) & ~hidden & (F.octet_length("text") <= LARGEST))
+    rows = rows.filter(F.col("path").rlike(TEXTUAL) & ~F.col("path").rlike(TESTS) & ~hidden)
+    return rows if largest is None else rows.filter(F.octet_length("text") <= largest)
 
 
 def shallow(rows: DataFrame, depth: int) -> DataFrame:

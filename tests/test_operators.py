@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
+import sys
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 from quillgrid.functions.config import edit_rules, matches, settings
 from quillgrid.operators import assoc, code, detect, grounding, i18n, lineage, models, score, site, structure
+from quillgrid.plans.session import accumulated
 from quillgrid.sources import files
 from quillgrid.streaming import events
 
@@ -117,15 +122,26 @@ def test_translations(spark):
 
 
 def test_associations(spark):
+    def vowels(texts):
+        """A stand-in for a model: how often each pair of a consonant and a vowel occurs, to length 1."""
+        out = []
+        for t in texts:
+            v = np.zeros(105)
+            for a, b in zip(t.lower(), t.lower()[1:], strict=False):
+                if a in "bcdfghjklmnpqrstvwxyz" and b in "aeiou":
+                    v["bcdfghjklmnpqrstvwxyz".index(a) * 5 + "aeiou".index(b)] += 1
+            out.append((v / max(np.linalg.norm(v), 1e-9)).tolist())
+        return out
+
     body = lambda w: "\n".join(f"{w} words about {w} number {k}" for k in range(6))
     rows = table(spark, [("a.md", body("bread")), ("b.md", body("bread")), ("c.md", body("engine"))])
-    stored = assoc.embedded(assoc.chunks(rows)).cache()
+    stored = assoc.embedded(assoc.chunks(rows), vowels).cache()
     built = assoc.associations(stored, floor=0.9).cache()
     assert [(r.a.path, r.b.path) for r in built.collect()] == [("a.md", "b.md")]
     after = table(spark, [("a.md", body("bread")), ("b.md", body("engine")), ("c.md", body("engine"))])
     changes = assoc.git_changes(table(spark, [("M", "b.md", None), ("M", "a.md", None), ("R100", "n.md", "o.md"), ("D", "c.md", None), ("A", "c.md", None)], "status string, path string, old_path string"))
     assert {r.path: r.deleted for r in changes.collect()} == {"a.md": False, "b.md": False, "n.md": False, "o.md": True, "c.md": False}
-    now, _ = assoc.updated(built, stored, after, changes, floor=0.9)
+    now, _ = assoc.updated(built, stored, after, changes, vowels, floor=0.9)
     assert [(r.a.path, r.b.path) for r in now.collect()] == [("b.md", "c.md")]
     assert assoc.of_file(built, "b.md").first().a.path == "b.md"
     vectors = table(spark, [(k, k % 2, [float(k), 1.0]) for k in range(8)], "id long, grp long, vector array<double>")
@@ -176,15 +192,132 @@ def test_stream(spark, tmp_path):
     assert [r.text for r in events.notices(batch, [{"name": "r", "paths": ["*.py"], "notify": "look"}]).collect()] == ["[r] look"]
 
 
+def test_cells_recall_neighbours(spark):
+    """Vectors around 40 centres: by a quarter of the cells nine of ten neighbours are found, and none that is not one; doubling the vectors doubles what is shuffled, not its square."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    x = np.concatenate([c + 0.4 * rng.normal(size=(25, 24)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = table(spark, [(k, k % 7, v.tolist()) for k, v in enumerate(x)], "id long, grp int, vector array<double>").cache()
+    exact = {(r.id, r.other) for r in assoc.neighbours(df).collect()}
+    found = {(r.id, r.other) for r in assoc.recalled(df, probes=8, block=100).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    sims = x @ x.T
+    assert all(sims[a, b] >= assoc.FLOOR - 1e-9 and a % 7 != b % 7 for a, b in found)
+    assert assoc.recalled(df.limit(0)).count() == 0
+
+
+def test_chunks_keep_their_lines(spark):
+    text = "\n".join(f"line number {k} of it" for k in range(1, 101))
+    got = [(r.chunk, r.start, r.end, r.text.split("\n")[0], r.text.split("\n")[-1]) for r in assoc.chunks(table(spark, [("a", text), ("b", "short")])).orderBy("start").collect()]
+    assert got == [(f"L{a}", a, b, f"line number {a} of it", f"line number {b} of it") for a, b in ((1, 40), (33, 72), (65, 100))]
+
+
+def test_surface_chunks(spark):
+    items = table(spark, [("src/a", f"n{k}", "s" * 199, k) for k in range(1)] + [("src/b", "x", "s" * 7890, 1), ("src/b", "y", "t" * 10, 2), ("src/c", "z", "u" * 10, 1), ("lib/c", "w", "v", 1), ("d", "r", "r", 4)], "path string, name string, signature string, line int")
+    wide = code.rendered(items, 150)
+    assert {(r.folder, r.path, r.chunk) for r in wide.collect()} == {("src", "src/a", 0), ("src", "src/b", 1), ("src", "src/c", 2), ("lib", "lib/c", 0), ("", "d", 0)}
+    (one,) = code.chunk_texts(code.rendered(items)).filter("folder = 'src'").collect()
+    assert one.text.split("\n")[:3] == ["// === src/a ===", "s" * 160, ""] and [m and m.name for m in one.map] == [None, "n0", None, None, "x", "y", None, None, "z", None]
+    lines = [m and m.asDict() for m in one.map]
+    assert [x["name"] for x in code.items_of_span(one.text, lines, "t" * 10 + " src/c === uuuuuuuuuu")] == ["y", "z"] and code.items_of_span(one.text, lines, "no") == code.items_of_span(one.text, lines, " ") == []
+
+
 def test_attention(spark):
     a = table(spark, [(q, c, 1.0 if c == 1 else 0.1) for q in range(3) for c in range(4)], "q long, c long, score double")
     flags = models.coverage(a, "c")
     assert {r.c: r.flagged for r in flags.collect()} == {0: True, 1: False, 2: True, 3: True}
     assert [(r["first"], r["last"]) for r in models.regions(flags, "c").collect()] == [(0, 0), (2, 3)]
+    texts = table(spark, [(0, "tiny"), (1, "x"), (2, "seven.."), (3, "eight...")], "c long, text string")
+    assert [(r["first"], r["last"], r.text) for r in models.regions(flags, "c", texts).collect()] == [(2, 3, "seven..eight...")]
     assert round(models.engaged(flags).first()[0], 2) == 0.25
     assert spark.range(1).select(models.tightened(F.lit("We ran in order to  win"), [{"in order to": "to"}])).first()[0] == "We ran to win"
 
 
+def test_attention_reductions(spark):
+    """Against the same in NumPy."""
+    rng = np.random.default_rng(1)
+    w = rng.random((3, 2, 6, 9)) * 0.01
+    w[:, :, :, 4] += 50
+    rows = [(1, layer, head, q, c, float(w[layer, head, q, c])) for layer in range(3) for head in range(2) for q in range(6) for c in range(9)]
+    captures = table(spark, rows, "scan long, layer long, head long, q long, c long, weight double")
+    queries = table(spark, [(1, q, q // 2) for q in range(6)], "scan long, q long, chunk long")
+    context = table(spark, [(1, c, c // 3) for c in range(9)], "scan long, c long, to long")
+    mean = w[1:3].mean(axis=(0, 1))
+    out = np.zeros((3, 3))
+    for k in range(3):
+        sub = mean[2 * k : 2 * k + 2].copy()
+        median = np.sort(sub, axis=0)[1]
+        logs = np.log(median + (min(1e-12, median[median > 0].min()) / 2 + 1e-12))
+        sub[:, logs > logs.mean() + 2 * logs.std()] = 0
+        row = sub.mean(axis=0).reshape(3, 3).sum(axis=1)
+        out[k] = row / row.sum()
+    prior = np.array([col[col > 0].mean() if (col > 0).any() else 1 for col in out.T])
+    wanted = out / prior**0.75
+    wanted /= wanted.sum(axis=1, keepdims=True)
+    matrix = models.averaged(captures.filter("layer >= 1")).join(queries, ["scan", "q"])
+    cells = models.by_prior(models.scattered(models.without_sinks(matrix, 2.0), context))
+    got = np.zeros((3, 3))
+    for r in cells.collect():
+        got[r.q, r.c] = r.score
+    assert (out[:, 1] < out[:, 0]).all() and np.allclose(got, wanted)
+
+
+def test_sidecar(spark, tmp_path):
+    program = tmp_path / "model.py"
+    program.write_text("import sys, json\nfor line in sys.stdin:\n    r = json.loads(line)\n    print(json.dumps({'id': 0, 'result': 1}))\n    print(json.dumps({'id': r['id'], 'error': 'bad'} if r['args'][0] == ['x'] else {'id': r['id'], 'result': [float(len(t)) for t in r['args'][0]]}), flush=True)\n")
+    model = models.Sidecar([sys.executable, str(program)])
+    docs = table(spark, [(1, "One sentence that is long. Another one that is longer.")], "doc_id long, text string")
+    assert models.ungrounded(docs, model).count() == 0 and model(["ab", "c"]) == [2.0, 1.0]
+    with pytest.raises(RuntimeError):
+        model(["x"])
+
+
+def test_events_of_a_hook(spark):
+    rows = "doc_id long, severity string, line int, rule_id string"
+    a, b = table(spark, [(1, "advisory", 1, "a"), (1, "warn", 9, "b")], rows), table(spark, [(1, "error", 5, "c"), (1, "warn", 2, "d")], rows)
+    assert [r.rule_id for r in detect.merged(a, b).collect()] == ["c", "d", "b", "a"]
+    facts = grounding.with_fact(table(spark, [(4, "A is B.", None)], "fact long, text string, source string"), " C  is D. ", "me")
+    assert [(r.fact, r.text) for r in facts.orderBy("fact").collect()] == [(4, "A is B."), (5, "C is D.")] and grounding.with_fact(facts, "C is D.").count() == 2
+    assert files.one(spark, "the the").collect() == [("<stdin>", "the the")]
+    assert [r.path for r in files.translatable(table(spark, [("a.es.md",), ("x.py",), ("node_modules/b.md",)], "path string")).collect()] == ["a.es.md"]
+
+
+def test_running_sums_over_ranges(spark):
+    n = 500
+    df = table(spark, [((k * 37) % n, k % 5) for k in range(n)], "k long, v long").repartition(7)
+    got = {r.k: (r.at, r.s) for r in accumulated(df, [F.col("k")], at=F.lit(1), s=F.col("v")).collect()}
+    by = {(k * 37) % n: k % 5 for k in range(n)}
+    assert got == {k: (k, sum(by[j] for j in range(k))) for k in range(n)} and accumulated(df.limit(0), [F.col("k")], at=F.lit(1)).count() == 0
+
+
+def test_best_facts_against_all_pairs(spark):
+    """Whatever their terms, each claim gets the fact that comparing it with all facts gives."""
+    rng = random.Random(2)
+    words = [f"w{chr(97 + k)}{chr(97 + j)}" for k in range(4) for j in range(4)]
+    names = ["Acme Corp", "Big Sky", "Red Hat"]
+    say = lambda: " ".join(["the", *(rng.choice(words) for _ in range(rng.randint(1, 6))), *( [rng.choice(names)] if rng.random() < 0.4 else [])]) + f" {rng.randint(1, 99)}."
+    facts = [(k, say(), None) for k in range(60)]
+    docs = [(k, say()) for k in range(80)]
+    table_ = grounding.facts(table(spark, facts, "fact long, text string, source string")).cache()
+    claims = grounding.claims(table(spark, docs, "doc_id long, text string")).cache()
+    held = {f: (set(grounding.tokens(t)), set(grounding.entities(t))) for f, t, _ in facts}
+    wanted = {}
+    for r in claims.collect():
+        best, top = None, 0
+        for f, (tokens, entities) in held.items():
+            score_ = sum(t in tokens for t in r.tokens) + 2 * sum(e in entities for e in r.entities)
+            if score_ > top:
+                best, top = f, score_
+        if top >= grounding.LEAST_SCORE:
+            wanted[r.doc_id, r.n] = (best, top)
+    for often in (200, 5, 0):
+        grounding.OFTEN = often
+        got = {(r.doc_id, r.n): (r.fact, r.score) for r in grounding.best(claims, table_).collect()}
+        assert got == wanted, often
+    grounding.OFTEN = 200
+
+
 def test_templates_pass_their_own_checks(spark):
     rows = [(f"x/{t}.md", structure.template(t)) for t in structure.BY_TYPE]
     got = structure.assets(table(spark, rows).withColumn("type", F.regexp_extract("path", "x/(.*)[.]md", 1)), "type").collect()

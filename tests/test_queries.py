@@ -40,10 +40,10 @@ def test_query(spark, duck, name):
 
 
 def test_every_document_is_a_version(spark):
-    from quillgrid.plans.queries import all_translations
+    from quillgrid.plans.queries import translations
 
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    files = all_translations(spark, SF)
+    files = translations(spark, SF)
     assert files.count() == n == files.select("path").distinct().count()
-    found = QUERIES["translation_sets_all"](spark, SF)
+    found = QUERIES["translation_sets"](spark, SF)
     assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").filter("lang <> 'en'").count()  # English has the most
