@@ -6,8 +6,9 @@ bounds how far a product can be from the true cosine.  Only pairs that the bound
 are computed again in double precision.  A tile returns a row for each vector: its links and the least
 vector that it reaches, never pairs.
 
-Equal vectors are one class with a count, so copies cost nothing.  Blocks hold neighbours (vectors nearest
-to the same pivot), and a pair of blocks is left out if their ranges of angles to some pivot are further
+Equal vectors are one class with a count, so copies cost nothing.  There are more pivots as there are more blocks (by
+their root where they are many, within bounds); a cell holds the vectors nearest to one, and its blocks lie one after the other by angle
+to it.  A pair of cells, and then of blocks, is left out if their ranges of angles to some pivot are further
 apart than the threshold's angle: by the triangle inequality no link can be lost.  Where vectors don't
 cluster, all pairs of blocks of a label are computed.
 
@@ -22,15 +23,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import lean, settled, small
 from quillgrid.llm.components import components, joined
 
 BLOCK = 4096
-PIVOTS = 8
+#: Pivots: as many as blocks, and of many blocks 16 times their root; at least and at most so many (those of the least hashes: a bounded sample).
+LEAST_PIVOTS, MOST_PIVOTS = 8, 512
 SLICE = 1024
+#: Steps of angle by which a cell's vectors are put in order.
+STEPS = 1024
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -117,6 +121,82 @@ def tile(threshold: float):
     return run
 
 
+def angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit(rows) @ pivots.T, -1, 1))
+
+
+def homes(pivots: np.ndarray):
+    """Of each vector the cell (the nearest of the first cells pivots) and its angle to it; vectors of another length than the pivots have cell 0 and angle 0."""
+
+    def run(vectors: pa.Array, cells: pa.Array) -> pa.Array:
+        lengths, n = np.diff(np.asarray(vectors.offsets)), np.asarray(cells)
+        cell, angle = np.zeros(len(vectors), dtype=np.int32), np.zeros(len(vectors))
+        same = np.nonzero((lengths == pivots.shape[1]) & (len(pivots) > 0))[0]
+        for k in range(0, len(same), SLICE):
+            at = same[k : k + SLICE]
+            got = angles(np.asarray(vectors.take(pa.array(at)).flatten()).reshape(len(at), -1), pivots)
+            got[np.arange(len(pivots))[None, :] >= n[at][:, None]] = np.inf
+            cell[at] = got.argmin(axis=1)
+            angle[at] = got[np.arange(len(at)), cell[at]]
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], names=["cell", "angle"])
+
+    return run
+
+
+def ranges(pivots: np.ndarray):
+    """Of the vectors of one block: the least and the greatest angle to each pivot (to all of them, where lengths differ)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = matrix(table["embedding"])
+        low, high = np.zeros(len(pivots)), np.full(len(pivots), math.pi)
+        if rows.shape[1] == pivots.shape[1]:
+            low[:], high[:] = math.pi, 0
+            for k in range(0, len(rows), SLICE):
+                got = angles(rows[k : k + SLICE], pivots)
+                low, high = np.minimum(low, got.min(axis=0)), np.maximum(high, got.max(axis=0))
+        one = {c: table[c][0].as_py() for c in ("label", "dim", "cell", "block")}
+        return pa.Table.from_pylist([one | {"low": low.tolist(), "high": high.tolist()}], pa.schema([("label", table.schema.field("label").type), ("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+
+    return run
+
+
+def tiled(classes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles, classes): the pairs of blocks (block, block_, tile, alone) that can hold a link, and classes (label, dim, id, h, embedding ...) with their block."""
+    sizes = settled(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    blocks_of_all = (sizes.agg(F.sum("n")).first()[0] or 0) / block
+    most = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(min(blocks_of_all, 16 * math.sqrt(blocks_of_all))))))
+    chosen = [r["embedding"] for r in classes.orderBy(F.hash("h"), "h", "id").select("embedding").limit(most).collect()]
+    dim = max(map(len, chosen), default=1)
+    same = [p for p in chosen if len(p) == dim]
+    pivots = unit(np.array(same, dtype=np.float64)) if same else np.zeros((0, 1))
+
+    home = F.arrow_udf(lean(homes(pivots)), "struct<cell:int,angle:double>")
+    cells = small(sizes.withColumn("cells", F.greatest(F.lit(1), F.least(F.lit(len(pivots)), F.floor(F.col("n") / block)).cast("int"))).drop("n"))
+    known = classes.join(cells, ["label", "dim"]).withColumn("x", home("embedding", "cells"))
+    keys = ["label", "dim", "cell", "step"]
+    known = settled(known.select("id", "copies", "label", "dim", "embedding", "x.cell", F.least(F.lit(STEPS - 1), F.floor(F.col("x.angle") * (STEPS / math.pi))).cast("int").alias("step")))
+    # a cell's vectors in order of their angle, cut where a block is full; a step of more vectors than that is cut by a hash
+    before = Window.partitionBy("label", "dim", "cell").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = known.groupBy(*keys).agg(F.count("*").alias("m"))
+    counts = small(settled(counts.select(*keys, F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / block).alias("part"), F.ceil(F.col("m") / block).alias("cuts"))))
+    known = known.join(counts, keys).withColumn("block", F.xxhash64("label", "dim", "cell", "part", F.when(F.col("cuts") > 1, F.struct("step", F.pmod(F.xxhash64("id"), F.col("cuts"))))))
+    known = settled(known.select("id", "copies", "label", "dim", "embedding", "cell", "block"))
+
+    of_label = dict(known.dtypes)["label"]
+    blocks = known.select("label", "dim", "cell", "block", "embedding").groupBy("block").applyInArrow(lean(ranges(pivots)), f"label {of_label}, dim int, cell int, block long, low array<double>, high array<double>")
+    blocks = settled(blocks)
+    apart = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+    near = lambda a, b: F.forall(F.zip_with(F.col(f"low{a}"), F.col(f"high{b}"), lambda x, y: x <= y + apart), lambda x: x)
+    wide = blocks.groupBy("label", "dim", "cell").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    fold = lambda column, f: F.aggregate(F.slice(column, F.lit(2), F.size(column)), F.col(column)[0], lambda s, x: F.zip_with(s, x, f))
+    wide = wide.select("label", "dim", "cell", fold("lows", lambda x, y: F.least(x, y)).alias("low"), fold("highs", lambda x, y: F.greatest(x, y)).alias("high"))
+    other = lambda df: df.select("label", "dim", *[F.col(c).alias(f"{c}_") for c in df.columns if c not in ("label", "dim")])
+    met = settled(wide.join(other(wide), ["label", "dim"]).filter((F.col("cell") <= F.col("cell_")) & near("", "_") & near("_", "")).select("label", "dim", "cell", "cell_"))
+    tiles = blocks.join(met, ["label", "dim", "cell"]).join(other(blocks), ["label", "dim", "cell_"])
+    tiles = tiles.filter(((F.col("cell") < F.col("cell_")) | (F.col("block") <= F.col("block_"))) & near("", "_") & near("_", ""))
+    return settled(tiles.select("block", "block_", F.xxhash64("block", "block_").alias("tile"), (F.col("block") == F.col("block_")).alias("alone"))), known
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id of every row of df (vec_id, embedding, label)."""
     spark = df.sparkSession
@@ -127,44 +207,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, block: int = BLOCK)
     classes = fitting.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = settled(classes.withColumn("dim", F.size("embedding")))
 
-    # blocks: a class is near its nearest pivot; a label gets as many pivots as it has full blocks
-    chosen = [r["embedding"] for r in classes.orderBy(F.hash("h"), "h", "id").select("embedding").limit(PIVOTS).collect()]
-    dim = max(map(len, chosen), default=1)
-    pivots = unit(np.array([p for p in chosen if len(p) == dim], dtype=np.float64)) if chosen else np.zeros((0, 1))
-
-    @F.arrow_udf("array<double>")
-    @lean
-    def angles(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in np.array_split(np.arange(len(vectors)), max(1, len(vectors) // 4096)):
-            part = vectors.take(pa.array(v))
-            sizes = np.diff(np.asarray(part.offsets))
-            got = np.zeros((len(v), len(pivots)))
-            same = sizes == dim
-            if same.any():
-                x = np.asarray(part.filter(pa.array(same)).flatten()).reshape(-1, dim)
-                got[same] = np.arccos(np.clip(unit(x) @ pivots.T, -1, 1))
-            out += got.tolist()
-        return pa.array(out, type=pa.list_(pa.float64()))
-
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = small(settled(sizes)).withColumn("cells", F.greatest(F.lit(1), F.least(F.lit(len(pivots)), F.floor(F.col("n") / block)).cast("int")))
-    known = classes.withColumn("angles", angles("embedding")).join(sizes, ["label", "dim"])
-    head = F.slice("angles", F.lit(1), F.col("cells"))
-    known = known.withColumn("cell", F.coalesce(F.array_position(head, F.array_min(head)).cast("int"), F.lit(1)))
-    known = settled(known.select("id", "copies", "label", "dim", "embedding", "angles", "cell"))
-    cells = small(settled(known.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"))))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block))
-    known = known.join(cells, ["label", "dim", "cell"]).withColumn("block", F.xxhash64("label", "dim", "cell", part))
-    ranges = [f(F.col("angles")[k]).alias(f"{n}{k}") for k in range(len(pivots)) for n, f in (("lo", F.min), ("hi", F.max))]
-    blocks = settled(known.groupBy("label", "dim", "block").agg(F.count("*").alias("m"), *ranges))
-    apart = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
-    other = blocks.select("label", "dim", *[F.col(c).alias(f"{c}_") for c in blocks.columns if c not in ("label", "dim")])
-    meet = F.col("block") <= F.col("block_")
-    for k in range(len(pivots)):
-        meet &= (F.col(f"lo{k}") <= F.col(f"hi{k}_") + apart) & (F.col(f"lo{k}_") <= F.col(f"hi{k}") + apart)
-    tiles = blocks.join(other, ["label", "dim"]).filter(meet).select("block", "block_", F.xxhash64("block", "block_").alias("tile"), (F.col("block") == F.col("block_")).alias("alone"))
-    tiles = settled(tiles)
+    tiles, known = tiled(classes, threshold, block)
     sides = tiles.select("tile", "alone", F.col("block"), F.lit(0).alias("side")).union(tiles.filter("not alone").select("tile", "alone", F.col("block_"), F.lit(1)))
     dealt = known.select("id", "copies", "embedding", "block").join(sides, "block").select("tile", "alone", "side", "id", "copies", "embedding")
     found = settled(dealt.groupBy("tile").applyInArrow(lean(tile(threshold)), "id long, links long, root long"))

@@ -253,6 +253,33 @@ def test_embeddings(spark, block):
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tiles_grow_with_the_vectors(spark):
+    """Vectors in tight groups: twice as many have about twice as many pairs of blocks to multiply, not four times."""
+    rng = np.random.default_rng(5)
+
+    def count(groups):
+        centres = rng.normal(size=(groups, 24))
+        x = np.concatenate([c + rng.normal(size=(10, 24)) * 0.05 for c in centres]).astype(np.float64)
+        df = spark.createDataFrame([(k, v.tolist(), 1, 1, hash(k), 24) for k, v in enumerate(x)], "id long, embedding array<double>, label int, copies long, h long, dim int")
+        tiles, known = embdedup.tiled(df, 0.98, 20)
+        return tiles.count(), known.select("block").distinct().count()
+
+    (a, blocks_a), (b, blocks_b) = count(60), count(120)
+    assert blocks_a >= 20 and blocks_b >= 1.6 * blocks_a and b <= 3 * a and a < blocks_a * (blocks_a + 1) / 4
+
+
+def test_long_vectors_and_repeated_rows(spark):
+    """Over 1,040 dimensions, where sums go by parts; rows that repeat a vec_id count as others."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 1500))
+    vectors = [(base[k % 4] + rng.normal(size=1500) * 0.02 * (k % 3)).tolist() for k in range(16)]
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    n, root = links_of(vectors, [1] * 16)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_duplicates(df).collect()} == {k: (n[k], root[k]) for k in range(16)}
+    twice = embdedup.near_duplicates(df.union(df)).collect()
+    assert len(twice) == 32 and {(r.vec_id, r.n_links, r.component_id) for r in twice} == {(k, 2 * n[k] + 1, root[k]) for k in range(16)}
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(0)
     a, b = embdedup.unit(rng.normal(size=(50, 48))), embdedup.unit(rng.normal(size=(40, 48)))
