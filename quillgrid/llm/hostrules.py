@@ -21,8 +21,8 @@ from quillgrid.llm.common import IS_SPACE, hashes, lean, settled, shingle_hashes
 #: Rules of the base, in integers: least words, and most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
-#: A host goes if its shrunk rate of failing documents is above this; the prior's weight is never less than so many documents.
-MOST_FAILING, LEAST_PRIOR = 0.6, 20.0
+#: A host goes if its shrunk rate of failing documents is above this.
+MOST_FAILING = 0.6
 FEATURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 
 IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -71,7 +71,10 @@ def fails() -> Column:
 
 
 def shrunk(hosts: DataFrame) -> DataFrame:
-    """host, rate of hosts (host, n, failed): (failed + a) / (n + a + b), where a and b match mean and spread of the hosts' rates."""
+    """host, rate of hosts (host, n, failed): (failed + a) / (n + a + b), where a and b match mean and spread of the hosts' rates.
+
+    The spread is what is left of the rates' variance (each host by its documents) without that of samples of the typical size.  Where
+    nothing is left the hosts do not differ, and all have the common rate; where it is all there can be, a + b is 0 and rates stay."""
     r = F.col("failed") / F.col("n")
     prior = hosts.agg(
         (F.sum("failed") / F.sum("n")).alias("mean"),
@@ -81,10 +84,11 @@ def shrunk(hosts: DataFrame) -> DataFrame:
     if not prior or prior["mean"] is None:
         return hosts.select("host", F.lit(0.0).alias("rate"))
     mean, noise = prior["mean"], prior["mean"] * (1 - prior["mean"])
-    # the spread beyond what samples of the typical size show by chance
-    spread = max(prior["square"] - mean**2 - noise / max(prior["typical"], 1.0), 0.0)
-    weight = max(LEAST_PRIOR, noise / spread - 1) if spread > 0 else 1e9
-    return hosts.select("host", ((F.col("failed") + mean * weight) / (F.col("n") + weight)).alias("rate"))
+    spread = prior["square"] - mean**2 - noise / max(prior["typical"], 1.0)
+    if spread <= 0:
+        return hosts.select("host", F.lit(mean).alias("rate"))
+    both = max(noise / spread - 1, 0.0)
+    return hosts.select("host", ((F.col("failed") + mean * both) / (F.col("n") + both)).alias("rate"))
 
 
 def judged(df: DataFrame, host: Column, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most_failing: float = MOST_FAILING) -> DataFrame:

@@ -158,9 +158,28 @@ def test_long_passages_on_few_lines(spark):
 # --- sharding ---
 
 
+def filled(names, slots):
+    """The table by turns, each shard walking its whole permutation as a list."""
+    digest = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    walks = [iter([(digest(f"start:{x}") % slots + j * (digest(f"step:{x}") % (slots - 1) + 1)) % slots for j in range(slots)]) for x in names]
+    owner: dict[int, int] = {}
+    while len(owner) < slots:
+        for k, walk in enumerate(walks):
+            slot = next((x for x in walk if x not in owner), None)
+            if slot is not None:
+                owner[slot] = k
+    return [owner[k] for k in range(slots)]
+
+
+@pytest.mark.parametrize("n, slots", [(1, 2), (3, 3), (7, 503), (100, 1009)])
+def test_lookup_is_filled_by_turns(n, slots):
+    names = [f"shard-{k:03d}" for k in range(n)]
+    assert sharding.lookup(names, slots).tolist() == filled(names, slots)
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(7)]
-    table = sharding.lookup(names, 503)
+    table = np.array(filled(names, 503))
     assert max(Counter(table.tolist()).values()) - min(Counter(table.tolist()).values()) <= 1
     fewer = sharding.lookup(names[:-1], 503)
     assert ((table != fewer) & (table != 6)).mean() < 0.15  # few slots move but those of the shard that left
@@ -386,10 +405,37 @@ def test_host_rules(spark):
     got = {r.doc_id: r for r in hostrules.judged(df, F.col("source")).collect()}
     assert got[0].kept and not got[200].kept and not got[200].base_failed and got[202].kept and not got[300].kept
     assert (got[301].n_words, got[301].n_repeat_words, got[301].n_dup_lines, got[300].n_words) == (25, 21, 1, 0)
-    assert 0.55 < got[201].host_rate < 0.6 < got[200].host_rate  # a host of two documents hardly leaves the common rate
     assert hostrules.judged(df.limit(0), F.col("source")).count() == 0
 
 
+def moments(hosts):
+    """Shrunk rates by the words of the method, from (documents, failing) of each host."""
+    n, f = np.array(hosts, dtype=float).T
+    mean = f.sum() / n.sum()
+    spread = (n * (f / n) ** 2).sum() / n.sum() - mean**2 - mean * (1 - mean) / max(1, len(n) / (1 / n).sum())
+    if spread <= 0:
+        return [mean] * len(n)
+    both = max(mean * (1 - mean) / spread - 1, 0)
+    return ((f + mean * both) / (n + both)).tolist()
+
+
+@pytest.mark.parametrize("hosts", [[(50, 5), (40, 20), (60, 12), (3, 3), (1, 0), (2, 1)], [(30, 30), (30, 0)], [(40, 4), (40, 4)], [(5, 5)]])
+def test_host_prior_is_fitted(spark, hosts):
+    df = spark.createDataFrame([(k, n, f) for k, (n, f) in enumerate(hosts)], "host long, n long, failed long")
+    assert np.allclose([r.rate for r in hostrules.shrunk(df).orderBy("host").collect()], moments(hosts))
+    assert hosts[0] != (50, 5) or 0.1 < moments(hosts)[3] < 0.9  # three documents, all failing, stay away from 1
+
+
+def test_host_rules_on_odd_rows(spark):
+    """Long texts and repeated rows count like others."""
+    long_ = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(k, t, "en", "h", 0) for k, t in enumerate([*ODD, long_, long_ + " " + long_])]
+    got = {r.doc_id: r for r in hostrules.judged(docs(spark, rows + rows), F.col("source")).collect()}
+    n = len(rows)
+    assert hostrules.judged(docs(spark, rows + rows), F.col("source")).count() == 2 * n and got[n - 2].n_words == 60_000 and got[n - 2].n_repeat_words == 0
+    assert (got[n - 1].n_words, got[n - 1].n_repeat_words) == (120_000, 120_000) and got[5].n_repeat_words == 20_000 and got[n - 2].host_rate == got[0].host_rate
+
+
 # --- HTML ---
 
 
