@@ -12,7 +12,7 @@ import hashlib
 import re
 from array import array
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
 
 import ahocorasick
 import numpy as np
@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import lean
+from quillgrid.llm.common import HELD, lean
 
 #: Pieces and token pairs that a worker remembers, of the last and the present generation each; full memories are emptied, which changes no result.
-PIECES_KEPT = 100_000
-PAIRS_KEPT = 60_000
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 100_000
 LONGEST_KEPT = 64
 
 
@@ -231,6 +231,7 @@ def codec(shared) -> Codec:
     if id(v) not in _codecs:
         _codecs.clear()
         _codecs[id(v)] = Codec(v)
+    HELD["bpe"] = _codecs.clear
     return _codecs[id(v)]
 
 
@@ -248,7 +249,7 @@ def udfs(spark: SparkSession, path: str, pattern: str):
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
 
     @F.arrow_udf("array<int>")
-    @lean
+    @partial(lean, owner="bpe")
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(shared)
         rows = [c.encode(t.as_py()) for t in texts]
@@ -257,13 +258,13 @@ def udfs(spark: SparkSession, path: str, pattern: str):
         return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), type=pa.int32()))
 
     @F.arrow_udf("binary")
-    @lean
+    @partial(lean, owner="bpe")
     def decode(ids: pa.Array) -> pa.Array:
         c = codec(shared)
         return pa.array([None if x is None else c.decode(x) for x in each(ids)], type=pa.binary())
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,ids:array<int>>")
-    @lean
+    @partial(lean, owner="bpe")
     def digest(ids: pa.Array) -> pa.Array:
         """The ids again with their number and digests, so that one worker does it all."""
         c, rows = codec(shared), list(each(ids))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import inspect
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(packed(df)).checkpoint(eager=True).select(f"{ROW}.*")
 
 
-def lean(f):
-    """f, for Python workers: what Arrow's memory pool holds after a batch is given back, as workers stay and others need the memory."""
+#: What a worker remembers for one operator, by its name: how to forget it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def lean(f, owner: str = ""):
+    """f, for Python workers, which stay and serve one operator after the other: what Arrow's memory pool holds after a batch is given back, and what other operators than the owner remember is forgotten."""
 
     @functools.wraps(f)
     def run(*columns):
+        for name in [n for n in HELD if n != owner]:
+            HELD.pop(name)()
         out = f(*columns)
         pa.default_memory_pool().release_unused()
         return out

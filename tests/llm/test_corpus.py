@@ -697,19 +697,97 @@ def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() == n
 
 
+def without_repeats(rows, width=3, passage=50):
+    """Line dedup by brute force over (doc_id, text) of different doc_ids: text without lines of runs that came before, and their number."""
+    blank = lambda x: not x.strip(" \t\n\v\f\r")
+    seen: dict = {}
+    out = {}
+    for i, text in sorted(rows):
+        lines = [x for x in (text or "").split("\n") if not blank(x)]
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        runs = [(k, width) for k in range(len(lines) - width + 1)]
+        if passage:
+            runs += [(k, 1) for k in range(len(n)) if n[k] > passage]
+            runs += [(k, 2) for k in range(len(n) - 1) if max(n[k : k + 2]) <= passage < sum(n[k : k + 2])]
+            runs += [(0, len(lines))] if 0 < len(lines) < width else []
+        runs, gone = sorted(set(runs)), set()
+        for k, size in runs:
+            key = (size, *[x.rstrip(" \t\r") for x in lines[k : k + size]])
+            if seen.setdefault(key, (i, k)) != (i, k):
+                gone |= set(range(k, k + size))
+        kept, at = [], -1
+        for x in (text or "").split("\n"):
+            at += not blank(x)
+            if blank(x) or at not in gone:
+                kept.append(x)
+        out[i] = ("\n".join(kept) if gone else text, len(gone))
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c ", "", " ", "d " * 30, "e " * 60]), max_size=8), max_size=6))
+def test_line_dedup_by_brute_force(spark, texts):
+    rows = [(k, "\n".join(t)) for k, t in enumerate(texts)]
+    got = linededup.deduplicated(docs(spark, [(k, t, "", "", 0) for k, t in rows]), passage=50)
+    assert {r.doc_id: (r.text, r.removed) for r in got.collect()} == without_repeats(rows)
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage on its own input, by brute force."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
+    of = {}
+    rows = {"": d.collect()}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, d, SF).write.parquet(str(tmp_path / name))
-        after = spark.read.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
         if name != "encoding":
-            assert sorted(after.columns) == sorted(d.columns)
-        kept[name] = after.select("doc_id").distinct().count()
-        d = after
-    assert kept["quality"] >= kept["line_dedup"] >= kept["near_dedup"] >= kept["mixing"] > 0
+            assert sorted(d.columns) == sorted(spark.read.parquet(f"{SF}/documents.parquet").columns)
+        rows[name] = d.collect()
+        of[name] = {r.doc_id for r in rows[name]}
+    assert of["quality"] >= of["line_dedup"] >= of["near_dedup"] >= of["mixing"] == of["encoding"] > set()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [k for k, y in labels.items() if y == 1]
+    assert sum(k in of["quality"] for k in good) >= 0.95 * len(good) and sum(k not in of["quality"] for k, y in labels.items() if y == 0) >= 0.6 * (len(labels) - len(good))
+    cut = without_repeats([(r.doc_id, r.text) for r in rows["quality"]])
+    assert {r.doc_id: r.text for r in rows["line_dedup"]} == {k: t for k, (t, n) in cut.items() if not n or t.strip()}
+    assert all(r.n_chars == len(r.text) for r in rows["line_dedup"] if cut[r.doc_id][1])
+    before = sorted((r.doc_id, r.text) for r in rows["line_dedup"])
+    roots = near([t for _, t in before], 80)[1]
+    assert of["near_dedup"] == {k for n, (k, _) in enumerate(before) if roots[n] == n}
+    by, took = Counter(), Counter()
+    for r in rows["near_dedup"]:
+        by[r.source] += len((r.text or "").encode().split())
+    for r in rows["mixing"]:
+        took[r.source] += len(r.text.encode().split())
+    aim = wanted(by, queries.WEIGHTS, queries.SHARE, queries.MOST)
+    assert max(Counter(r.doc_id for r in rows["mixing"]).values()) <= 2 and {(r.doc_id, r.text) for r in rows["mixing"]} <= {(r.doc_id, r.text) for r in rows["near_dedup"]}
+    assert all(took[s] <= aim[s] for s in by) and sum(took.values()) >= 0.8 * sum(aim.values())
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks, special_tokens={})
-    texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "mixing")).collect()}
-    assert all(list(r.ids) == plain.encode_ordinary(texts[r.doc_id]) for r in d.collect())
-    near_ = spark.read.parquet(str(tmp_path / "near_dedup")).orderBy("doc_id").collect()
-    assert len(set(near([r.text for r in near_])[1])) == len(near_)
+    texts = {r.doc_id: r.text for r in rows["mixing"]}
+    assert all(list(r.ids) == plain.encode_ordinary(texts[r.doc_id]) for r in rows["encoding"]) and len(rows["encoding"]) == len(rows["mixing"])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names, and a table without rows."""
+    rows = [(k, t, "en" if k % 2 else None, "s" if k % 3 else None, len(t or "") if k % 2 else None) for k, t in enumerate([*ODD, " ".join(f"w{k}" for k in range(50_000))])]
+    rows += [(None, None, None, None, None), (None, "three words here", None, "s", 1), (4, "same text of some words here now", "en", "s", 1)]
+    df = docs(spark, rows + rows).withColumns({c: F.lit(c) for c in ("row", "removed", "__row", "id", "place", "size", "key", "band", "slot", "kept", "score", "d")})
+    out = stage(spark, df, SF).collect()
+    if name != "encoding":
+        assert not out or list(out[0].asDict()) == df.columns and {r.removed for r in out} == {"removed"}
+    ids = Counter(r.doc_id for r in out)
+    if name == "quality":
+        assert all(n % 2 == 0 for n in ids.values())
+    elif name == "line_dedup":
+        long_ = [r.text for r in out if r.doc_id == len(ODD)]
+        assert long_ == [rows[len(ODD)][1]] * 2 and ids[0] == 2 and ids[None] == 4
+    elif name == "near_dedup":
+        assert all(n == 1 for k, n in ids.items() if k is not None) and ids[None] == 4 and 7 not in ids
+    elif name == "mixing":
+        words = lambda t: len((t or "").split())
+        held = Counter(r[0] for r in rows + rows)
+        assert all(words(r.text) for r in out) and all(n <= 2 * held[k] for k, n in ids.items())
+    else:
+        assert len(out) == 2 * len(rows)
+    assert stage(spark, df.limit(0), SF).count() == 0
