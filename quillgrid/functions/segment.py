@@ -183,6 +183,10 @@ class Document:
                 out.append(Piece(block.start + last, block.end, text[last:]))
         return out
 
+    @cached_property
+    def sentence_words(self) -> list[int]:
+        return [count_words(s.text) for s in self.sentences]
+
     @cached_property
     def _marks(self) -> tuple[list[Heading], list[Item]]:
         headings, items = [], []

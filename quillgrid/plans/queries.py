@@ -308,12 +308,20 @@ s AS (SELECT *, floor(greatest(0.0::DOUBLE, least(100.0::DOUBLE, greatest(0.0::D
 )
 
 
-@query(SCORES + " SELECT doc_id, w::BIGINT AS words, findings, con AS contractions, fp AS first_person, floor(d * 10000 + 0.5) / 10000 AS density, floor(h * 10000 + 0.5) / 10000 AS discount, score FROM s")
+SCORE_ROWS = SCORES + " SELECT doc_id, w::BIGINT AS words, findings, con AS contractions, fp AS first_person, floor(d * 10000 + 0.5) / 10000 AS density, floor(h * 10000 + 0.5) / 10000 AS discount, score FROM s"
+
+
+@query(SCORE_ROWS)
 def score_documents(spark, sf_dir):
     docs = written(spark, sf_dir)
     return score.scored(docs, detect.detected(docs, RULES)).drop("band")
 
 
+@query(SCORE_ROWS)
+def score_in_one_pass(spark, sf_dir):
+    return score.detected_scores(written(spark, sf_dir), RULES).drop("band")
+
+
 @query(SCORES + " SELECT CASE WHEN score >= 60 THEN 'heavy' WHEN score >= 30 THEN 'moderate' WHEN score >= 12 THEN 'light' ELSE 'clean' END AS band, count(*)::BIGINT AS n FROM s GROUP BY band")
 def score_bands(spark, sf_dir):
     docs = written(spark, sf_dir)
@@ -961,8 +969,7 @@ def text_hash(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detector with all rules over all documents, and every document's score."""
-    docs = read(ship(spark), sf_dir, "documents")
-    return score.scored(docs, detect.detected(docs))
+    return score.detected_scores(read(ship(spark), sf_dir, "documents"))
 
 
 @query("SELECT n_nationkey::BIGINT AS id, (length(n_name) + 2 + 1)::BIGINT AS units, 'a' || chr(10) || chr(10) || n_name || chr(10) AS even, 'x = 1' || chr(10) || chr(10) || 'y' || chr(10) AS bare, sha256('m' || chr(31) || n_name) AS key FROM nation")
