@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import HELD, lean
 
 #: Pieces and token pairs that a worker remembers, of the last and the present generation each; full memories are emptied, which changes no result.
@@ -246,7 +247,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def udfs(spark: SparkSession, path: str, pattern: str):
     """Arrow functions encode(text) -> ids, decode(ids) -> bytes and digest(ids); the vocabulary, of fixed size, is broadcast."""
-    shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
+    shared = ship(spark).sparkContext.broadcast(vocabulary(path, pattern))
 
     @F.arrow_udf("array<int>")
     @partial(lean, owner="bpe")

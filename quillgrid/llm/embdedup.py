@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import lean, settled, small
 from quillgrid.llm.components import components, joined
 
@@ -200,6 +201,7 @@ def tiled(classes: DataFrame, threshold: float, block: int) -> tuple[DataFrame,
 def near_duplicates(df: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id of every row of df (vec_id, embedding, label)."""
     spark = df.sparkSession
+    ship(df.sparkSession)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = df.select("vec_id", "embedding", "label")

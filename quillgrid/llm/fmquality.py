@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import IS_SPACE, MIX, hashes, lean, shingle_hashes, slices, utf8
 
 #: Buckets of hashed words, factors, and the most labelled rows that are learned from (those of the lowest hash).
@@ -181,6 +182,7 @@ def held_out(key: Column) -> Column:
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Machine:
     """The machine for docs (doc_id, text) and labels (doc_id, label); at most sample rows reach the driver, as features of fixed size."""
+    ship(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
 
@@ -205,7 +207,7 @@ def fields(docs: DataFrame) -> list[Column]:
 
 def scored(docs: DataFrame, machine: Machine) -> Column:
     """The score of a row of docs (text and, where it has them, the columns of METADATA)."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
     @lean

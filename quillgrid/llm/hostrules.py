@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import IS_SPACE, hashes, lean, settled, shingle_hashes, small, sums, utf8, word_counts
 
 #: Rules of the base, in integers: least words, and most percent of words in repeated windows.
@@ -93,6 +94,7 @@ def shrunk(hosts: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, host: Column, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most_failing: float = MOST_FAILING) -> DataFrame:
     """The columns of carry, host, the counts of the whole text, base_failed, host_rate and kept."""
+    ship(df.sparkSession)
     counts = F.arrow_udf(lean(counted), FEATURES)
     rows = df.select(*carry, host.alias("host"), counts(F.coalesce(F.col(text), F.lit(""))).alias("counts")).select(*carry, "host", "counts.*")
     rows = settled(rows.withColumn("base_failed", fails()))

@@ -4,8 +4,8 @@ Structure names what is surely not text (menus, scripts, forms ...), and where a
 element what is likely to be.  All pages lie in order of host and path, across all borders of tasks; each is
 paired with the NEAR pages of its host that are next to it, and all its lines are aligned with all lines of
 each of these by longest common subsequence.  Lines shared with two of them, or with the only one there is,
-are the site's and not the page's, and are deleted.  One neighbour alone does not tell a site's lines from those of
-a copy; two do.  Two copies of a page next to it would still take its text away, so where deletion would leave
+are the site's and not the page's, and are deleted; inside an article or main element all of them have to share a line
+(and two at least), as short lines are alike by chance.  One neighbour alone does not tell a site's lines from those of a copy; two do.  Two copies of a page next to it would still take its text away, so where deletion would leave
 nothing of a page (or, inside an article or main element, where text is likely, the lesser part of its characters)
 lines stay.  A title (h1) inside such an element always stays.
 
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import lean, parted, settled
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -47,7 +48,7 @@ MARK = re.compile("[a-z0-9]+")
 SPLIT = re.compile("(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 #: Inside an article or main element lines stay if more than this share of its characters would go.
 MOST_GOES = 0.5
-#: Neighbours of a page, and how many of them must share a line that goes (or the only one).
+#: Neighbours of a page, and how many of them must share a line that goes (or the only one there is); inside an article or main element, where lines are likely to be text, all of two or more.
 NEAR, SUPPORT = 4, 2
 #: Matching pairs of lines up to which an alignment goes by pairs; then by bits.
 MOST_PAIRS = 200_000
@@ -225,9 +226,9 @@ def goes(lines: list[int], sizes: list[int], kind: list[int], main: bool, near:
     for other in near:
         for k in aligned(lines, other):
             votes[k] += 1
-    need = min(SUPPORT, len(near))
+    need = max(2, len(near)) if main else max(1, min(SUPPORT, len(near)))
     text = [k for k, x in enumerate(kind) if x]
-    gone = [k for k in text if kind[k] == TEXT and votes[k] >= need > 0]
+    gone = [k for k in text if kind[k] == TEXT and votes[k] >= need]
     if len(gone) == len(text) or main and sum(sizes[k] for k in gone) > MOST_GOES * sum(sizes[k] for k in text):
         return []
     place = {k: n for n, k in enumerate(text)}
@@ -262,6 +263,7 @@ def paired(pages: DataFrame) -> DataFrame:
 
 def extracted(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url and text of every row of df."""
+    ship(df.sparkSession)
     read, sketch, compare = F.arrow_udf(lean(parsed), "string"), F.arrow_udf(lean(sketched), SKETCH), F.arrow_udf(lean(compared), "array<int>")
     html = F.coalesce("html", F.lit(""))
     place = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)", 1)

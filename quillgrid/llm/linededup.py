@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import ROW, lean, packed, parted, settled
 
 WIDTH = 3
@@ -81,6 +82,7 @@ def without(texts: pa.Array, starts: pa.Array) -> pa.Array:
 
 def repeats(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
     """doc_id, version (a hash of the text) and starts: position and size of windows that repeat an earlier one, of each document that has any."""
+    ship(df.sparkSession)
     hashed = F.arrow_udf(lean(windows(width, passage)), "array<struct<position:int,size:int,a:bigint,b:bigint>>")
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", F.xxhash64(text).alias("version"), F.explode(hashed(text)).alias("w")).select("doc_id", "version", "w.*")

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import MIX, hashes, lean, parted, settled, shingle_hashes, sieved
 from quillgrid.llm.components import components, joined
 
@@ -149,6 +150,7 @@ def within(percent: int, width: int):
 
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of df (doc_id, text)."""
+    ship(df.sparkSession)
     found = F.arrow_udf(lean(sketch(width)), SKETCH)
     rows = settled(df.select("doc_id", found("text").alias("s")).select("doc_id", "s.*"))
     linkable = rows.filter("doc_id IS NOT NULL AND key IS NOT NULL")

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid import ship
 from quillgrid.llm.common import lean
 
 KINDS = ("email", "ip", "card", "phone")
@@ -369,6 +370,7 @@ def added(text: str, found: list[tuple[int, int, int]], field: Field) -> list[tu
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """The field of at most sample documents that may hold a base span, those of the lowest hash of their text."""
+    ship(docs.sparkSession)
 
     @F.arrow_udf("binary")
     @lean
@@ -387,7 +389,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Field:
 
 def spans_udf(df: DataFrame, field: Field):
     """An Arrow function text -> base and added spans as arrays of kind, start, end."""
-    shared = df.sparkSession.sparkContext.broadcast(field)
+    shared = ship(df.sparkSession).sparkContext.broadcast(field)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     @F.arrow_udf("struct<base:array<struct<kind:string,start:bigint,end:bigint>>,added:array<struct<kind:string,start:bigint,end:bigint>>>")

@@ -460,14 +460,15 @@ def test_html_site_lines_inside_articles(spark):
     long = [f"Line {k} of a text that two pages have in common" for k in range(4)]
     rows = [
         (1, "http://a.org/g/1", page("First of its own, long enough", "<div class=box>Ask the site", "More of the first page here")),
-        (2, "http://a.org/g/2", page("The second has other words", "<div class=box>Ask the site")),
+        (2, "http://a.org/g/2", page("The second has other words", "<div class=box>Ask the site")), (7, "http://a.org/g/3", page("The third has others again", "Yes.", "<div class=box>Ask the site")), (8, "http://a.org/g/4", page("The last is short but has words", "Yes.", "Ask the site")),
         (3, "http://b.org/1", page(*long, "ends one way")), (4, "http://b.org/2", page(*long, "ends another way")),
         (5, "http://c.org/1", "<p>Open page<p>Ask c"), (6, "http://c.org/2", page("Text of the page with an article", "Ask c")),
     ]
     got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "Guide\nFirst of its own, long enough\nMore of the first page here" and got[2] == "Guide\nThe second has other words"
+    assert got[7] == "Guide\nThe third has others again\nYes." and got[8] == "Guide\nThe last is short but has words\nYes."
     assert got[3] == "\n".join(["Guide", *long, "ends one way"]) and got[4] == "\n".join(["Guide", *long, "ends another way"])
-    assert got[5] == "Open page" and got[6] == "Guide\nText of the page with an article"
+    assert got[5] == "Open page" and got[6] == "Guide\nText of the page with an article\nAsk c"
 
 
 def sites(rng):
