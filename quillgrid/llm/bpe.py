@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid import ship
-from quillgrid.llm.common import HELD, lean
+from quillgrid.llm.common import hold, lean
 
 #: Pieces and token pairs that a worker remembers, of the last and the present generation each; full memories are emptied, which changes no result.
 PIECES_KEPT = 150_000
@@ -229,11 +229,13 @@ _codecs: dict[int, Codec] = {}
 def codec(shared) -> Codec:
     """The worker's codec for a broadcast vocabulary."""
     v = shared.value
-    if id(v) not in _codecs:
+    c = _codecs.get(id(v))
+    if c is None:
+        c = Codec(v)
         _codecs.clear()
-        _codecs[id(v)] = Codec(v)
-    HELD["bpe"] = _codecs.clear
-    return _codecs[id(v)]
+        _codecs[id(v)] = c
+    hold("bpe", _codecs.clear)
+    return c
 
 
 _read: dict[tuple, Vocabulary] = {}

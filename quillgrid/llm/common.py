@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import inspect
 import tempfile
+import threading
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -47,8 +49,33 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(packed(df)).checkpoint(eager=True).select(f"{ROW}.*")
 
 
-#: What a worker remembers for one operator, by its name: how to forget it.
+#: What a worker remembers for one operator, by its name: how to forget it.  It is forgotten when the worker serves another operator, and when it has had nothing to do for so many seconds.
 HELD: dict[str, Callable[[], None]] = {}
+IDLE = 1.0
+_state = {"busy": 0, "since": 0.0, "watched": False}
+
+
+def forget(owner: str = "") -> None:
+    """Lets go of what operators other than the owner hold."""
+    for name in [n for n in list(HELD) if n != owner]:
+        if clear := HELD.pop(name, None):
+            clear()
+
+
+def _watch() -> None:
+    while HELD:
+        time.sleep(IDLE / 2)
+        if not _state["busy"] and time.monotonic() - _state["since"] > IDLE:
+            forget()
+            pa.default_memory_pool().release_unused()
+    _state["watched"] = False
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    HELD[name] = clear
+    if not _state["watched"]:
+        _state["watched"] = True
+        threading.Thread(target=_watch, daemon=True).start()
 
 
 def lean(f, owner: str = ""):
@@ -56,11 +83,14 @@ def lean(f, owner: str = ""):
 
     @functools.wraps(f)
     def run(*columns):
-        for name in [n for n in HELD if n != owner]:
-            HELD.pop(name)()
-        out = f(*columns)
-        pa.default_memory_pool().release_unused()
-        return out
+        _state["busy"] += 1
+        try:
+            forget(owner)
+            return f(*columns)
+        finally:
+            _state["busy"] -= 1
+            _state["since"] = time.monotonic()
+            pa.default_memory_pool().release_unused()
 
     @functools.wraps(f)
     def run_one(column):

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgrid.llm import bpe, components, embdedup, fmquality, hostrules, htmltext, linededup, minhash, mix, pii, queries, sharding
+from quillgrid.llm import bpe, common, components, embdedup, fmquality, hostrules, htmltext, linededup, minhash, mix, pii, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -245,6 +246,19 @@ def test_bpe_query(spark, vocabulary):
     assert df.limit(0).count() == 0
 
 
+def test_workers_forget(monkeypatch):
+    """What an operator holds in a worker goes when another one runs there, and when it idles."""
+    monkeypatch.setattr(common, "IDLE", 0.2)
+    gone = []
+    mine, other = common.lean(lambda x: x, "a"), common.lean(lambda x: x)
+    common.hold("a", lambda: gone.append(1))
+    assert mine(3) == 3 and not gone and other(4) == 4 and gone == [1] and not common.HELD
+    common.hold("a", lambda: gone.append(2))
+    mine(1)
+    time.sleep(0.8)
+    assert gone == [1, 2]
+
+
 # --- embeddings ---
 
 
