@@ -27,11 +27,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+    return linededup.deduplicated(read(spark, sf_dir, "documents"), passage=linededup.PASSAGE).select("doc_id", "text", "removed")
 
 
-def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(read(spark, sf_dir, "documents"), passage=linededup.PASSAGE).select("doc_id", "text", "removed")
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By windows of three lines alone."""
+    return linededup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,19 +81,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_passage_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_window_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
+#: Lines with a word, numbered, and what is left of texts without the lines c.
+LINES = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+w AS (SELECT *, rtrim(line, ' ' || chr(9) || chr(13)) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),"""
+REMOVED = r"""
+g AS (SELECT w.doc_id, w.i FROM w JOIN c USING (doc_id, p))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.i) FROM l ANTI JOIN g USING (doc_id, i) WHERE l.doc_id = d.doc_id), '') END AS text, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::BIGINT AS removed FROM documents d"""
 ORACLE_SQL: dict[str, str] = {
     # the table of slots is filled by turns, which SQL cannot say; tests fill it in another way
     "op3_sharding": f"""
 SELECT doc_id, s AS slot, 'shard-' || lpad(o[s + 1]::VARCHAR, 3, '0') AS shard FROM (SELECT doc_id, ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN 't' || coalesce(text, '') ELSE 'k' || doc_id END), 1, 15))::BIGINT % 65537 AS s FROM documents), (SELECT {sharding.lookup(SHARDS, 65_537).tolist()} AS o)""",
-    "op2_line_dedup": r"""
-WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-w AS (SELECT *, rtrim(line, ' ' || chr(9) || chr(13)) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    "op2_line_dedup": LINES + r"""
+x AS (SELECT doc_id, p, k, n, lead(k) OVER d AS k2, lead(n) OVER d AS n2, lead(k, 2) OVER d AS k3, count(*) OVER (PARTITION BY doc_id) AS m FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+t AS (SELECT doc_id, p, 3 AS size, k, k2, k3 FROM x WHERE k3 IS NOT NULL UNION ALL SELECT doc_id, p, 1, k, NULL, NULL FROM x WHERE n > 50 OR m = 1 UNION ALL SELECT doc_id, p, 2, k, k2, NULL FROM x WHERE k2 IS NOT NULL AND (m = 2 OR greatest(n, n2) <= 50 AND n + n2 > 50)),
+r AS (SELECT doc_id, p, size FROM t QUALIFY row_number() OVER (PARTITION BY size, k, k2, k3 ORDER BY doc_id, p) > 1),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1), (2)) v(o) WHERE o < size),"""
+    + REMOVED,
+    "op2_window_dedup": LINES + r"""
 t AS (SELECT doc_id, p, k, lead(k) OVER d AS k2, lead(k, 2) OVER d AS k3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
 r AS (SELECT doc_id, p FROM t WHERE k3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, k2, k3 ORDER BY doc_id, p) > 1),
-c AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1), (2)) v(o)),
-g AS (SELECT w.doc_id, w.i FROM w JOIN c USING (doc_id, p))
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.i) FROM l ANTI JOIN g USING (doc_id, i) WHERE l.doc_id = d.doc_id), '') END AS text, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::BIGINT AS removed FROM documents d""",
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1), (2)) v(o)),"""
+    + REMOVED,
     "op5_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
