@@ -13,7 +13,7 @@ from quillgrid.functions import text as T
 from quillgrid.functions.config import edit_rules, matches
 from quillgrid.operators import assoc, code, detect, grounding, i18n, lexicon, lineage, models, score, segments, site, structure
 from quillgrid.plans import prose
-from quillgrid.plans.session import settled
+from quillgrid.plans.session import accumulated, settled
 from quillgrid.sources import files, heatmap, reports, store
 from quillgrid.streaming import events
 
@@ -708,17 +708,13 @@ def edge_stamp(spark, sf_dir):
 # --- translations, code, discovery --------------------------------------------------------------------------
 
 
-#: Rows of a language, on average, of which one task counts the ranks.
-STRIPE = 1_000
-
-
-def translations(spark, sf_dir) -> DataFrame:
-    """Every document as a file: the k-th of each language, by doc_id, is a version of page k.  All have headings, links, images and code by their doc_id."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.floor(F.col("doc_id") / STRIPE).alias("stripe"))
-    ahead = Window.partitionBy("lang").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
-    before = d.groupBy("lang", "stripe").agg(F.count("*").alias("n")).select("lang", "stripe", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("lang", "stripe").orderBy("doc_id"))
-    ranked = d.withColumn("rank", rank).join(before, ["lang", "stripe"]).withColumn("page", F.col("rank") + F.col("before"))
+def translations(spark, sf_dir, whole: bool = True) -> DataFrame:
+    """Every document as a file: the k-th of each language, by doc_id, is a version of page k.  All have headings, links, images and code by their doc_id, and their text if whole."""
+    d = read(spark, sf_dir, "documents")
+    ranked = settled(accumulated(d.select("doc_id", "lang"), [F.col("lang"), F.col("doc_id")], at=F.lit(1)))
+    first = ranked.groupBy(F.col("lang").alias("of")).agg(F.min("at").alias("first"))
+    ranked = ranked.join(F.broadcast(first), F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", (F.col("at") - F.col("first") + 1).alias("page"))
+    ranked = ranked.join(d.select("doc_id", "text"), "doc_id") if whole else ranked.withColumn("text", F.lit(""))
     heads = F.array_join(F.array_repeat(F.lit("## Part"), (F.col("doc_id") % 3).cast("int") + 1), "\n\n")
     more = [F.when(F.col("doc_id") % k == r, F.lit(x)).otherwise("") for k, r, x in ((2, 1, "\n\n```\ncode\n```"), (5, 0, "\n\n![i](i.png)"), (7, 0, "\n\n[l](https://x.org)"))]
     return ranked.select(F.concat(F.lit("docs/page"), "page", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("."), "lang")), F.lit(".md")).alias("path"), F.concat(heads, *more, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
@@ -729,7 +725,7 @@ TRANSLATIONS = "t AS (SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_i
 
 @query(f"WITH {TRANSLATIONS} SELECT 'docs/page' || a.page || '.md' AS source, 'docs/page' || a.page || '.' || b.lang || '.md' AS path, b.lang AS locale FROM t a JOIN t b ON a.page = b.page AND a.lang = 'en' AND b.lang <> 'en'")
 def translation_sets(spark, sf_dir):
-    out = i18n.sets(translations(spark, sf_dir).select("path")).filter("is_source")
+    out = i18n.sets(translations(spark, sf_dir, False).select("path")).filter("is_source")
     return out.select("source", F.explode("siblings").alias("s")).select("source", "s.path", "s.locale")
 
 

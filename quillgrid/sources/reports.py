@@ -11,6 +11,15 @@ from quillgrid.operators import detect
 LABELS = {"ai-slop": "Machine prose", "clarity": "Clarity", "style": "Style guide", "inclusive": "Inclusive language", "grounding": "Facts", "structure": "Structure", "grammar": "Grammar"}
 
 
+# Rows that each list shows.
+SHOWN = {"edges": 60, "edge checks": 15, "edge texts": 80, "agent": 10, "translations": 6, "rules": 6, "links": 3, "spans": 12, "grammar": 30, "regions": 3, "focus": 5}
+
+
+def shown(rows: DataFrame, what: str, all_: bool = False) -> DataFrame:
+    """The first rows of an ordered list, as many as such a list shows, unless all are asked for."""
+    return rows if all_ else rows.limit(SHOWN[what])
+
+
 def lines(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, text: a header with counts, then findings by family in order."""
     order = F.struct("family", detect.rank(F.col("severity")).alias("r"), "line", "col", "rule_id", "severity", "message")
