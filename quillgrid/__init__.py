@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -30,5 +31,6 @@ def ship(spark: SparkSession) -> SparkSession:
                         path = os.path.join(folder, name)
                         z.write(path, os.path.join("quillgrid", os.path.relpath(path, top)))
         sc.addPyFile(out.name)
+        atexit.register(lambda: os.path.exists(out.name) and os.unlink(out.name))  # executors may fetch it as long as the driver lives
         sc._quillgrid_shipped = True
     return spark

@@ -1016,3 +1016,6 @@ def all_proposals(spark, sf_dir):
     end = lambda f: F.struct(F.concat(F.lit(f), "n_nationkey").alias("path"), F.lit("L1").alias("chunk"), F.lit(1).alias("start"), F.lit(2).alias("end"))
     rows = n.select(end("a").alias("a"), end("b").alias("b"), F.lit(0.5).alias("score"), F.lit("embedding").alias("via"))
     return lineage.all_proposals(code.proposals(sources(spark, sf_dir)), rows).groupBy("via").agg(F.count("*").alias("n"))
+
+
+from quillgrid.plans import trees  # noqa: E402, F401 - registers its queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def paths(spark: SparkSession, root: str) -> DataFrame:
 
 
 def below(path: Column, root: str) -> Column:
-    tail = root.rstrip("/").split("://")[-1].lstrip("/")
+    tail = re.sub("^[a-z0-9]+:/*", "", root).strip("/")
     return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), r"^/*\Q" + tail + r"\E/*", "")
 
 
