@@ -81,7 +81,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_window_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality)}
+def op1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each source (by its place), beside what it should."""
+    documents, pieces = mix.mixed(read(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST)
+    out = mix.taken(documents, pieces).groupBy("place", "source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - MOST * F.col("size")).alias("over"))
+    return out.select("place", "source_size", (F.floor(F.col("target") * 1000 + 0.5) / 1000).alias("target"), "taken", (F.col("over") > 0).alias("over"))
+
+
+def op8_known_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of five sites made of the parts, without any element or name that says what is text: lines of the site around and between two of the page."""
+    k, site = F.col("p_partkey"), F.concat(F.lit("site "), F.col("p_partkey") % 5)
+    line = lambda *x: F.concat(F.lit("<div><span>"), *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("</span></div>\n"))
+    html = F.concat(F.lit("<html><body>"), line("Start of ", site), line("Part ", k, " is a ", F.col("p_name")), line("Ask ", site, " &amp; others"), line("It is of type ", F.col("p_type"), ", number ", k), line("Terms of ", site), F.lit("</body></html>"))
+    pages = read(spark, sf_dir, "part").select(k.alias("page_id"), F.concat(F.lit("https://www.site"), k % 5, F.lit(".org/parts/"), k).alias("url"), html.alias("html"))
+    return htmltext.extracted(pages).select("page_id", "text")
+
+
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.KINDS])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix, op2_line_dedup, op3_sharding, op4_bpe, op5_embedding_dedup, op6_minhash, op7_host_rules, op8_html, op9_pii, op10_quality, op1_sources, op2_window_dedup, op8_known_pages, op9_counts)
+}
 #: Lines with a word, numbered, and what is left of texts without the lines c.
 LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
@@ -90,6 +113,19 @@ REMOVED = r"""
 g AS (SELECT w.doc_id, w.i FROM w JOIN c USING (doc_id, p))
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.i) FROM l ANTI JOIN g USING (doc_id, i) WHERE l.doc_id = d.doc_id), '') END AS text, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::BIGINT AS removed FROM documents d"""
 ORACLE_SQL: dict[str, str] = {
+    "op1_sources": r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents), s AS (SELECT source, sum(n)::BIGINT AS size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s), v AS (SELECT *, [3.0, 1.0, 2.0][(place % 3 + 1)::INT]::DOUBLE AS w, 2 * size AS cap FROM w),
+l AS (SELECT cap / w AS reach, (1.5 * (SELECT sum(size) FROM v) - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
+t AS (SELECT place, size, least(cap, w * coalesce((SELECT max(level) FROM l WHERE level <= reach), 1e300)) AS target FROM v)
+SELECT place::BIGINT AS place, size AS source_size, floor(target * 1000 + 0.5) / 1000 AS target, floor(target + 1e-6)::BIGINT AS taken, false AS over FROM t""",
+    "op8_known_pages": "SELECT p_partkey AS page_id, 'Part ' || p_partkey || ' is a ' || p_name || chr(10) || 'It is of type ' || p_type || ', number ' || p_partkey AS text FROM part",
+    "op9_counts": r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS i,
+ list_transform(regexp_extract_all(coalesce(text, ''), '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c, regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM documents)
+SELECT doc_id, len(e)::BIGINT AS n_email, len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::HUGEINT)) <= 255))::BIGINT AS n_ip,
+ len(list_filter(c, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(x)), lambda k: CASE WHEN k % 2 = 0 THEN substr(reverse(x), k + 1, 1)::INT ELSE 2 * substr(reverse(x), k + 1, 1)::INT - CASE WHEN substr(reverse(x), k + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+ len(list_filter(p, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM m""",
     # the table of slots is filled by turns, which SQL cannot say; tests fill it in another way
     "op3_sharding": f"""
 SELECT doc_id, s AS slot, 'shard-' || lpad(o[s + 1]::VARCHAR, 3, '0') AS shard FROM (SELECT doc_id, ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN 't' || coalesce(text, '') ELSE 'k' || doc_id END), 1, 15))::BIGINT % 65537 AS s FROM documents), (SELECT {sharding.lookup(SHARDS, 65_537).tolist()} AS o)""",
