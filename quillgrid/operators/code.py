@@ -349,6 +349,17 @@ def without_comments(text: str, path: str) -> str:
     return "".join(out)
 
 
+def uncommented(files: DataFrame) -> DataFrame:
+    """path, text of source files with their comments blanked, lengths and lines kept."""
+    ship(files.sparkSession)
+
+    @F.arrow_udf("string")
+    def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([without_comments(t or "", p or "") for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], pa.string())
+
+    return files.select("path", run("path", "text").alias("text"))
+
+
 def readable(files: DataFrame) -> DataFrame:
     """path, text of source files of known languages with only their strings and comments, for the detector."""
     ship(files.sparkSession)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.operators import assoc, code, detect, i18n, models, site, structure
-from quillgrid.plans.queries import long, query, read, scratch
+from quillgrid.operators import assoc, code, detect, i18n, lineage, models, segments, site, structure
+from quillgrid.plans.queries import edges, long, query, read, scratch
 from quillgrid.sources import files
 
 def number():
@@ -129,6 +129,77 @@ def script_strings(spark, sf_dir):
     return detect.detected(code.readable(rows), detect.Settings(only=frozenset(["repeated-word"])), "path").select("path", long("line"))
 
 
+@query(
+    "SELECT replace(v.p, '?', n_nationkey::VARCHAR) AS path, v.text FROM nation JOIN (VALUES (0, 'n?.py', 'a = ''#x'' ' || repeat(' ', 6) || chr(10) || 'b'), (1, 'n?.js', 'a(); ' || repeat(' ', 4) || chr(10) || repeat(' ', 4) || ' d ' || repeat(' ', 4)), (2, 'n?.sql', 'select 1 ' || repeat(' ', 4)), (3, 'n?.lua', 'x ' || repeat(' ', 9) || ' y'), (4, 'n?.txt', 'a # b')) v(m, p, text) ON n_nationkey % 5 = v.m"
+)
+def blanked_comments(spark, sf_dir):
+    """Comments of four families of languages; other texts stay."""
+    texts = ("a = '#x' # note\nb", "a(); /* b\nc */ d // e", "select 1 -- x", "x --[[ a ]] y", "a # b")
+    rows = named(spark, sf_dir, "n?.py", "n?.js", "n?.sql", "n?.lua", "n?.txt").select("path", F.element_at(F.array(*map(F.lit, texts)), (number() % 5 + 1).cast("int")).alias("text"))
+    return code.uncommented(rows)
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'a' AS alt, 'i.png' AS target, 3::BIGINT AS break_line, 5::BIGINT AS first_row, 2::BIGINT AS table_rows, 'k' AS defined, (length(n_name) + 49)::BIGINT AS at, 'k' AS used, 2::BIGINT AS bold FROM nation")
+def markdown_marks(spark, sf_dir):
+    """Images, thematic breaks, tables, definitions (from the empty line before, which white space at their start takes in) and their uses, and bold spans."""
+    text = said("![a](i.png)\n\n---\n\n| ", "{n_name}", " | y |\n|---|---|\n\nSome text.\n\n[k]: http://x.org\n\nSee [k] and [t][K]. **b** or __c__\n")
+    out = segments.segmented(read(spark, sf_dir, "nation").select(number().cast("long").alias("doc_id"), text.alias("text")))
+    return out.select(
+        "doc_id", F.col("images")[0]["text"].alias("alt"), F.col("images")[0]["target"].alias("target"), F.col("breaks")[0]["line"].cast("long").alias("break_line"), F.col("tables")[0].cast("long").alias("first_row"), F.size("tables").cast("long").alias("table_rows"),
+        F.col("definitions")[0]["id"].alias("defined"), F.col("definitions")[0]["start"].cast("long").alias("at"), F.array_join("uses", ",").alias("used"), F.size("bold").cast("long").alias("bold"),
+    )
+
+
+@query("SELECT (25 + row_number() OVER (ORDER BY 'n/' || n_nationkey || '.py'))::BIGINT AS id, 'n/' || n_nationkey || '.py' AS src_file, 'r/' || n_regionkey || '.md' AS dst_file, 'confirmed' AS status, 'manual' AS via, 'me' AS curated_by, '# head' AS src_text FROM nation")
+def edge_links(spark, sf_dir):
+    """Links that a curator states, numbered on from the 25 edges there are."""
+    e, tree = edges(spark, sf_dir)
+    one, none = F.lit(1), F.lit(None).cast("string")
+    links = read(spark, sf_dir, "nation").select(said("n/", "{n_nationkey}", ".py").alias("src_file"), one.alias("src_start"), one.alias("src_end"), said("r/", "{n_regionkey}", ".md").alias("dst_file"), one.alias("dst_start"), one.alias("dst_end"), none.alias("rel"), none.alias("note"), F.lit("me").alias("by"))
+    out = lineage.linked(e, links, tree).filter("via = 'manual'")
+    return out.select(long("id"), "src_file", "dst_file", "status", "via", "curated_by", "src_text")
+
+
+@query("SELECT n_nationkey::BIGINT + 1 AS id, 2::BIGINT AS src_start, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS src_end, CASE WHEN n_nationkey % 2 = 0 THEN 'def ' || lower(n_name) || '():' ELSE 'def ' || lower(n_name) || '():' || chr(10) || '    return ' || n_nationkey END AS src_text FROM nation")
+def edge_spans(spark, sf_dir):
+    """Spans of edges of an even key made narrower."""
+    e, tree = edges(spark, sf_dir)
+    narrower = read(spark, sf_dir, "nation").filter(number() % 2 == 0).select((number() + 1).cast("int").alias("id"), F.lit(2).alias("src_start"), F.lit(2).alias("src_end"), F.lit(None).cast("int").alias("dst_start"), F.lit(None).cast("int").alias("dst_end"))
+    return lineage.respanned(e, narrower, tree).select(long("id"), long("src_start"), long("src_end"), "src_text")
+
+
+@query("SELECT 'n/' || a.n_nationkey AS src_file, 'n/' || b.n_nationkey AS dst_file, 'related' AS rel, 'embedding' AS via FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey % 2 = 0")
+def association_proposals(spark, sf_dir):
+    """Proposals of associations of some score: those of odd keys have less."""
+    end = lambda k: F.struct(F.concat(F.lit("n/"), k).alias("path"), F.lit("L1").alias("chunk"), F.lit(1).alias("start"), F.lit(2).alias("end"))
+    rows = read(spark, sf_dir, "nation").filter("n_nationkey < 24").select(end(number()).alias("a"), end(number() + 1).alias("b"), F.when(number() % 2 == 0, 0.6).otherwise(0.4).alias("score"), F.lit("embedding").alias("via"))
+    return lineage.from_associations(rows, 0.5).select("src_file", "dst_file", "rel", "via")
+
+
+# --- what is set up -----------------------------------------------------------------------------------------
+
+
+@query("SELECT type, n_nationkey::BIGINT AS k, 0::BIGINT AS missing FROM nation, (VALUES ('adr'), ('postmortem'), ('runbook'), ('rfc'), ('contributing'), ('code-of-conduct'), ('governance'), ('security')) v(type)")
+def templates(spark, sf_dir):
+    """A document of every archetype for each nation, held to its own sections."""
+    kinds = spark.createDataFrame([(t, structure.template(t, "A title")) for t in structure.BY_TYPE], "type string, text string")
+    n = read(spark, sf_dir, "nation").select(number().cast("long").alias("k"))
+    rows = n.join(F.broadcast(kinds), F.lit(True)).withColumn("path", said("{type}", "/", "{k}", ".md"))
+    out = structure.assets(rows, "type")
+    return out.select("type", F.regexp_extract("path", "/([0-9]+)[.]md", 1).cast("long").alias("k"), F.size("findings").cast("long").alias("missing"))
+
+
+@query("SELECT id, id AS found FROM (VALUES ('mkdocs'), ('docusaurus'), ('sphinx'), ('hugo'), ('jekyll'), ('mdbook'), ('antora'), ('docsify')) v(id)")
+def starters(spark, sf_dir):
+    """The first files of every generator, and what they are taken for."""
+    out = None
+    for name in structure.STARTERS:
+        paths = spark.createDataFrame([(p,) for p, _ in structure.starter(name)], "path string")
+        part = structure.platforms(paths).select(F.lit(name).alias("id"), F.col("id").alias("found"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 # --- slots --------------------------------------------------------------------------------------------------
 
 
