@@ -140,6 +140,14 @@ def detected(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_i
     return spread(docs.select(key, text)).select(F.col(key), F.inline(find(F.coalesce(text, F.lit("")))))
 
 
+def listed(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, found: every one of docs with the array of its findings, for what is made of one document's findings: these are together as they are found, so no group or join has to bring them together again."""
+    ship(docs.sparkSession)
+    # not to be moved: a filter on found would else run the detector once more
+    find = findings_udf(settings).asNondeterministic()
+    return spread(docs.select(key, text)).withColumn("found", find(F.coalesce(text, F.lit(""))))
+
+
 def rank(severity: Column) -> Column:
     return F.when(severity == "error", 0).when(severity == "warn", 1).when(severity == "advisory", 2).otherwise(3)
 

@@ -45,11 +45,20 @@ def scored(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: Colu
     if isinstance(text, str):
         docs, text = spread(docs.select(key, text, *([machine] if machine else []))), F.col(text)
     measured = docs.select(key, n_words(text).alias("words"), n_contractions(text).alias("contractions"), n_first_person(text).alias("first_person"), *([machine] if machine else []))
-    out = measured.join(per, key, "left").withColumns({"findings": F.coalesce("findings", F.lit(0)), "weighted": F.coalesce("weighted", F.lit(0.0))})
+    # sorted on both sides: sizes that Spark guesses behind the detector are far too small for a broadcast
+    out = measured.join(per.hint("merge"), key, "left").withColumns({"findings": F.coalesce("findings", F.lit(0)), "weighted": F.coalesce("weighted", F.lit(0.0))})
     out = out.withColumns(points(F.col("weighted"), F.col("words"), F.col("contractions") + F.col("first_person"), F.col(machine) if machine else None))
     return out.select(key, "words", "findings", "contractions", "first_person", "density", "discount", "score", "band")
 
 
+def listed_scores(listed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """score, band and what they are made of for rows with key, text and found (detect.listed), which stays.  Nothing is shuffled."""
+    t = F.col(text)
+    weighted = F.aggregate("found", F.lit(0.0), lambda s, f: s + weight(f["severity"], f["family"]))
+    out = listed.select(key, "found", F.size("found").cast("long").alias("findings"), weighted.alias("weighted"), n_words(t).alias("words"), n_contractions(t).alias("contractions"), n_first_person(t).alias("first_person"))
+    return out.withColumns(points(F.col("weighted"), F.col("words"), F.col("contractions") + F.col("first_person")))
+
+
 SUMS = "struct<words:bigint,findings:bigint,weighted:double,contractions:bigint,first_person:bigint>"
 
 

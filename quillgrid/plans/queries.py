@@ -336,8 +336,7 @@ def score_lines(spark, sf_dir):
 
 @query()
 def json_report(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return files.report(docs, detect.detected(docs))
+    return files.documents_report(read(spark, sf_dir, "documents"))
 
 
 @query()
@@ -371,8 +370,7 @@ def agent_report_counts(spark, sf_dir):
 
 @query(SCORES + " SELECT doc_id, score, findings AS n FROM s")
 def json_report_counts(spark, sf_dir):
-    docs = written(spark, sf_dir)
-    out = files.report(docs, detect.detected(docs, RULES)).withColumn("j", F.from_json("json", "struct<score:bigint,findings:array<struct<rule:string>>>"))
+    out = files.documents_report(written(spark, sf_dir), RULES).withColumn("j", F.from_json("json", "struct<score:bigint,findings:array<struct<rule:string>>>"))
     return out.select("doc_id", F.col("j.score").alias("score"), F.size("j.findings").cast("long").alias("n"))
 
 
