@@ -46,14 +46,19 @@ def accumulated(df: DataFrame, keys: list[Column], **sums: Column) -> DataFrame:
     return rows.select(*[F.col(f"{row}.`{c}`").alias(c) for c in df.columns if c not in sums], *[(F.coalesce(n, zero) + F.coalesce(f"{n}b", zero)).alias(c) for c, n in zip(sums, v, strict=True)])
 
 
-#: Input for a core below which a table is dealt out anew before costly work on each row.
-SMALL = 32 << 20
+#: Input of a task of costly work on each row, about; Spark's guess of it, which counts a few bytes for a text that is computed.
+PIECE = 4 << 20
+#: Guesses beyond are none: Spark has no size of an RDD or checkpoint, and multiplies the sides of a join.
+UNKNOWN = 1 << 40
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it is so small that its files would keep only a few of them busy (one row group is one task).  Larger tables are left as they are scanned, without a shuffle."""
+    """df in tasks of about PIECE, four for each core at least: as its files lie, one row group would be one task, however many rows it has, and a file or two would keep only a few cores busy.
+
+    Rows are dealt by their hash, so they are neither sorted before nor dealt otherwise when a task runs again."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size < cores * SMALL else df
+    pieces = -(-size // PIECE) if size < UNKNOWN else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(4 * cores, pieces), *[F.col(f"`{c}`") for c in df.columns])

@@ -30,3 +30,12 @@ def test_json_reports_neither_broadcast_findings_nor_find_twice(spark):
     rows = lambda df: {r.doc_id: json.loads(r.json) for r in df.collect()}
     got = rows(files.documents_report(docs))
     assert got == rows(apart) and len(got) == 5 and len(got[1]["findings"]) > 3 and got[4]["findings"] == []
+
+
+def test_tasks_are_bounded_however_large_the_table(spark):
+    """512 MB in one partition, as a file of one row group is; before, a table over 32 MB a core was left as it lay."""
+    from quillgrid.plans.session import spread
+
+    assert spread(spark.range(0, 1 << 26, 1, 1)).rdd.getNumPartitions() >= 128
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread(spark.range(0, 1000, 1, 1)).collect()) == list(range(1000))
