@@ -39,3 +39,22 @@ def test_tasks_are_bounded_however_large_the_table(spark):
     assert spread(spark.range(0, 1 << 26, 1, 1)).rdd.getNumPartitions() >= 128
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in spread(spark.range(0, 1000, 1, 1)).collect()) == list(range(1000))
+
+
+def test_grades_remember_words_and_deal_documents(spark):
+    from quillgrid.functions.segment import count_letters
+    from quillgrid.operators import segments
+    from quillgrid.plans.rules import syllables
+
+    words = ["Table", "it's", "radio", "created", "Yes", "", "the", "UNIVERSITIES", "rhythm", "y"] * 50
+    syllables.cache_clear()
+    assert [syllables(w) for w in words] == [syllables.__wrapped__(w) for w in words] and syllables.cache_info().misses == 10
+    assert count_letters("aZ é–9_\ud83d[`{@k") == 3
+    for made in (segments.readability, segments.segmented, segments.queries):
+        out = made(documents(spark).coalesce(1))
+        assert out.rdd.getNumPartitions() > 1 and (made is segments.queries or out.count() == 5)
+
+
+def test_all_findings_are_dealt_out(spark):
+    for name in ("findings_all", "findings_google"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF)) and "hashpartitioning" in plan(QUERIES[name](spark, SF))
