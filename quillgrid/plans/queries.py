@@ -341,12 +341,12 @@ def json_report(spark, sf_dir):
 
 @query()
 def human_report(spark, sf_dir):
-    return reports.lines(findings(spark, sf_dir, detect.Settings()))
+    return reports.documents_lines(read(spark, sf_dir, "documents"))
 
 
 @query()
 def agent_report(spark, sf_dir):
-    return reports.for_agent(findings(spark, sf_dir, detect.Settings()), spark.createDataFrame([("repeated-word", "the the", "the")], "rule_id string, bad string, good string"))
+    return reports.documents_for_agent(read(spark, sf_dir, "documents"), exemplars=spark.createDataFrame([("repeated-word", "the the", "the")], "rule_id string, bad string, good string"))
 
 
 #: The same reports of the prose, as their counts and first lines.
@@ -355,13 +355,13 @@ HEADS = " SELECT doc_id, doc_id || ': ' || sum(n) || ' findings (' || sum(CASE s
 
 @query(prose.findings_sql() + HEADS)
 def human_report_heads(spark, sf_dir):
-    out = reports.lines(detect.detected(written(spark, sf_dir), RULES))
+    out = reports.documents_lines(written(spark, sf_dir), RULES)
     return out.select("doc_id", F.split("text", "\n")[0].alias("head"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("lines"))
 
 
 @query(prose.findings_sql() + " SELECT doc_id, least(sum(n), 10)::BIGINT AS shown, greatest(sum(n) - 10, 0)::BIGINT AS more, max(CASE severity WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END)::BIGINT AS worst FROM f GROUP BY doc_id")
 def agent_report_counts(spark, sf_dir):
-    out = reports.for_agent(detect.detected(written(spark, sf_dir), RULES))
+    out = reports.documents_for_agent(written(spark, sf_dir), RULES)
     first = F.regexp_extract("text", "^  L[0-9]+ ([a-z]+)", 1)
     return out.select(
         "doc_id", F.regexp_count("text", F.lit("(?m)^  L[0-9]+ ")).cast("long").alias("shown"), F.coalesce(F.expr("try_cast(regexp_extract(text, '[(]([0-9]+) more[)]', 1) AS bigint)"), F.lit(0)).alias("more"), F.when(first == "error", 2).when(first == "warn", 1).otherwise(0).cast("long").alias("worst")

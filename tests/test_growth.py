@@ -58,3 +58,19 @@ def test_grades_remember_words_and_deal_documents(spark):
 def test_all_findings_are_dealt_out(spark):
     for name in ("findings_all", "findings_google"):
         assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF)) and "hashpartitioning" in plan(QUERIES[name](spark, SF))
+
+
+def test_reports_of_documents_are_made_where_findings_are_found(spark):
+    from quillgrid.sources import reports
+
+    for name in ("human_report", "agent_report", "human_report_heads", "agent_report_counts"):
+        p = plan(QUERIES[name](spark, SF))
+        assert p.count("Exchange hashpartitioning") == 1 and p.count("ArrowEvalPython") == 1 and "Window" not in p and "SortMergeJoin" not in p
+    docs = documents(spark).union(spark.createDataFrame([(6, "It was was late. " * 14)], "doc_id long, text string"))
+    rows = lambda df: {r.doc_id: r.text for r in df.collect()}
+    got = rows(reports.documents_lines(docs))
+    assert got == rows(reports.lines(detect.detected(docs))) and set(got) >= {1, 5, 6} and 4 not in got
+    shown = spark.createDataFrame([("repeated-word", "a a", "a"), ("repeated-word", "b b", "b"), ("no-such", "c", "d")], "rule_id string, bad string, good string")
+    got = rows(reports.documents_for_agent(docs, exemplars=shown))
+    assert got == rows(reports.for_agent(detect.detected(docs), shown))
+    assert got[6].count("\n  L") == 9 and " more)\n\n  repeated-word\n    - a a\n    + a\n  repeated-word\n    - b b\n    + b" in got[6] and "no-such" not in got[6]
