@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +81,16 @@ def without(texts: pa.Array, starts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64())], names=["text", "removed"])
 
 
-def repeats(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
-    """doc_id, version (a hash of the text) and starts: position and size of windows that repeat an earlier one, of each document that has any."""
+def windowed(df: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
+    """doc_id, version (a hash of the text), position, size, a, b: the windows of every document, with the halves of their hash."""
     ship(df.sparkSession)
     hashed = F.arrow_udf(lean(windows(width, passage)), "array<struct<position:int,size:int,a:bigint,b:bigint>>")
     text = F.coalesce("text", F.lit(""))
-    rows = df.select("doc_id", F.xxhash64(text).alias("version"), F.explode(hashed(text)).alias("w")).select("doc_id", "version", "w.*")
-    rows = settled(rows)
+    return df.select("doc_id", F.xxhash64(text).alias("version"), F.explode(hashed(text)).alias("w")).select("doc_id", "version", "w.*")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """doc_id, version and starts: position and size of windows that repeat an earlier one, of each document of windowed() rows that has any.  Reads rows twice."""
     here = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("version"), F.col("position"))
     # only windows found more than once go on
     first = rows.groupBy("size", "a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -101,7 +105,13 @@ def deduplicated(df: DataFrame, width: int = WIDTH, passage: int | None = None,
     while counted in df.columns:
         counted += "_"
     key = lambda i, v: F.xxhash64(F.coalesce(F.col(i), F.lit(-1)), v)
-    found = settled(repeats(df, width, passage).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"), key("doc_id", "version").alias("__found")))
+    # windows are more rows than texts have: executors keep them as blocks on their own disks until repeats are found, and make lost ones anew.
+    # In a checkpoint each would be a row object and each task files, for which Hadoop starts programs beside the executor's heap
+    rows = windowed(df, width, passage).persist(StorageLevel.DISK_ONLY)
+    try:
+        found = settled(repeats(rows).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"), key("doc_id", "version").alias("__found")))
+    finally:
+        rows.unpersist()
     rows = df.select(packed(df), F.col("doc_id").alias("__of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__v"))
     some, rest = parted(rows.withColumn("__key", key("__of", "__v")), "__key", found, "__found")
     some = some.join(found, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left")

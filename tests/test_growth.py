@@ -106,3 +106,17 @@ def test_blocks_keep_copies_of_vectors_few():
     from quillgrid.operators import assoc
 
     assert 2 * -(-600_000 // assoc.BLOCK) <= 80 and assoc.AT_ONCE * 8 <= 1 << 25
+
+
+def test_windows_of_lines_are_not_checkpointed(spark, monkeypatch):
+    """Only what repeats goes to the checkpoint folder; before, every window of every text did.  Blocks of windows are gone afterwards."""
+    from quillgrid.llm import linededup
+
+    settled, seen = linededup.settled, []
+    monkeypatch.setattr(linededup, "settled", lambda df: seen.append(out := settled(df)) or out)
+    held = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    lines = "\n".join(f"line {k} of a text" for k in range(40))
+    docs = spark.createDataFrame([(1, lines), (2, "other\n" + lines), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed) for r in linededup.deduplicated(docs, passage=50).collect()}
+    assert got == {1: (lines, 0), 2: ("other", 40), 3: (None, 0)}
+    assert [df.count() for df in seen] == [1] and set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= held
