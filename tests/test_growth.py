@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from quillgrid.operators import detect
 from quillgrid.plans.queries import QUERIES
 from quillgrid.sources import files
@@ -120,3 +122,45 @@ def test_windows_of_lines_are_not_checkpointed(spark, monkeypatch):
     got = {r.doc_id: (r.text, r.removed) for r in linededup.deduplicated(docs, passage=50).collect()}
     assert got == {1: (lines, 0), 2: ("other", 40), 3: (None, 0)}
     assert [df.count() for df in seen] == [1] and set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= held
+
+
+def test_tiles_find_exactly_the_nearest_and_copies_do_not_grow(spark, monkeypatch):
+    """Equal vectors are equally near wherever they stand, the least ids come first; twice the vectors are twice the copies, where blocks of a fixed size made it four times."""
+    import numpy as np
+
+    from quillgrid.operators import assoc
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((300, 24))
+    x[200:260], x[260], x[261, 0] = x[3], 0, np.nan
+    for scale in (1.0, 1e-9):
+        rows = [(int(i) * 3, int(i) % 5, (v * scale).astype("float32").tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "id long, grp int, vector array<float>")
+        floor = 0.5 * scale * scale
+
+        def sim(a, b):
+            total = 0.0
+            for p, q in zip(a, b, strict=True):
+                total += float(p) * float(q)
+            return total
+
+        v = [np.float32(r[2]).astype(float).tolist() for r in rows]
+        truth = []
+        for i, (a, g, _) in enumerate(rows):
+            found = [(-s, b) for j, (b, h, _) in enumerate(rows) if g != h and (s := sim(v[i], v[j])) >= floor]
+            truth += [(a, b, -s) for s, b in sorted(found)[:8]]
+        for block in (assoc.BLOCK, 70):
+            assert sorted((r.id, r.other, r.sim) for r in assoc.neighbours(df, floor=floor, block=block).collect()) == sorted(truth)
+        if scale == 1.0:
+            assert sorted((r.id, r.other, r.sim) for r in assoc.recalled(df, floor=floor, centres=3, probes=3, block=70).collect()) == sorted(truth)
+
+    made = assoc._dealt
+
+    def copies(n):
+        seen = []
+        monkeypatch.setattr(assoc, "_dealt", lambda tiles, *a: seen.append(tiles.count()) or made(tiles, *a))
+        assoc.neighbours(spark.range(n).select("id", F.lit(0).alias("grp"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector")))
+        return seen[0]
+
+    assert copies(200_000) == 2 * copies(100_000) > 0
+    assert assoc._number(df) == "array<float>" and assoc._most(spark.range(1).select(F.array_repeat(F.lit(1.0), 1 << 16).alias("vector")), assoc.BLOCK) == 128
