@@ -2,7 +2,8 @@
 
 For each prefix of a piece there is one token that ends its encoding.  A table of those last
 tokens is all the encoder keeps: the encoding is read off backwards, bytes can be appended
-exactly, and after an edit only the neighbourhood of the edit is computed again.
+exactly, and after an edit only the neighbourhood of the edit is computed again.  The tables of
+many pieces are filled together, a byte of all of them at a time, and a prefix that pieces share once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import hashlib
 import re
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, partial
 
@@ -29,6 +31,11 @@ from quillgrid.llm.common import hold, lean
 PIECES_KEPT = 150_000
 PAIRS_KEPT = 100_000
 LONGEST_KEPT = 64
+#: Pieces that are looked up together, those that are encoded together, and places for pairs met then (a later pair takes an earlier one's place).
+AT_ONCE = 1 << 17
+TOGETHER = 1 << 14
+PLACES = 1 << 17
+NO_LIMIT = 1 << 62
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -72,6 +79,78 @@ class Vocabulary:
         out.longest = max(map(len, ranks))
         return out
 
+    @cached_property
+    def grid(self) -> Grid:
+        return Grid.of(self)
+
+
+@dataclass
+class Grid:
+    """A vocabulary as arrays, to encode many pieces together.
+
+    Its automaton is edges (node and byte in one number, ascending) and to, fail (the node of the longest proper suffix) and best (the longest token that ends there, or -1);
+    shorter is the next shorter token that ends as a token does, joins and joined are pairs of tokens (left * n + right, ascending) that make a token, and which."""
+
+    edges: np.ndarray
+    to: np.ndarray
+    fail: np.ndarray
+    best: np.ndarray
+    shorter: np.ndarray
+    size: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    joins: np.ndarray
+    joined: np.ndarray
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> Grid:
+        n, nodes = max(v.tokens) + 1, {b"": 0}
+        for token in v.usable:
+            for i in range(1, len(token) + 1):
+                nodes.setdefault(token[:i], len(nodes))
+        edges = sorted((nodes[p[:-1]] << 8 | p[-1], k) for p, k in nodes.items() if p)
+        fail, best, shorter = np.zeros(len(nodes), np.int32), np.full(len(nodes), -1, np.int32), np.full(n, -1, np.int32)
+        for p in sorted(nodes, key=len):
+            k = nodes[p]
+            fail[k] = next((nodes[p[i:]] for i in range(1, len(p)) if p[i:] in nodes), 0)
+            best[k] = best[fail[k]] if p else -1
+            if p in v.usable:
+                shorter[v.usable[p]], best[k] = best[k], v.usable[p]
+        numbers = lambda of: np.fromiter((of.get(k, -1) for k in range(n)), np.int64, n)
+        joins = sorted((a * n + b, rank) for token, rank in v.ranks.items() for i in range(1, len(token)) if (a := v.usable.get(token[:i])) is not None and (b := v.usable.get(token[i:])) is not None)
+        joins.append((NO_LIMIT, 0))
+        size = numbers({r: len(t) for r, t in v.tokens.items()})
+        return cls(
+            *(np.array(c, k) for c, k in zip(zip(*edges, strict=True), (np.uint32, np.int32), strict=True)), fail, best, shorter, size, numbers(v.left), numbers(v.right), *(np.array(c, np.int64) for c in zip(*joins, strict=True))
+        )
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes after one more byte."""
+        out, live = np.zeros(len(node), np.int32), np.arange(len(node))
+        while len(live):
+            key = node.astype(np.uint32) << np.uint32(8) | byte
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            there = self.edges[at] == key
+            out[live[there]] = self.to[at[there]]
+            more = ~there & (node != 0)
+            live, node, byte = live[more], self.fail[node[more]], byte[more]
+        return out
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """PrefixEncoder._fits of many pairs."""
+        out, live, limit = np.zeros(len(a), bool), np.arange(len(a)), np.full(len(a), NO_LIMIT)
+        while len(live):
+            key = a * len(self.size) + b
+            at = np.searchsorted(self.joins, key)
+            across = np.where(self.joins[at] == key, self.joined[at], NO_LIMIT)
+            left, right = self.left[b], self.right[a]
+            whole_a, whole_b, fine = right == a, left == b, across >= limit
+            out[live[fine & whole_a & whole_b]] = True
+            undo_a = ~whole_a & (whole_b | (a > b))
+            more = fine & ~(whole_a & whole_b)
+            live, limit, a, b = live[more], np.where(undo_a, a, b + 1)[more], np.where(undo_a, right, a)[more], np.where(undo_a, b, left)[more]
+        return out
+
 
 class PrefixEncoder:
     """encode(piece), and tables that take appends and edits."""
@@ -80,10 +159,19 @@ class PrefixEncoder:
         self.v = vocabulary
         self.pairs: dict[tuple[int, int], bool] = {}
         self.before: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in vocabulary.usable.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        self.automaton.make_automaton()
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for token, rank in self.v.usable.items():
+            out.add_word(token.decode("latin-1"), rank)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Pairs met and whether they fit, as one number each, so that the two never part."""
+        return np.full(PLACES, -1, np.int64)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of the bytes of a and b is a, b; remembered in pairs, and until they are next full in the ones before."""
@@ -139,6 +227,63 @@ class PrefixEncoder:
             return [whole]
         return self.ids(self.extend(piece, []))
 
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fits() of many pairs."""
+        key = a.astype(np.int64) * len(self.v.grid.size) + b
+        at = (key * 0x9E3779B1 >> 13) & (PLACES - 1)
+        held = self.places[at]
+        out, new = (held & 1).astype(bool), np.flatnonzero(held >> 1 != key)
+        if len(new):
+            out[new] = self.v.grid.fits(a[new].astype(np.int64), b[new].astype(np.int64))
+            self.places[at[new]] = key[new] << 1 | out[new]
+        return out
+
+    def extend_all(self, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """extend() of many pieces in ascending order, given as rows of bytes and their lengths: column k has the last tokens of the prefixes of piece k, by their length."""
+        g, (n, width) = self.v.grid, chars.shape
+        shared = np.zeros(n, np.int64)  # bytes that a piece shares with the one before
+        shared[1:] = np.minimum(np.logical_and.accumulate(chars[1:] == chars[:-1], axis=1).sum(axis=1), np.minimum(size[1:], size[:-1]))
+        last, node = np.full((width + 1, n), -1, np.int32), np.zeros(n, np.int32)
+        for end in range(1, width + 1):
+            rows = np.flatnonzero(size >= end)
+            first = shared[rows] < end
+            of, heads = np.cumsum(first) - 1, rows[first]
+            nodes = g.step(node[heads], chars[heads, end - 1])
+            token, open_ = g.best[nodes], np.arange(len(heads))
+            while len(open_):
+                t = token[open_]
+                if t.min() < 0:
+                    raise ValueError("the vocabulary lacks a byte")
+                start = end - g.size[t]
+                good = start == 0
+                rest = np.flatnonzero(~good)
+                good[rest] = self.fit(last[start[rest], heads[open_[rest]]], t[rest])
+                open_ = open_[~good]
+                token[open_] = g.shorter[token[open_]]
+            node[rows], last[end, rows] = nodes[of], token[of]
+        return last
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """encode() of many pieces in ascending order, none of them empty, as bytes of unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), TOGETHER):
+            some = pieces[k : k + TOGETHER]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            last = self.extend_all(np.array(some, f"S{size.max()}").view(np.uint8).reshape(len(some), -1), size)
+            rows, at, read = np.arange(len(some)), size.copy(), []
+            while len(rows):
+                t = last[at[rows], rows]
+                read.append((rows, t))
+                at[rows] -= self.v.grid.size[t]
+                rows = rows[at[rows] > 0]
+            ends = np.cumsum(np.bincount(np.concatenate([r for r, _ in read]), minlength=len(some)))
+            ids = np.zeros(ends[-1], np.uint32)
+            for back, (r, t) in enumerate(read, 1):
+                ids[ends[r] - back] = t
+            data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
     def append(self, piece: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """Piece and table with more bytes at the end; nothing before is computed again."""
         return piece + more, self.extend(piece + more, list(last))
@@ -193,13 +338,28 @@ class Pieces(dict):
         self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) or array("I", self.encoder.encode(piece.encode())).tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECES_KEPT:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        """Of pieces too long to be kept; learn() has met the others."""
+        return array("I", self.encoder.encode(piece.encode())).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Has all pieces but very long ones at hand: what is not known is encoded together."""
+        if len(self) >= PIECES_KEPT:
+            self.old = dict(self)
+            self.clear()
+        new, ranks = [], self.encoder.v.ranks
+        for piece in pieces:
+            if piece not in self and len(piece) <= LONGEST_KEPT:
+                ids = self.old.get(piece)
+                if ids is None:
+                    rank = ranks.get(piece.encode())
+                    if rank is None:
+                        new.append(piece)
+                        continue
+                    ids = array("I", (rank,)).tobytes()
+                self[piece] = ids
+        if new:
+            new.sort()  # by code points, as their bytes are
+            self.update(zip(new, self.encoder.encode_all([p.encode() for p in new]), strict=True))
 
 
 class Codec:
@@ -214,13 +374,38 @@ class Codec:
     def pieces(self) -> Pieces:
         return Pieces(PrefixEncoder(self.v))
 
+    @cached_property
+    def tokens(self) -> np.ndarray:
+        """Tokens by rank; None where there is none."""
+        out = np.full(max(self.v.tokens) + 1, None, dtype=object)
+        for rank, token in self.v.tokens.items():
+            out[rank] = token
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, (self.find if BEYOND_LATIN(text) else self.find_latin)(text))), dtype=np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text.  Runs of about AT_ONCE pieces are learned and looked up together, of several texts or of one."""
+        out, held, n = [], [], 0
+        for text in texts:
+            pieces = (self.find if BEYOND_LATIN(text) else self.find_latin)(text) if text else []
+            if n + len(pieces) > AT_ONCE:
+                out += self._looked_up(held)
+                held, n = [], 0
+            if len(pieces) > AT_ONCE:
+                out.append(np.concatenate([self._looked_up([pieces[k : k + AT_ONCE]])[0] for k in range(0, len(pieces), AT_ONCE)]))
+            else:
+                held.append(pieces)
+                n += len(pieces)
+        return out + self._looked_up(held)
+
+    def _looked_up(self, texts: list[list[str]]) -> list[np.ndarray]:
+        self.pieces.learn(set().union(*texts))
+        return [np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), dtype=np.int32) for pieces in texts]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.v.tokens.__getitem__, ids.tolist()))
+        return b"".join(self.tokens[ids].tolist())
 
 
 _codecs: dict[int, Codec] = {}
@@ -244,6 +429,7 @@ _read: dict[tuple, Vocabulary] = {}
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     if (path, pattern) not in _read:
         _read[path, pattern] = Vocabulary.read(path, pattern)
+        _read[path, pattern].grid  # once, on the driver: workers get it with the vocabulary
     return _read[path, pattern]
 
 
@@ -255,7 +441,7 @@ def udfs(spark: SparkSession, path: str, pattern: str):
     @partial(lean, owner="bpe")
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(shared)
-        rows = [c.encode(t.as_py()) for t in texts]
+        rows = c.encode_all(t.as_py() for t in texts)
         at = np.zeros(len(rows) + 1, dtype=np.int32)
         np.cumsum([len(r) for r in rows], out=at[1:])
         return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), type=pa.int32()))

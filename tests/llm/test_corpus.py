@@ -235,6 +235,30 @@ def test_bpe_edit_is_local(vocabulary):
     assert got == e.extend(new, []) and done < 400
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.binary(min_size=1, max_size=40) | st.text(alphabet=" aehnrt\0\u65e5", min_size=1, max_size=30).map(str.encode), min_size=1))
+def test_bpe_many_pieces_as_one_by_one(vocabulary, pieces):
+    e = _held.setdefault("encoder", bpe.PrefixEncoder(vocabulary))
+    got = [np.frombuffer(x, np.uint32).tolist() for x in e.encode_all(sorted(pieces))]
+    assert got == [e.ids(e.extend(p, [])) for p in sorted(pieces)]
+
+
+def test_bpe_encodes_what_is_new_together(vocabulary, monkeypatch):
+    """Only pieces too long to be kept are encoded alone; before, each new one was.  Small memories, runs and places of pairs change nothing."""
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng, alone = random.Random(3), []
+    made = bpe.PrefixEncoder.encode
+    monkeypatch.setattr(bpe.PrefixEncoder, "encode", lambda self, piece: alone.append(piece) or made(self, piece))
+    word = lambda: "".join(rng.choice(["the", "on", "r", "sh", "ent", "\u00e9", "\u65e5\u672c"]) for _ in range(rng.randint(1, 6)))
+    texts = ["", None, *(" ".join(word() for _ in range(n)) for n in (3, 400, 0, 70)), "x" * 300]
+    for sizes in ({}, {"PIECES_KEPT": 40, "AT_ONCE": 50, "TOGETHER": 7, "PLACES": 8}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(bpe, name, size)
+        alone.clear()
+        got = bpe.Codec(vocabulary).encode_all(texts)
+        assert [x.tolist() for x in got] == [plain.encode_ordinary(t or "") for t in texts] and alone == [b"x" * 300]
+
+
 def test_bpe_query(spark, vocabulary):
     encode, decode, digest = bpe.udfs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
